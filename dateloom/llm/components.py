@@ -1,0 +1,38 @@
+"""Connected components of an edge table by repeated contraction; no edge or label reaches the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dateloom.llm.common import small, written
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node of `edges` (a, b); root is one node of the component.
+
+    Each round every node follows its smallest neighbour (a map-side combined minimum, so a hub costs no more
+    than its distinct neighbours), the edges are renamed and self loops and repeats vanish. Half of the nodes
+    at least go per round, so the rounds grow with the logarithm of the nodes. Edges with a null end and self
+    loops are ignored; repeated edges count once; an empty table gives an empty result.
+    """
+    pairs = lambda e: e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = written(pairs(edges), "edges")
+    labels = None
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
+        step = written(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("to")), "step")
+        # a node's smallest neighbour may itself move on: two hops save rounds
+        hop = small(step)
+        onward = written(step.join(hop.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to")), "onward")
+        hop = small(onward)
+        if labels is None:
+            labels = onward.select("node", F.col("to").alias("root"))
+        else:
+            labels = labels.join(hop.select(F.col("node").alias("root"), F.col("to").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            labels = written(labels, "labels")
+        moved = edges.join(hop.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a").join(hop.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
+        edges = written(pairs(moved.select(F.col("a2").alias("a"), F.col("b2").alias("b"))), "edges")
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return labels
