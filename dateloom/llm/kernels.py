@@ -15,7 +15,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that one kernel call takes at most (a single longer text is one call).
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
