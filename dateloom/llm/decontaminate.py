@@ -291,3 +291,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Se
         part = rows.mapInArrow(_matches(Index(block, search)), _MATCH)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], _MATCH)
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
+    """The rows of documents (text, ...) that hold no benchmark item, as they are; judged where they are read."""
+    tune(documents.sparkSession, 1024)
+
+    def clean(index: Index):
+        def run(batches):
+            for batch in batches:
+                texts = [normalised(t) for t in batch.column("text").to_pylist()]
+                keep = np.ones(len(texts), bool)
+                off = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+                for i, j in kernels.blocks(off, _AT_ONCE):
+                    for t, *_ in index.search_block(texts[i:j]):
+                        keep[i + t] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for block in _blocks(benchmark, search.block):
+        documents = documents.mapInArrow(clean(Index(block, search)), documents.schema)
+    return documents

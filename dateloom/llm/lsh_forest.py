@@ -271,7 +271,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, forest: For
 
 
 def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of documents (doc_id, text; other columns are ignored).
+    """(doc_id, n_shingles, component_id, kept, text_key) of every row of documents (doc_id, text; other columns are ignored).
 
     Texts are lower-cased in A-Z and split into words [^\\x20\\x09-\\x0D]+; a set holds the distinct shingles of the
     whole text, or the whole sequence as one if it has fewer words. component_id is the smallest doc_id of the
@@ -307,6 +307,21 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
     # classes of one row that are linked with nothing need no join: they name themselves
     several = classes.where("rows > 1").select(F.col("digest").alias("node"), "rep_id").join(linked, "node", "full")
     several = written(several.select(F.col("node").alias("digest"), F.coalesce("component_id", "rep_id").alias("component_id")), "several")
-    out = hashed.select("doc_id", "n_shingles", "digest").join(small(several), "digest", "left")
+    out = hashed.select("doc_id", "n_shingles", "digest", "text_key").join(small(several), "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
+
+
+def without_near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
+    """One row of documents (doc_id, text, ...) of each component, as it is: that with the smallest doc_id.
+
+    Of rows that repeat doc_id and text one stays; so it does of rows without doc_id that are copies of each other.
+    """
+    judged = written(near_duplicates(documents, forest), "judged")
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    keyed = documents.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
+    out = keyed.join(small(gone), keyed.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti")
+    kept = judged.where("kept")
+    if kept.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        return out.drop("_text_key")
+    return out.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dateloom.llm import kernels
-from dateloom.llm.common import tune, written
+from dateloom.llm.common import small, tune, written
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "upper", "digits", "punctuation", "symbols", "bangs", "bars",
@@ -254,3 +254,23 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
     out = scored(rows, model)
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
+
+
+def with_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of documents whose score reaches the threshold, as they are.
+
+    The model learns as in quality_scores; each text is then judged where it is read, so no text is shuffled.
+    """
+    tune(documents.sparkSession, 512)
+    marks = written(labels.where(~held_out(F.col("doc_id"), 5, 0)), "marks")
+    ids = marks.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    known = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(ids), "doc_id", "left_semi")
+    model = fit(measured(known), marks, "quality")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = model.score(statistics(*kernels.string_buffers(batch.column("text").cast(pa.string()))))
+                yield batch.filter(pa.array(found >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dateloom.llm.common import table
+from dateloom.llm.oracle import SQL  # noqa: F401
 
 
 def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dateloom.llm.lsh_forest import Forest, near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), Forest(shingle=3, percent=85))
+    return near_duplicates(table(spark, sf_dir, "documents"), Forest(shingle=3, percent=85)).drop("text_key")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,58 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dateloom.llm.mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
+
+
+def captures_of(pages: DataFrame) -> DataFrame:
+    """pages with a stand-in for the time of fetching, which the table lacks: a day of 2024 by page_id."""
+    return pages.withColumn("fetched", F.expr("make_timestamp_ntz(2024, 1, 1, 0, 0, 0) + make_dt_interval(cast(page_id % 120 as int))"))
+
+
+def entries_of(pages: DataFrame) -> DataFrame:
+    """A dated list made of the pages' own hosts by a fixed rule on the md5 of each: no list comes with the tables."""
+    from dateloom.llm.url_filter import host_of
+
+    hosts = pages.select(host_of(F.col("url")).alias("host")).where("host <> ''").distinct()
+    hosts = hosts.withColumn("k", F.conv(F.substring(F.md5(F.col("host").cast("binary")), 1, 4), 16, 10).cast("int"))
+    domain = F.substring_index("host", ".", -3)
+    rows = [
+        ("k % 3 = 0", F.col("host"), "k % 60", "add"),
+        ("k % 6 = 0", F.col("host"), "k % 60 + 20", "remove"),
+        ("k % 9 = 0", F.col("host"), "k % 60 + 45", "add"),
+        ("k % 7 = 0", domain, "k % 90", "add"),
+        ("k % 14 = 0", domain, "k % 90 + 10", "remove"),
+        ("k % 2 = 1", F.concat("host", F.lit("/en")), "k % 100", "add"),
+    ]
+    days = F.array(*[F.when(F.expr(test), F.struct(p.alias("pattern"), F.expr(f"make_timestamp_ntz(2024, 1, 1, 0, 0, 0) + make_dt_interval({day})").alias("listed"), F.lit(action).alias("action"))) for test, p, day, action in rows])
+    return hosts.select(F.explode(F.array_compact(days)).alias("e")).select("e.*")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dateloom.llm.url_filter import verdicts
+
+    pages = table(spark, sf_dir, "pages")
+    found = verdicts(captures_of(pages.select("page_id", "url")), entries_of(pages))
+    return found.select("page_id", "url", "fetched", "blocked", "pattern", "valid_from", "valid_to")
+
+
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dateloom.llm.line_rules import cleaned
+
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines"]
+    return cleaned(table(spark, sf_dir, "documents")).select(columns)
+
+
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dateloom.llm.line_chunks import deduplicated
+
+    found = deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dateloom.llm.toxicity import toxicity_scores
 
@@ -54,19 +107,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_lsh_forest": op3_lsh_forest,
+    "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
+    "op6_line_rules": op6_line_rules,
+    "op7_line_chunks": op7_line_chunks,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,
 }
-
-SQL: dict[str, str] = {
-    "op10_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-             d AS (SELECT page_id, strlen(html) AS n, sha256(html) AS digest FROM p),
-             f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
-        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
-               CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
-        FROM d LEFT JOIN f USING (digest)
-    """,
-}
