@@ -8,8 +8,12 @@ file has a name of its own for each attempt to write it; the table of shards, wr
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import uuid
+import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +27,14 @@ from dateloom.llm.elias_fano import EliasFano
 _MAGIC = b"TOKEF001"
 #: magic, bytes an id, ids, documents, documents without a doc_id, least doc_id, sizes of the two codes.
 _FOOTER = "<8sIQQQqQQ"
-#: Chunks of text whose ids a worker remembers, and the longest of them in characters.
-_REMEMBERED, _SHORT = 250_000, 48
+#: Pieces whose ids a worker remembers in a generation.
+_REMEMBERED = 300_000
+#: Fixed value: how the pre-tokenizer cuts normalised text; and the same cut for texts without code points beyond U+017F.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS, _SPACES = r"a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\t-\r \u0085\u00a0"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+#: The dotted capital I becomes two code points in lower case.
+_BEYOND = re.compile(r"[^\u0000-\u012f\u0131-\u017f]")
 _SHARDS = "shard int, path string, n_documents long, n_tokens long"
 #: Ids read at once.
 _READ = 1 << 20
@@ -38,9 +48,11 @@ def opened(uri: str):
 
 
 class Encoder:
-    """Ids of whole texts. The tokenizer drops white space and never looks across it, so ids are kept by chunk.
+    """Ids of whole texts by a tokenizer file.
 
-    Texts are cut at spaces and line feeds only; what else may count as space stays inside its chunk.
+    Where a file normalises by NFC and lower case and then cuts a text by PIECES, which never looks across a cut, the ids
+    of pieces are remembered, in two generations of bounded size. Texts with letters beyond Latin Extended-A, or with
+    what may be a special token, and all texts of other files go to the tokenizer whole.
     """
 
     def __init__(self, vocabulary: str):
@@ -50,25 +62,60 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[str, bytes] = {"": b""}
+        told = json.loads(vocabulary)
+        self.by_piece = _is_known(told)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]):
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        if not self.by_piece:
+            yield from self.whole(texts)
+            return
+        cut = [None if _BEYOND.search(t) or "<|" in t else _PIECE.findall(t.lower()) for t in texts]
         if len(self.known) > _REMEMBERED:
-            self.known = {"": b""}
-        missing = list({c for chunks in cut for c in chunks if c not in self.known})
-        long_ones: dict[str, bytes] = {}
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for chunk, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                (self.known if len(chunk) <= _SHORT else long_ones)[chunk] = np.array(found.ids, "<u4").tobytes()
-        known = self.known
-        for chunks in cut:
-            if long_ones:
-                yield b"".join([known[c] if c in known else long_ones[c] for c in chunks])
-            else:
-                yield b"".join([known[c] for c in chunks])
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        missing = set().union(*(pieces for pieces in cut if pieces is not None)).difference(known)
+        if older:
+            found = {c: older[c] for c in missing if c in older}
+            known.update(found)
+            missing.difference_update(found)
+        missing = list(missing)
+        for i in range(0, len(missing), 8192):
+            part = missing[i : i + 8192]
+            known.update(zip(part, self.whole(part)))
+        rest = iter(self.whole([t for t, pieces in zip(texts, cut) if pieces is None]))
+        for pieces in cut:
+            yield next(rest) if pieces is None else b"".join([known[c] for c in pieces])
+
+
+def _is_known(told: dict) -> bool:
+    """Whether a tokenizer file normalises and cuts texts as the pieces below do."""
+    normal = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = cuts[0].get("pattern", {}).get("Regex") if cuts else None
+    special = all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] for x in told.get("added_tokens", []))
+    return normal == ["NFC", "Replace", "Lowercase"] and pattern == PIECES and cuts[0].get("behavior") == "Removed" and len(cuts) == 2 and cuts[1].get("type") == "ByteLevel" and special
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """This worker process's encoder: what it remembers outlives a task."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_dateloom_encoders", types.ModuleType("_dateloom_encoders"))
+    found = getattr(held, "by_vocabulary", None)
+    if found is None:
+        found = held.by_vocabulary = {}
+    key = zlib.crc32(vocabulary.encode()), len(vocabulary)
+    if key not in found:
+        found.clear()
+        found[key] = Encoder(vocabulary)
+    return found[key]
 
 
 @dataclass(frozen=True)
@@ -84,14 +131,13 @@ def _written(folder: str, vocabulary: str, end_id: int, width: int):
         part = TaskContext.get().partitionId()
         files, at = opened(f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.tok")
         files.create_dir(at.rpartition("/")[0], recursive=True)
-        encoder, end = None, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
         sizes, ids, without = [], [], 0
         with files.open_output_stream(at) as out:
             for batch in batches:
-                encoder = encoder or Encoder(vocabulary)
                 texts = batch.column("text").to_pylist()
                 for i in range(0, len(texts), 64):
-                    found = [x + end for x in encoder.encode([t or "" for t in texts[i : i + 64]])]
+                    found = [x + end for x in encode([t or "" for t in texts[i : i + 64]])]
                     sizes += [len(x) // 4 for x in found]
                     data = b"".join(found)
                     out.write(data if width == 4 else np.frombuffer(data, "<u4").astype("<u2").tobytes())
