@@ -30,7 +30,8 @@ SQL: dict[str, str] = {
         b AS (SELECT page_id, pattern, valid_from, valid_to FROM k JOIN c ON key = pattern AND action = 'add'
                  AND valid_from <= fetched AND (valid_to IS NULL OR fetched < valid_to)
               QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern DESC) = 1)
-        SELECT p.page_id, p.url, p.fetched, b.pattern IS NOT NULL AS blocked, b.pattern, b.valid_from, b.valid_to
+        SELECT p.page_id, p.url, strftime(p.fetched, '%Y-%m-%d %H:%M:%S') AS fetched, b.pattern IS NOT NULL AS blocked, b.pattern,
+               strftime(b.valid_from, '%Y-%m-%d %H:%M:%S') AS valid_from, strftime(b.valid_to, '%Y-%m-%d %H:%M:%S') AS valid_to
         FROM p LEFT JOIN b USING (page_id)
     """,
     "op6_line_rules": r"""

@@ -64,7 +64,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = table(spark, sf_dir, "pages")
     found = verdicts(captures_of(pages.select("page_id", "url")), entries_of(pages))
-    return found.select("page_id", "url", "fetched", "blocked", "pattern", "valid_from", "valid_to")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select("page_id", "url", text("fetched"), "blocked", "pattern", text("valid_from"), text("valid_to"))
 
 
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
