@@ -9,7 +9,6 @@ file has a name of its own for each attempt to write it; the table of shards, wr
 from __future__ import annotations
 
 import json
-import re
 import struct
 import uuid
 import zlib
@@ -18,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +28,17 @@ _MAGIC = b"TOKEF001"
 #: magic, bytes an id, ids, documents, documents without a doc_id, least doc_id, sizes of the two codes.
 _FOOTER = "<8sIQQQqQQ"
 #: Pieces whose ids a worker remembers in a generation.
-_REMEMBERED = 300_000
+_REMEMBERED = 400_000
 #: Fixed value: how the pre-tokenizer cuts normalised text; and the same cut for texts without code points beyond U+017F.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LETTERS, _NUMBERS, _SPACES = r"a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f", r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\t-\r \u0085\u00a0"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_LETTERS, _NUMBERS, _SPACES = r"a-zA-Z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}", r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}", r"\t-\r \x{85}\x{a0}"
+_PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
+_GAP = rf"[{_SPACES}]+"
 #: The dotted capital I becomes two code points in lower case.
-_BEYOND = re.compile(r"[^\u0000-\u012f\u0131-\u017f]")
+_BEYOND = r"[^\x{0}-\x{12f}\x{131}-\x{17f}]"
 _SHARDS = "shard int, path string, n_documents long, n_tokens long"
+#: Texts encoded at once.
+_AT_ONCE = 1024
 #: Ids read at once.
 _READ = 1 << 20
 
@@ -64,33 +67,56 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         told = json.loads(vocabulary)
         self.by_piece = _is_known(told)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]):
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each); nulls are empty.
+
+        Arrow cuts the texts into pieces and numbers them; each distinct one is looked up once and its ids are laid out
+        by number.
+        """
+        texts = texts.fill_null("")
         if not self.by_piece:
-            yield from self.whole(texts)
-            return
-        cut = [None if _BEYOND.search(t) or "<|" in t else _PIECE.findall(t.lower()) for t in texts]
+            own = [np.frombuffer(x, "<u4") for x in self.whole(texts.to_pylist())]
+            return np.concatenate([np.zeros(0, "<u4"), *own]), np.array([len(x) for x in own], np.int64)
+        odd = pc.or_(pc.match_substring_regex(texts, _BEYOND), pc.match_substring(texts, "<|"))
+        apart = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(odd, "", texts)), _PIECE, r" \0 ")
+        lists = pc.split_pattern_regex(apart, _GAP)
+        codes = lists.flatten().dictionary_encode()
+        found = self.looked_up(codes.dictionary.to_numpy(zero_copy_only=False).tolist())
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        pool = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(size))).astype(np.int32), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        ids = pool.take(codes.indices).flatten().to_numpy()
+        each = size[codes.indices.to_numpy()]
+        sums = np.concatenate(([0], np.cumsum(each)))
+        counts = np.diff(sums[lists.offsets.to_numpy()])
+        if pc.any(odd).as_py():
+            at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            ends = np.cumsum(counts)
+            parts = np.split(ids, ends[at])
+            own = [np.frombuffer(x, "<u4") for x in self.whole(texts.take(pa.array(at)).to_pylist())]
+            ids = np.concatenate([x for pair in zip(parts, [*own, parts[-1][:0]]) for x in pair])
+            counts[at] = [len(x) for x in own]
+        return ids, counts
+
+    def looked_up(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces; new ones go to the tokenizer together."""
         if len(self.known) > _REMEMBERED:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        missing = set().union(*(pieces for pieces in cut if pieces is not None)).difference(known)
-        if older:
-            found = {c: older[c] for c in missing if c in older}
-            known.update(found)
-            missing.difference_update(found)
-        missing = list(missing)
-        for i in range(0, len(missing), 8192):
-            part = missing[i : i + 8192]
-            known.update(zip(part, self.whole(part)))
-        rest = iter(self.whole([t for t, pieces in zip(texts, cut) if pieces is None]))
-        for pieces in cut:
-            yield next(rest) if pieces is None else b"".join([known[c] for c in pieces])
+            self.known, self.older = {"": b""}, self.known
+        found = list(map(self.known.get, pieces))
+        missing = [p for p, x in zip(pieces, found) if x is None]
+        if missing:
+            old = list(map(self.older.get, missing))
+            self.known.update((p, x) for p, x in zip(missing, old) if x is not None)
+            new = [p for p, x in zip(missing, old) if x is None]
+            for i in range(0, len(new), 8192):
+                self.known.update(zip(new[i : i + 8192], self.whole(new[i : i + 8192])))
+            found = list(map(self.known.__getitem__, pieces))
+        return found
 
 
 def _is_known(told: dict) -> bool:
@@ -131,16 +157,15 @@ def _written(folder: str, vocabulary: str, end_id: int, width: int):
         part = TaskContext.get().partitionId()
         files, at = opened(f"{folder}/shard-{part:06d}-{uuid.uuid4().hex}.tok")
         files.create_dir(at.rpartition("/")[0], recursive=True)
-        encode, end = encoder(vocabulary).encode, np.array([end_id], "<u4").tobytes()
+        encode = encoder(vocabulary).encode
         sizes, ids, without = [], [], 0
         with files.open_output_stream(at) as out:
             for batch in batches:
-                texts = batch.column("text").to_pylist()
-                for i in range(0, len(texts), 64):
-                    found = [x + end for x in encode([t or "" for t in texts[i : i + 64]])]
-                    sizes += [len(x) // 4 for x in found]
-                    data = b"".join(found)
-                    out.write(data if width == 4 else np.frombuffer(data, "<u4").astype("<u2").tobytes())
+                for i in range(0, batch.num_rows, _AT_ONCE):
+                    found, counts = encode(batch.column("text").slice(i, _AT_ONCE))
+                    found = np.insert(found, np.cumsum(counts), end_id)
+                    sizes += (counts + 1).tolist()
+                    out.write(found.astype("<u2").tobytes() if width == 2 else found.tobytes())
                 given = batch.column("doc_id")
                 without += given.null_count
                 ids.append(given.drop_null().to_numpy(zero_copy_only=False))
@@ -165,7 +190,7 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int = 1, fo
     Rows that repeat a doc_id follow each other by the hash of their texts. An empty table gives empty shards.
     """
     spark = documents.sparkSession
-    tune(spark, 512)
+    tune(spark, 1024)
     with open(vocabulary_path, encoding="utf-8") as f:
         vocabulary = f.read()
     from tokenizers import Tokenizer
