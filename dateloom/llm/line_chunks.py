@@ -44,7 +44,8 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
 
     Earlier: by doc_id (null first), then text hash, then place.
     """
-    rows = chunk_arrays(documents).select("doc_id", "row_key", F.posexplode("chunks").alias("chunk_no", "c"))
+    # the outer form: a filter inferred for the inner one would be pushed below and compute the arrays again for every line
+    rows = chunk_arrays(documents).select("doc_id", "row_key", F.posexplode_outer("chunks").alias("chunk_no", "c"))
     rows = rows.where((F.col("c.size") > 1) & F.col("c.chunk").rlike("[^ \\t-\\r]")).select("doc_id", "row_key", "chunk_no", "c.size", F.xxhash64("c.chunk").alias("hash"), F.col("c.chunk").alias("chunk"))
     hashes = written(rows.drop("chunk"), "chunks")
     again = written(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
