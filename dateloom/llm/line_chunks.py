@@ -10,16 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import small, written
+from dateloom.llm.common import BROADCAST_ROWS, small, written
 
 #: Lines under the rolling hash, its multiplier, and lines in a chunk on average.
 WINDOW, TIMES, LINES = 2, 31, 3
 
 
+def _texts(documents: DataFrame) -> DataFrame:
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("row_key", F.xxhash64("text"))
+
+
 def chunk_arrays(documents: DataFrame) -> DataFrame:
-    """doc_id, text, row_key and chunks (text and number of lines of each) of each row; null texts are empty."""
-    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = out.withColumn("lines", F.split("text", "\n", -1)).withColumn("row_key", F.xxhash64("text"))
+    """doc_id, row_key, text and chunks (text and number of lines of each) of each row; null texts are empty."""
+    return _chunked(_texts(documents))
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    keep = rows.columns
+    out = rows.withColumn("lines", F.split("text", "\n", -1))
     line_hash = lambda line: F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
     out = out.withColumn("hashes", F.transform("lines", line_hash))
 
@@ -36,7 +45,7 @@ def chunk_arrays(documents: DataFrame) -> DataFrame:
         size = end - start + 1
         return F.struct(F.array_join(F.slice("lines", start + 1, size), "\n").alias("chunk"), size.alias("size"))
 
-    return out.withColumn("chunks", F.transform("ends", chunk)).select("doc_id", "row_key", "text", "chunks")
+    return out.withColumn("chunks", F.transform("ends", chunk)).select(*keep, "chunks")
 
 
 def repeated_chunks(documents: DataFrame) -> DataFrame:
@@ -73,9 +82,13 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     """
     gone = repeated_chunks(documents).distinct().groupBy("doc_id", "row_key").agg(F.collect_set("chunk_no").alias("gone"), F.sum("size").alias("n_removed_lines"))
     gone = written(gone, "gone")
-    rows = chunk_arrays(documents)
+    sizes = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("chunks")).first()
     found = gone.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "gone", "n_removed_lines")
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
+    if sizes["rows"] <= BROADCAST_ROWS and sizes["chunks"] <= 10 * BROADCAST_ROWS:
+        found = F.broadcast(found)
+    # joined to the bare texts, whose chunks are made after it
+    rows = _texts(documents).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
+    rows = _chunked(rows)
     left = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("chunks", k)["chunk"]), "\n"))
     return rows.select(
