@@ -62,6 +62,8 @@ def _raked_here(cells: pd.DataFrame, targets: dict[str, dict], mixture: Mixture)
     tokens = cells["tokens"].to_numpy(float)
     codes = {d: pd.factorize(cells[d], sort=True) for d in DIMENSIONS}
     total = tokens.sum()
+    if not total:
+        return factor
     for _ in range(mixture.rounds):
         off = 0.0
         for d in DIMENSIONS:
