@@ -45,3 +45,24 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df as it is (the join then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def frugal(run):
+    """run, a generator over Arrow batches, followed by the return of freed memory to the system: workers live on and
+    would else hold the most that any of their tasks has needed."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dateloom.llm import kernels
-from dateloom.llm.common import tune
+from dateloom.llm.common import frugal, tune
 
 GRAM = 10
 #: Bits of the table of grams; a false hit only lets a start walk.
 _TABLE = 23
 #: Bytes of text searched at once.
-_AT_ONCE = 3 << 20
+_AT_ONCE = 1 << 20
 _MATCH = "doc_id long, item_id long, distance int, start int, length int"
 
 
@@ -288,7 +288,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Se
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for block in _blocks(benchmark, search.block):
-        part = rows.mapInArrow(_matches(Index(block, search)), _MATCH)
+        part = rows.mapInArrow(frugal(_matches(Index(block, search))), _MATCH)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], _MATCH)
 
@@ -311,5 +311,5 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, search: Sea
         return run
 
     for block in _blocks(benchmark, search.block):
-        documents = documents.mapInArrow(clean(Index(block, search)), documents.schema)
+        documents = documents.mapInArrow(frugal(clean(Index(block, search))), documents.schema)
     return documents

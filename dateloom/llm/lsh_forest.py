@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dateloom.llm import kernels
-from dateloom.llm.common import small, tune, written
+from dateloom.llm.common import frugal, small, tune, written
 from dateloom.llm.components import connected_components
 
 #: Min-hashes of a tree, two bytes each.
@@ -174,7 +174,7 @@ def _neighbours(nodes: DataFrame, trees: int, window: int, forest: Forest) -> Da
     order = ["tree", "prefix", "node"]
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = "a binary, b binary, cut int, prefix binary, tree int, n_shingles long, root binary, node binary"
-    scanned = written(rows.mapInArrow(_scan(forest, window), schema), "neighbours")
+    scanned = written(rows.mapInArrow(frugal(_scan(forest, window)), schema), "neighbours")
     cuts = scanned.where("cut is not null").drop("a", "b").groupBy("cut").applyInArrow(_at_cut(forest, window), _PAIRS)
     return scanned.where("cut is null").select("a", "b").unionByName(cuts).distinct()
 
@@ -240,7 +240,7 @@ def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest, block: int
     shares = rows.groupBy("tree", "region", "root").agg(F.count("*").alias("share"))
     majority = written(shares.groupBy("tree", "region").agg(F.max_by("root", F.struct("share", "root")).alias("majority"), (F.sum("share") - F.max("share")).alias("outsiders")), "majority")
     texts = _texts(rows.select("node").distinct(), nodes, documents)
-    sketches = texts.mapInArrow(_sketched(forest), "node binary, sketch binary").join(nodes.select("node", "n_shingles", "signature"), "node")
+    sketches = texts.mapInArrow(frugal(_sketched(forest)), "node binary, sketch binary").join(nodes.select("node", "n_shingles", "signature"), "node")
     rows = rows.join(small(majority), ["tree", "region"])
     # blocks of members times blocks of outsiders
     rows = rows.withColumns({"members": F.ceil(F.col("n") / block).cast("int"), "others": F.ceil(F.col("outsiders") / block).cast("int")})
@@ -267,7 +267,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, forest: For
     pairs = written(pairs, "pairs")
     texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, documents)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return written(both.mapInArrow(_confirmed(forest), _PAIRS), "links")
+    return written(both.mapInArrow(frugal(_confirmed(forest)), _PAIRS), "links")
 
 
 def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
@@ -281,7 +281,7 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
     """
     tune(documents.sparkSession, 512)
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    hashed = written(documents.mapInArrow(_hashed(forest), _HASHED), "hashed")
+    hashed = written(documents.mapInArrow(frugal(_hashed(forest)), _HASHED), "hashed")
     sets = hashed.where("n_shingles > 0")
     classes = sets.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("rows"))
     # one row of each class carries its signature: that of the smallest id, and of these the smallest text

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dateloom.llm import kernels
-from dateloom.llm.common import small, tune, written
+from dateloom.llm.common import frugal, small, tune, written
 
 STATISTICS = (
     "log_bytes", "log_words", "word_length", "word_length_spread", "upper", "digits", "punctuation", "symbols", "bangs", "bars",
@@ -104,7 +104,7 @@ def measured(documents: DataFrame) -> DataFrame:
     """(doc_id, x array<double>) of each row of documents, written to the shared folder."""
     tune(documents.sparkSession, 512)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(rows.mapInArrow(_measured, "doc_id long, x array<double>"), "statistics")
+    return written(rows.mapInArrow(frugal(_measured), "doc_id long, x array<double>"), "statistics")
 
 
 def held_out(doc_id, of: int, remainder: int):
@@ -199,7 +199,7 @@ def fit(rows: DataFrame, labels: DataFrame, label: str, model: QualityModel = Qu
         return QualityModel(**{**model.__dict__, "knots": ((0.0,), (seen[1] if seen[0] else 0.5,))})
     d = len(STATISTICS)
     model = QualityModel(**{**model.__dict__, "centre": np.array(seen[2 : 2 + d], float), "scale": np.maximum(np.array(seen[2 + d :], float), 1e-6)})
-    sums = known.select("x", "y", "fold").mapInArrow(_normal_equations(model), "k int, v array<double>").groupBy("k").applyInArrow(_added, "k int, v array<double>")
+    sums = known.select("x", "y", "fold").mapInArrow(frugal(_normal_equations(model)), "k int, v array<double>").groupBy("k").applyInArrow(_added, "k int, v array<double>")
     found = sums.toPandas().sort_values("k")
     size = model.features + 1
     total = np.zeros((FOLDS, size + 1, size + 1))
@@ -227,7 +227,7 @@ def fit(rows: DataFrame, labels: DataFrame, label: str, model: QualityModel = Qu
                 at = np.clip(np.floor((raw + 0.5) / 2 * BINS), 0, BINS - 1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw), batch.column("y")], ["bin", "raw", "y"])
 
-    bins = known.mapInArrow(left_out, "bin int, raw double, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("raw").alias("raw"), F.avg("y").alias("y")).toPandas().sort_values("bin")
+    bins = known.mapInArrow(frugal(left_out), "bin int, raw double, y double").groupBy("bin").agg(F.count("*").alias("n"), F.avg("raw").alias("raw"), F.avg("y").alias("y")).toPandas().sort_values("bin")
     fitted = isotonic(bins["n"].to_numpy(float), bins["y"].to_numpy(float))
     return QualityModel(**{**model.__dict__, "knots": (bins["raw"].to_numpy(float), fitted)})
 
@@ -239,7 +239,7 @@ def scored(rows: DataFrame, model: QualityModel) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch)) if batch.num_rows else np.zeros(0), pa.float64())], ["doc_id", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -273,4 +273,4 @@ def with_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3
                 found = model.score(statistics(*kernels.string_buffers(batch.column("text").cast(pa.string()))))
                 yield batch.filter(pa.array(found >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(frugal(run), documents.schema)

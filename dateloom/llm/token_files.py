@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import scratch, tune
+from dateloom.llm.common import frugal, scratch, tune
 from dateloom.llm.elias_fano import EliasFano
 
 _MAGIC = b"TOKEF001"
 #: magic, bytes an id, ids, documents, documents without a doc_id, least doc_id, sizes of the two codes.
 _FOOTER = "<8sIQQQqQQ"
 #: Pieces whose ids a worker remembers in a generation.
-_REMEMBERED = 400_000
+_REMEMBERED = 250_000
 #: Fixed value: how the pre-tokenizer cuts normalised text; and the same cut for texts without code points beyond U+017F.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _NUMBERS, _SPACES = r"a-zA-Z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}", r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}", r"\t-\r \x{85}\x{a0}"
@@ -200,7 +200,7 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int = 1, fo
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    rows.mapInArrow(_written(folder, vocabulary, end_id, width), _SHARDS).write.parquet(f"{folder}/shards")
+    rows.mapInArrow(frugal(_written(folder, vocabulary, end_id, width)), _SHARDS).write.parquet(f"{folder}/shards")
     return open_tokens(spark, folder)
 
 
@@ -252,4 +252,4 @@ def read_tokens(tokens: TokenFiles) -> DataFrame:
     starts = shards["n_tokens"].cumsum() - shards["n_tokens"]
     rows = [(path, int(start)) for path, start, n in zip(shards["path"], starts, shards["n_documents"]) if n]
     planned = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
-    return planned.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
+    return planned.mapInArrow(frugal(_read), "doc_id long, start long, n_tokens long, ids binary")

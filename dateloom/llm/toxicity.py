@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import small, tune, written
+from dateloom.llm.common import frugal, small, tune, written
 from dateloom.llm.quality import held_out
 
 #: Hashed features.
@@ -109,7 +109,7 @@ def _counted(batches):
 
 def learnt(texts: DataFrame, model: ToxicityModel = ToxicityModel()) -> ToxicityModel:
     """A model from all rows of texts (doc_id, text, y 0 or 1)."""
-    counts = written(texts.select("text", "y").mapInArrow(_counted, "bucket long, with long, without long").groupBy("bucket").agg(F.sum("with").alias("p"), F.sum("without").alias("q")), "buckets")
+    counts = written(texts.select("text", "y").mapInArrow(frugal(_counted), "bucket long, with long, without long").groupBy("bucket").agg(F.sum("with").alias("p"), F.sum("without").alias("q")), "buckets")
     totals = counts.where("bucket = -1").first()
     if totals is None or not totals["p"] or not totals["q"]:
         return model
@@ -135,7 +135,7 @@ def learnt(texts: DataFrame, model: ToxicityModel = ToxicityModel()) -> Toxicity
                 ends.append([len(found) for _, _, found in told])
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(plain, pa.int64()), pa.array(features, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["y", "plain", "features", "sizes"])
 
-    found = sample.select("text", "y").mapInArrow(bags, "y int, plain long, features array<int>, sizes array<int>").toArrow()
+    found = sample.select("text", "y").mapInArrow(frugal(bags), "y int, plain long, features array<int>, sizes array<int>").toArrow()
     return _taught(model, chosen, found)
 
 
@@ -211,5 +211,5 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, model: ToxicityMode
     marks = written(marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y")), "marks")
     known = written(rows.join(small(marks), "doc_id"), "labelled")
     model = learnt(known, model)
-    out = rows.mapInArrow(_scores(model, threshold), _SCORED)
+    out = rows.mapInArrow(frugal(_scores(model, threshold)), _SCORED)
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_sentences", "offending")
