@@ -3,7 +3,8 @@
 A sentence's log-odds are a bias plus the weights of its features: whole words and the first 4, 5 and 6 characters of
 words, hashed to BUCKETS. Only document labels are known. Each partition counts, over all labelled documents, how
 many of either label hold each bucket; the buckets that tell most are kept. Noisy-or gradients then teach their
-weights from a sample of labelled documents, whose size is a documented parameter. Every whole text is scored.
+weights from a sample of labelled documents, whose size is a documented parameter; what models without a fold say of
+it calibrates the scores. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dateloom.llm.common import frugal, small, tune, written
-from dateloom.llm.quality import held_out
+from dateloom.llm.quality import held_out, isotonic
 
+#: Folds of the taught documents, for calibration.
+FOLDS = 3
 #: Hashed features.
 BUCKETS = 1 << 18
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -54,6 +57,11 @@ class ToxicityModel:
     bias: float = -7.0
     chosen: np.ndarray = field(default=None, repr=False, compare=False)
     weights: np.ndarray = field(default=None, repr=False, compare=False)
+    knots: tuple = field(default=None, repr=False, compare=False)
+
+    def calibrated(self, raw):
+        """The share of labels among documents that a model without them gave such a chance."""
+        return np.interp(raw, *self.knots)
 
 
 class _Reader:
@@ -133,40 +141,70 @@ def learnt(texts: DataFrame, model: ToxicityModel = ToxicityModel()) -> Toxicity
                 plain.append(n - len(told))
                 features.append([k for _, _, found in told for k in found])
                 ends.append([len(found) for _, _, found in told])
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(plain, pa.int64()), pa.array(features, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], ["y", "plain", "features", "sizes"])
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(plain, pa.int64()), pa.array(features, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), batch.column("fold")], ["y", "plain", "features", "sizes", "fold"])
 
-    found = sample.select("text", "y").mapInArrow(frugal(bags), "y int, plain long, features array<int>, sizes array<int>").toArrow()
+    # copies of a text share a fold
+    sample = sample.select("text", "y", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+    found = sample.mapInArrow(frugal(bags), "y int, plain long, features array<int>, sizes array<int>, fold int").toArrow()
     return _taught(model, chosen, found)
 
 
 def _taught(model: ToxicityModel, chosen: np.ndarray, bags: pa.Table) -> ToxicityModel:
-    """Noisy-or likelihood of the document labels, climbed by Adam on all bags at once."""
+    """The climb on all bags; and the calibration that climbs on all folds but one teach by the bags of that one."""
     y = bags.column("y").to_numpy().astype(float)
     plain = bags.column("plain").to_numpy().astype(float)
     flat = lambda name: bags.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    feature, size = flat("features"), flat("sizes")
-    sentences_of = np.array([len(x) for x in bags.column("sizes").to_pylist()], np.int64)
-    bag = np.repeat(np.arange(len(y)), sentences_of)
-    sentence = np.repeat(np.arange(len(size)), size)
-    weights, bias = np.full(len(chosen), model.base), model.bias
-    moments = np.zeros((2, len(chosen) + 1))
-    sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
-    for step in range(1, model.steps + 1):
-        p = sigmoid(bias + np.bincount(sentence, weights[feature], len(size)))
-        p0 = sigmoid(bias)
+    size = flat("sizes")
+    bag = np.repeat(np.arange(len(y)), [len(x) for x in bags.column("sizes").to_pylist()])
+    data = _Bags(y, plain, flat("features"), np.repeat(np.arange(len(size)), size), bag, len(chosen))
+    fold = bags.column("fold").to_numpy()
+    raw = np.zeros(len(y))
+    for k in range(FOLDS):
+        raw[fold == k] = data.chances(*data.climbed(model, fold != k))[fold == k]
+    order = np.argsort(raw, kind="stable")
+    steps = [x for x in np.array_split(order, min(len(order), 400)) if len(x)]
+    fitted = isotonic(np.array([len(x) for x in steps], float), np.array([y[x].mean() for x in steps]))
+    knots = np.array([raw[x].mean() for x in steps]), fitted
+    weights, bias = data.climbed(model, np.ones(len(y), bool))
+    return ToxicityModel(**{**model.__dict__, "chosen": chosen, "weights": weights, "bias": float(bias), "knots": knots})
+
+
+class _Bags:
+    """Documents as bags of sentences, these as bags of features; sentences without feature are counted only."""
+
+    def __init__(self, y, plain, feature, sentence, bag, features):
+        self.y, self.plain, self.feature, self.sentence, self.bag, self.features = y, plain, feature, sentence, bag, features
+
+    def _parts(self, weights, bias):
+        p = _sigmoid(bias + np.bincount(self.sentence, weights[self.feature], len(self.bag)))
         # log of the chance that no sentence offends
-        clean = np.bincount(bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + plain * np.log1p(-p0)
-        any_ = -np.expm1(clean)
-        # d loss / d log-odds of a sentence = p * (1 - y / P)
-        pull = 1 - y / np.maximum(any_, 1e-9)
-        per_sentence = p * pull[bag]
-        down = np.append(np.bincount(feature, per_sentence[sentence], len(chosen)), per_sentence.sum() + (plain * p0 * pull).sum()) / len(y)
-        down[:-1] += model.shrink * weights / len(chosen) ** 0.5
-        moments[0] = 0.9 * moments[0] + 0.1 * down
-        moments[1] = 0.99 * moments[1] + 0.01 * down**2
-        move = 0.1 * moments[0] / (1 - 0.9**step) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
-        weights, bias = weights - move[:-1], bias - move[-1]
-    return ToxicityModel(**{**model.__dict__, "chosen": chosen, "weights": weights, "bias": float(bias)})
+        clean = np.bincount(self.bag, np.log1p(-np.minimum(p, 1 - 1e-12)), len(self.y)) + self.plain * np.log1p(-_sigmoid(bias))
+        return p, -np.expm1(clean)
+
+    def chances(self, weights, bias) -> np.ndarray:
+        """The noisy-or of each document."""
+        return self._parts(weights, bias)[1]
+
+    def climbed(self, model: ToxicityModel, of: np.ndarray):
+        """Weights and bias at which the labels of the documents `of` are likeliest, by Adam; weights are shrunk."""
+        weights, bias = np.full(self.features, model.base), model.bias
+        moments = np.zeros((2, self.features + 1))
+        for step in range(1, model.steps + 1):
+            p, chance = self._parts(weights, bias)
+            # d loss / d log-odds of a sentence = p * (1 - y / chance)
+            pull = np.where(of, 1 - self.y / np.maximum(chance, 1e-9), 0)
+            each = p * pull[self.bag]
+            down = np.append(np.bincount(self.feature, each[self.sentence], self.features), each.sum() + (self.plain * _sigmoid(bias) * pull).sum()) / max(1, of.sum())
+            down[:-1] += model.shrink * weights / self.features**0.5
+            moments[0] = 0.9 * moments[0] + 0.1 * down
+            moments[1] = 0.99 * moments[1] + 0.01 * down**2
+            move = 0.1 * moments[0] / (1 - 0.9**step) / (np.sqrt(moments[1] / (1 - 0.99**step)) + 1e-8)
+            weights, bias = weights - move[:-1], bias - move[-1]
+        return weights, bias
+
+
+def _sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
 _SCORED = "doc_id long, score double, n_sentences long, offending array<struct<start:int,end:int,score:double>>"
@@ -185,10 +223,10 @@ def _scores(model: ToxicityModel, least: float):
                 for start, end, found in told:
                     z = model.bias + model.weights[found].sum()
                     clean -= np.logaddexp(0, z)  # log(1 - sigmoid(z))
-                    p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+                    p = _sigmoid(z)
                     if p >= least:
                         here.append({"start": start, "end": end, "score": float(p)})
-                scores.append(float(-np.expm1(clean)) if known else 0.5)
+                scores.append(float(model.calibrated(-np.expm1(clean))) if known else 0.5)
                 counts.append(n)
                 spans.append(here)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -201,7 +239,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, model: ToxicityMode
     """(doc_id, held_out, score, predicted, n_sentences, offending) of every row of documents (doc_id, text).
 
     offending lists start, end (characters) and score of each sentence that reaches the threshold by itself. Labels of
-    held-out ids are not learnt from. A null text counts as empty; an empty text has no sentence and scores 0, or 0.5
+    held-out ids are not learnt from. A null text counts as empty; an empty text has no sentence and the lowest score, or 0.5
     if nothing could be learnt (no labels, or one label only). Of several labels of an id the largest counts; null
     labels and ids teach nothing. Rows that repeat a doc_id are scored each by its text.
     """
