@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 #: White space of the word rule.
 SPACE = r"[ \t-\r]"
-#: Characters that base counts as symbols, and the ends of finished lines.
+#: Characters that base counts as symbols, and the end of a sentence within or at the end of a line.
 SYMBOLS = "#*$%&|<>"
-ENDS = ".!?:;\"'”’»…)"
+SENTENCE_END = r"[.!?:;…][\"'”’»)]*([ \t-\r]|$)"
 #: Phrases of boilerplate, lower case.
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "cookie policy", "cookies to", "privacy policy", "terms of use", "terms of service",
@@ -28,7 +28,7 @@ BOILERPLATE = (
 class LineRules:
     """bars: share of a line's words that are lone separators; symbols: share of its characters that are symbols;
     shouting: share of its words that end in two or more exclamation marks; same: share of its words equal to the word before;
-    unfinished: words from which a line must end in one of ENDS; boilerplate: words up to which a phrase condemns a line;
+    unfinished: words from which a line must hold the end of a sentence; boilerplate: words up to which a phrase condemns a line;
     lost: share of a text's word characters whose loss rejects it."""
 
     bars: float = 0.2
@@ -82,7 +82,7 @@ def line_fails(line: Column, rules: LineRules = LineRules()) -> Column:
     size = F.greatest(F.lit(1), F.char_length(line))
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
     punctuation = (count(r"!!(?=[ \t-\r]|$)") > rules.shouting * n) | (count(r"[#*$%&|<>]") > rules.symbols * size) | (
-        (n >= rules.unfinished) & ~line.rlike("[" + "".join("\\" + c if c in ".\"'()" else c for c in ENDS) + r"][ \t-\r]*$")
+        (n >= rules.unfinished) & ~line.rlike(SENTENCE_END)
     )
     navigation = count(r"(?<![^ \t-\r])[|•»>/·](?![^ \t-\r])") > rules.bars * n
     repeated = count(r"(?<![^ \t-\r])([^ \t-\r]+)(?=[ \t-\r]+\1(?:[ \t-\r]|$))") > rules.same * n

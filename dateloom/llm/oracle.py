@@ -45,7 +45,7 @@ SQL: dict[str, str] = {
         f AS (SELECT doc_id, length(array_to_string(lw, '')) AS chars,
                      len(list_filter(lw, lambda x: x LIKE '%!!')) > 0.3 * len(lw)
                      OR length(line) - length(translate(line, '#*$%&|<>', '')) > 0.1 * length(line)
-                     OR (len(lw) >= 12 AND NOT list_contains(['.', '!', '?', ':', ';', '"', chr(39), '”', '’', '»', '…', ')'], right(lw[-1], 1)))
+                     OR (len(lw) >= 12 AND NOT regexp_matches(line, '[.!?:;…]["''”’»)]*([ \t-\r]|$)'))
                      OR len(list_filter(lw, lambda x: list_contains(['|', '•', '»', '>', '/', '·'], x))) > 0.2 * len(lw)
                      OR len(list_filter(range(1, len(lw)), lambda i: lw[i] = lw[i + 1])) > 0.5 * len(lw)
                      OR (len(lw) <= 40 AND regexp_matches(lower(line), 'all rights reserved|accept cookies|cookie policy|cookies to|privacy policy|terms of use|terms of service|enable javascript|javascript is|sign in to|log in to|subscribe to our|newsletter|read more|click here|share on|back to top|lorem ipsum')) AS failed
