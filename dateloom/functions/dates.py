@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dateloom.functions import patterns as P
-from dateloom.functions.text import group, has, strip
+from dateloom.functions.text import bound, group, has, strip
 
 SHANGHAI = "Asia/Shanghai"
 
@@ -157,21 +157,27 @@ def standard_time(raw: Column, strict: bool = True, zone: str = SHANGHAI) -> Col
 def publish_text(raw: Column) -> Column:
     """The part of a scraped time line that tells the publication: after a publishing label up to a bar, else the first
     part between bars, without a leading label."""
-    text = strip(F.coalesce(raw.cast("string"), F.lit("")))
-    label = F.coalesce(group(text, r"(?i)Published\s*[:\-]?\s*([^|]+)", 1), group(text, r"发布时间\s*[:：]?\s*([^|]+)", 1))
-    first = F.coalesce(F.get(F.filter(F.transform(F.split(text, r"\|"), strip), lambda p: p != ""), 0), text)
-    return F.coalesce(strip(label), strip(F.regexp_replace(first, r"(?i)^(?:published|last\s*updated|updated|update\s*time)\s*[:\-]?\s*", "")))
 
+    def told(text: Column) -> Column:
+        label = F.coalesce(group(text, r"(?i)Published\s*[:\-]?\s*([^|]+)", 1), group(text, r"发布时间\s*[:：]?\s*([^|]+)", 1))
+        first = F.coalesce(F.get(F.filter(F.transform(F.split(text, r"\|"), strip), lambda p: p != ""), 0), text)
+        return F.coalesce(strip(label), strip(F.regexp_replace(first, r"(?i)^(?:published|last\s*updated|updated|update\s*time)\s*[:\-]?\s*", "")))
 
-def heterogeneous_time(raw: Column, anchor: Column, zone: str = SHANGHAI) -> Column:
-    """Wall-clock time in `zone` of scraped times: 'N units ago' from the anchor, dates with or without clock in
-    year-first, Chinese, US and English month forms, GMT offsets. A closed grammar: other forms are null."""
-    text = publish_text(raw)
-    number, unit = integer(group(text, r"(?i)(\d+)\s*(second|minute|hour|day|week|month|year)s?\s+ago", 1)), F.lower(group(text, r"(?i)\d+\s*(second|minute|hour|day|week|month|year)s?\s+ago", 1))
-    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
-    scale = F.create_map(*[F.lit(x) for pair in seconds.items() for x in pair])
-    moved = anchor - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (number * F.coalesce(F.try_element_at(scale, unit), F.lit(0))).cast("decimal(18,6)"))
-    shifted = F.when(unit.isin("month", "year"), anchor - F.make_ym_interval(F.when(unit == "year", number).otherwise(0), F.when(unit == "month", number).otherwise(0))).otherwise(moved)
+    return bound(strip(F.coalesce(raw.cast("string"), F.lit(""))), told)
+
+
+_AGO = r"(?i)(\d+)\s*(second|minute|hour|day|week|month|year)s?\s+ago"
+_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def _ago(number: Column, unit: Column, anchor: Column) -> Column:
+    scale = F.create_map(*[F.lit(x) for pair in _SECONDS.items() for x in pair])
+    clock = anchor - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (number * F.coalesce(F.try_element_at(scale, unit), F.lit(0))).cast("decimal(18,6)"))
+    return F.when(unit == "month", anchor - F.make_ym_interval(F.lit(0), number)).when(unit == "year", anchor - F.make_ym_interval(number, F.lit(0))).otherwise(clock)
+
+
+def _stated(text: Column, zone: str) -> Column:
+    """A date in year-first, Chinese, US or English month form with its clock, moved by a stated offset."""
     iso = r"(\d{4})\s*[-/.年]\s*(\d{1,2})\s*[-/.月]\s*(\d{1,2})"
     us, word = r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b", rf"(?i)\b({P.MONTH})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})"
     part = lambda pattern, k: integer(group(text, pattern, k))
@@ -181,11 +187,20 @@ def heterogeneous_time(raw: Column, anchor: Column, zone: str = SHANGHAI) -> Col
         ymd(part(word, 3), month_number(group(text, word, 1)), part(word, 2)),
     )
     clock = r"\b(\d{1,2}):(\d{2})(?::(\d{2}))?"
-    at = F.when(date.isNotNull(), F.try_make_timestamp_ntz(F.year(date), F.month(date), F.day(date), F.coalesce(part(clock, 1), F.lit(0)), F.coalesce(part(clock, 2), F.lit(0)), F.coalesce(part(clock, 3), F.lit(0))))
+    told = lambda k: F.coalesce(part(clock, k), F.lit(0))
+    at = bound(date, lambda d: F.when(d.isNotNull(), F.try_make_timestamp_ntz(F.year(d), F.month(d), F.day(d), told(1), told(2), told(3))))
     offset = r"(?:GMT|UTC)\s*([+-]?\d{1,2})\b|\d{2}:\d{2}(?::\d{2})?\s*([+-]\d{2}):?\d{2}\b"
-    hours = F.coalesce(integer(group(text, offset, 1)), integer(group(text, offset, 2)), F.when(has(text, r"\d{2}:\d{2}(?::\d{2})?\s*(?:Z|GMT|UTC)\b"), F.lit(0)))
-    zoned = F.when(hours.isNotNull(), F.convert_timezone(F.lit("UTC"), F.lit(zone), at - F.make_dt_interval(F.lit(0), hours))).otherwise(at)
-    return F.coalesce(F.when(number.isNotNull(), shifted), zoned)
+    hours = F.coalesce(part(offset, 1), part(offset, 2), F.when(has(text, r"\d{2}:\d{2}(?::\d{2})?\s*(?:Z|GMT|UTC)\b"), F.lit(0)))
+    moved = lambda x: F.when(x["h"].isNotNull(), F.convert_timezone(F.lit("UTC"), F.lit(zone), x["t"] - F.make_dt_interval(F.lit(0), x["h"]))).otherwise(x["t"])
+    return bound(F.struct(at.alias("t"), hours.alias("h")), moved)
+
+
+def heterogeneous_time(raw: Column, anchor: Column, zone: str = SHANGHAI) -> Column:
+    """Wall-clock time in `zone` of scraped times: 'N units ago' from the anchor, dates with or without clock in
+    year-first, Chinese, US and English month forms, GMT offsets. A closed grammar: other forms are null."""
+    parts = lambda text: F.struct(text.alias("text"), integer(group(text, _AGO, 1)).alias("n"), F.lower(group(text, _AGO, 2)).alias("unit"))
+    read = lambda x: F.when(x["n"].isNotNull(), _ago(x["n"], x["unit"], anchor)).otherwise(_stated(x["text"], zone))
+    return bound(bound(publish_text(raw), parts), read)
 
 
 def iso_text(wall: Column, offset: str = "+08:00") -> Column:

@@ -18,6 +18,11 @@ def group(text: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with value computed once, however often f reads it: Column code else repeats its expression."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def strip(text: Column) -> Column:
     """Without white space (in the Unicode sense) at either end."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

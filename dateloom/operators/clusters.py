@@ -31,17 +31,17 @@ def days_apart(a: Column, b: Column) -> Column:
     return F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 86_400_000_000.0
 
 
-def banded_pairs(rows: DataFrame, days: float = 7.0) -> DataFrame:
-    """(id_a, id_b, days) of all pairs id_a < id_b of rows (id, at) at most `days` apart; null times pair with none.
+def banded_pairs(rows: DataFrame, days: float = 7.0, by: list[str] | None = None) -> DataFrame:
+    """(id_a, id_b, days) of all pairs id_a < id_b of rows (id, at) at most `days` apart, and equal in `by`; null times pair with none.
 
     Each row goes to its bucket of that length and is met from the next, so a pair meets once.
     """
-    width = int(days * 86_400_000_000)
+    width, by = int(days * 86_400_000_000), by or []
     rows = rows.where("at is not null and id is not null").withColumn("_b", F.floor(F.unix_micros(F.col("at").cast("timestamp")) / width))
-    left = rows.select(F.col("id").alias("l"), F.col("at").alias("lt"), "_b")
-    right = rows.select(F.col("id").alias("r"), F.col("at").alias("rt"), F.explode(F.array(F.struct("_b", F.lit(True).alias("own")), F.struct((F.col("_b") + 1).alias("_b"), F.lit(False).alias("own")))).alias("x"))
-    right = right.select("r", "rt", "x._b", "x.own")
-    pairs = left.join(right, "_b").where((~F.col("own") | (F.col("l") < F.col("r"))) & (days_apart(F.col("lt"), F.col("rt")) <= days))
+    left = rows.select(F.col("id").alias("l"), F.col("at").alias("lt"), "_b", *by)
+    right = rows.select(F.col("id").alias("r"), F.col("at").alias("rt"), *by, F.explode(F.array(F.struct("_b", F.lit(True).alias("own")), F.struct((F.col("_b") + 1).alias("_b"), F.lit(False).alias("own")))).alias("x"))
+    right = right.select("r", "rt", *by, "x._b", "x.own")
+    pairs = left.join(right, ["_b", *by]).where((~F.col("own") | (F.col("l") < F.col("r"))) & (days_apart(F.col("lt"), F.col("rt")) <= days))
     return pairs.select(F.least("l", "r").alias("id_a"), F.greatest("l", "r").alias("id_b"), F.round(days_apart(F.col("lt"), F.col("rt")), 6).alias("days"))
 
 

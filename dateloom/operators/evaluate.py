@@ -147,3 +147,8 @@ def dataset_sizes(v1: DataFrame, v2: DataFrame, rows: DataFrame, sampled: DataFr
     ids = lambda df, name: df.agg(F.countDistinct("id").alias(name))
     mismatch = rows.agg(F.count("*").alias("overlap_count"), F.count_if("standard_mismatch").alias("standard_timestamp_mismatch_count"))
     return ids(v1, "v1_count").crossJoin(ids(v2, "v2_count")).crossJoin(mismatch).crossJoin(ids(sampled if sampled is not None else rows, "sampled_count"))
+
+
+def parse_counts(rows: DataFrame, parsed: str) -> DataFrame:
+    """One row: how many rows there are, how many parsed, how many did not."""
+    return rows.agg(F.count("*").alias("total"), F.count(parsed).alias("parsed"), F.count_if(F.col(parsed).isNull()).alias("failed"))

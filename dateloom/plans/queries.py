@@ -447,6 +447,11 @@ def annotator_counts(spark, sf_dir):
     return annotate.outcomes(annotate.annotated(o.select(F.col("o_orderkey").alias("id"), title.alias("title"), d.alias("standard_timestamp"))))
 
 
+@query("SELECT count(*) AS total, count(*) FILTER (event_id % 5 <> 4) AS parsed, count(*) FILTER (event_id % 5 = 4) AS failed FROM events")
+def parse_counts(spark, sf_dir):
+    return evaluate.parse_counts(heterogeneous_times(spark, sf_dir), "parsed_time")
+
+
 # --- evaluation --------------------------------------------------------------------------------------------------------------------
 
 _GOLD_TITLES = {
@@ -648,6 +653,40 @@ def cluster_components(spark, sf_dir):
     return clusters.clusters(_vectors(spark, sf_dir), 0.60, 7.0)
 
 
+@query("""
+    SELECT a.o_orderkey AS id_a, b.o_orderkey AS id_b, CAST(abs(date_diff('day', a.o_orderdate, b.o_orderdate)) AS BIGINT) AS days
+    FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(date_diff('day', a.o_orderdate, b.o_orderdate)) <= 7
+""")
+def window_pairs(spark, sf_dir):
+    """Orders of one customer within a week of each other: a band join on buckets of a week."""
+    rows = _orders(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.col("o_custkey").alias("g"))
+    return clusters.banded_pairs(rows, 7.0, by=["g"]).select("id_a", "id_b", F.round("days").cast("long").alias("days"))
+
+
+@query("""
+    WITH e AS (SELECT vec_id AS id, CAST(vec_id % 30 AS INT) AS day, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), t AS (SELECT * FROM e WHERE id = 17)
+    SELECT e.id, abs(e.day - t.day) > 7 AS outside, round(1 - list_cosine_similarity(e.v, t.v) + CASE WHEN abs(e.day - t.day) > 7 THEN 2 ELSE 0 END, 4) AS distance FROM e, t WHERE e.id <> t.id
+""")
+def probe_report(spark, sf_dir):
+    """Distances of all vectors to the one whose title holds a word, those beyond the window with the penalty."""
+    titles = F.when(F.col("id") == 17, "The Minister spoke").otherwise("Other news")
+    return clusters.probe(_vectors(spark, sf_dir).withColumn("title", titles), "Minister").select("id", "outside", F.round("distance", 4).alias("distance"))
+
+
+@query("""
+    WITH b AS (SELECT event_type AS source, min(date_trunc('second', ts)) AS s, max(date_trunc('second', ts)) AS e FROM events GROUP BY 1),
+         w AS (SELECT source, e, unnest(generate_series(s, e - INTERVAL 1 SECOND, INTERVAL '7 days 1 second')) AS a FROM b WHERE s < e),
+         n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY a) AS i FROM w)
+    SELECT source, strftime(max(least(a + INTERVAL 7 DAY, e)) + INTERVAL 1 SECOND, '%Y%m%dT%H%M%SZ') AS next_start_time FROM n WHERE i < 3 GROUP BY source
+""")
+def checkpoint_advance(spark, sf_dir):
+    """The third window of each source fails: checkpoints stop before it."""
+    e = ntz(table(spark, sf_dir, "events"), "ts").withColumn("t", F.date_trunc("second", "ts").cast("timestamp_ntz"))
+    windows = feeds.fetch_windows(e.groupBy(F.col("event_type").alias("source")).agg(F.min("t").alias("start"), F.max("t").alias("stop")))
+    third = F.row_number().over(Window.partitionBy("source").orderBy("window_start")) == 3
+    return feeds.advanced(windows, windows.select("source", "window_start", (~third).alias("ok")))
+
+
 @query("SELECT conv_id, md5(string_agg(role || ': ' || text || chr(10), '' ORDER BY turn, role || ': ' || text || chr(10))) AS context_md5 FROM conversations GROUP BY conv_id")
 def prompt_context(spark, sf_dir):
     """Turns of each conversation as one text in order, as a digest."""
