@@ -106,7 +106,12 @@ def year_of_month(month: Column, base: Column, hint: Column) -> Column:
 def anchor_in(s: Column, base: Column, hint: Column, words: Column) -> Column:
     """The day that stands for a span: its end after words of deadline, its start after words of beginning, base's own
     day if within, the start of a hinted future, the end of a hinted past, else the nearer end, the start if equal."""
-    start, end, today = s["start"], s["end"], day(base)  # s: best a column of its own, it is read often
+    return anchor_of(s, base, hint, has(words, P.DEADLINE), has(words, P.BEGINNING))
+
+
+def anchor_of(s: Column, base: Column, hint: Column, deadline: Column, beginning: Column) -> Column:
+    """The same where it is known whether such words are there. s: best a column of its own, it is read often."""
+    start, end, today = s["start"], s["end"], day(base)
     inner = (
         F.when(today.between(start, end), today)
         .when((hint == "future") & (today < start), start)
@@ -114,7 +119,7 @@ def anchor_in(s: Column, base: Column, hint: Column, words: Column) -> Column:
         .when(F.abs(F.datediff(today, start)) <= F.abs(F.datediff(today, end)), start)
         .otherwise(end)
     )
-    return F.when(s.isNull(), F.lit(None).cast("date")).when(has(words, P.DEADLINE), end).when(has(words, P.BEGINNING), start).otherwise(inner)
+    return F.when(s.isNull(), F.lit(None).cast("date")).when(deadline, end).when(beginning, start).otherwise(inner)
 
 
 # --- publication times ----------------------------------------------------------------------------------------------

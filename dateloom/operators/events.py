@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from dateloom.functions import patterns as P
 from dateloom.functions.dates import (
-    anchor_in,
+    anchor_of,
     day,
     integer,
     month_number,
@@ -138,6 +138,10 @@ _ORDER = (
 )
 
 
+#: Spans that are written in Chinese and do not say so in their names.
+_CHINESE = ("month_span", "month_prefix", "quarter_prefix")
+
+
 def _tagged(s: Column, granularity: Column) -> Column:
     return F.when(s.isNotNull(), F.struct(s["start"].alias("start"), s["end"].alias("end"), granularity.alias("granularity")))
 
@@ -181,12 +185,19 @@ def with_span(rows: DataFrame, point: str, text: str, corrected: bool = False) -
     return rows.withColumn("_span", F.when(at.isNotNull(), F.coalesce(*rules))).drop("_named", "_r_named", "_r_years", "_r_month", "_r_year", "_r_day")
 
 
-def is_plausible(point: Column, text: Column, base: Column) -> Column:
+def says_year(text: Column) -> Column:
+    return has(text, r"(?:19|20)\d{2}") | text.contains("年")
+
+
+def supports_far_year(text: Column) -> Column:
+    """Whether words for a year, a month or a day stand with it."""
+    dated = has(text, r"(?U)\d{1,2}\s*[-/.]\s*\d{1,2}") | has(text, r"(?U)\d{1,2}月") | has(text, rf"(?iU)\b{P.MONTH}\b")
+    return dated | has(text, P.YEAR_CONTEXT)
+
+
+def is_plausible(point: Column, base: Column, explicit: Column, supported: Column) -> Column:
     """Whether a point may be meant: 1900 to 2100; near base unless a year is said, and even then unless words support it."""
-    explicit = has(text, r"(?:19|20)\d{2}") | text.contains("年")
     far = F.abs(F.year(point) - F.year(base))
-    dated = has(text, r"(?U)\d{1,2}\s*[-/.]\s*\d{1,2}") | has(text, r"(?U)\d{1,2}月") | has(text, rf"(?iU)\b{P.MONTH}\b")
-    supported = has(text, P.YEAR_CONTEXT) | dated
     return F.coalesce(F.year(point).between(1900, 2100) & F.when(explicit, (far <= 4) | supported).otherwise(far <= 2), F.lit(False))
 
 
@@ -205,11 +216,9 @@ def bare_year(text: Column, base: Column) -> Column:
     return F.when(~finer & near, years_span(year, year))
 
 
-def _shift(words: dict[str, int], text: Column, moved) -> Column:
-    out = F.lit(None).cast("date")
-    for word, by in words.items():
-        out = F.when(F.lower(text) == word, moved(by)).otherwise(out)
-    return out
+def _shift(words: dict[str, int], word: Column) -> Column:
+    """How far a relative word moves; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), word)
 
 
 def grammar_point(text: Column, base: Column, hint: Column, lang: Column) -> Column:
@@ -221,16 +230,16 @@ def grammar_point(text: Column, base: Column, hint: Column, lang: Column) -> Col
     after = month_number(group(text, P.MONTH_AFTER_WORD, 1))
     month_year = rf"(?iU)\b({P.MONTH})\s+(\d{{4}})\b"
     zh_year_month = r"(?U)(\d{4})年(\d{1,2})月"
-    today = day(base)
+    today, word = day(base), F.lower(text)
     tries = [
         ymd(part(numeric, 1), part(numeric, 2), part(numeric, 3)),
         ymd(part(month_year, 2), month_number(group(text, month_year, 1)), one),
         ymd(part(zh_year_month, 1), part(zh_year_month, 2), one),
         ymd(year_of_month(after, base, hint), after, one),
         ymd(part(r"(?U)^(\d{4})年?$", 1), F.month(base), one),
-        _shift(P.RELATIVE_DAYS, text, lambda by: F.date_add(today, by)),
-        _shift(P.RELATIVE_MONTHS, text, lambda by: F.add_months(today, by)),
-        _shift(P.RELATIVE_YEARS, text, lambda by: F.add_months(today, 12 * by)),
+        F.date_add(today, _shift(P.RELATIVE_DAYS, word)),
+        F.add_months(today, _shift(P.RELATIVE_MONTHS, word)),
+        F.add_months(today, 12 * _shift(P.RELATIVE_YEARS, word)),
         F.date_sub(today, part(r"(?iU)\b(\d{1,4})\s+days?\s+ago\b", 1)),
     ]
     for code, names in P.MONTHS_ABROAD.items():
@@ -239,7 +248,7 @@ def grammar_point(text: Column, base: Column, hint: Column, lang: Column) -> Col
         dom = part(pattern, 1)
         tries.append(F.when(lang == code, ymd(F.coalesce(part(pattern, 3), year_near(month, dom, base, hint)), month, dom)))
     korean = r"(?:(\d{4})년\s*)?(\d{1,2})월\s*(\d{1,2})일"
-    tries.append(ymd(F.coalesce(part(korean, 1), year_near(part(korean, 2), part(korean, 3), base, hint)), part(korean, 2), part(korean, 3)))
+    tries.append(F.when(text.contains("월"), ymd(F.coalesce(part(korean, 1), year_near(part(korean, 2), part(korean, 3), base, hint)), part(korean, 2), part(korean, 3))))
     return F.coalesce(*tries)
 
 
@@ -259,20 +268,28 @@ def parsed(rows: DataFrame, corrected: bool = False) -> DataFrame:
     """
     known = set(rows.columns)
     text, base, hint, lang = (F.col(c) for c in ("_text", "base", "hint", "lang"))
+    zh, latin = F.col("_zh"), F.col("_latin")
     rows = rows.withColumn("_text", ascii_width(F.col("text")))
+    # what every step asks of the text is asked once; patterns of a script are tried only where it occurs
+    rows = rows.withColumns(
+        {
+            "_zh": has(text, "[年月季半]"), "_latin": has(text, "[A-Za-z]"), "_deadline": has(text, P.DEADLINE), "_beginning": has(text, P.BEGINNING),
+            "_explicit": says_year(text), "_supported": supports_far_year(text), "_noise": is_noise(text),
+        }
+    )
     part = lambda pattern, k: integer(group(text, pattern, k))
-    rows = rows.withColumns({"_p_" + name: x for name, x in span_parts(text).items()})
+    rows = rows.withColumns({"_p_" + name: F.when(zh if "zh" in name or name in _CHINESE else latin, x) for name, x in span_parts(text).items()})
     rows = rows.withColumns(
         {
-            "_zh_month": part(P.ZH_MD, 2), "_zh_day": part(P.ZH_MD, 3), "_en_month": month_number(group(text, P.EN_MDY, 1)), "_en_day": part(P.EN_MDY, 2),
-            "_only": part(P.SINGLE_ZH_MONTH, 1), "_grammar": grammar_point(text, base, hint, lang),
+            "_zh_month": F.when(zh, part(P.ZH_MD, 2)), "_zh_day": F.when(zh, part(P.ZH_MD, 3)), "_en_month": F.when(latin, month_number(group(text, P.EN_MDY, 1))),
+            "_en_day": F.when(latin, part(P.EN_MDY, 2)), "_only": F.when(zh, part(P.SINGLE_ZH_MONTH, 1)), "_grammar": grammar_point(text, base, hint, lang),
         }
     )
     rows = rows.withColumns(
         {
-            "_zh_year": F.coalesce(part(P.ZH_MD, 1), year_near(F.col("_zh_month"), F.col("_zh_day"), base, hint)),
-            "_en_year": F.coalesce(part(P.EN_MDY, 3), year_near(F.col("_en_month"), F.col("_en_day"), base, hint)),
-            "_only_year": year_of_month(F.col("_only"), base, hint),
+            "_zh_year": F.when(F.col("_zh_day").isNotNull(), F.coalesce(part(P.ZH_MD, 1), year_near(F.col("_zh_month"), F.col("_zh_day"), base, hint))),
+            "_en_year": F.when(F.col("_en_day").isNotNull(), F.coalesce(part(P.EN_MDY, 3), year_near(F.col("_en_month"), F.col("_en_day"), base, hint))),
+            "_only_year": F.when(F.col("_only").isNotNull(), year_of_month(F.col("_only"), base, hint)),
         }
     )
     one_of = lambda *names: F.coalesce(*[F.col("_p_" + n) for n in names])
@@ -282,25 +299,24 @@ def parsed(rows: DataFrame, corrected: bool = False) -> DataFrame:
         "month": months_of(F.col("_only_year"), F.col("_only"), F.col("_only")),
         "part": dated(one_of("quarter_en", "quarter_year_first", "quarter_zh", "half_zh", "half_en", "half_words"), F.year(base)),
         "year": bare_year(text, base),
-        "snap": snap_span(F.col("_grammar"), text),
+        "snap": F.when(F.col("_grammar").isNotNull(), snap_span(F.col("_grammar"), text)),
     }
     rows = rows.withColumns({"_s_" + name: s for name, s in spans.items()})
-    anchored = {"_a_" + name: anchor_in(F.col("_s_" + name), base, hint, text) for name in spans}
+    anchored = lambda s: anchor_of(s, base, hint, F.col("_deadline"), F.col("_beginning"))
     points = {
         "_a_numeric": numeric_point(text, lang),
-        "_a_dmy": ymd(part(P.EN_DMY, 3), month_number(group(text, P.EN_DMY, 2)), part(P.EN_DMY, 1)),
+        "_a_dmy": F.when(latin, ymd(part(P.EN_DMY, 3), month_number(group(text, P.EN_DMY, 2)), part(P.EN_DMY, 1))),
         "_a_zh": ymd(F.col("_zh_year"), F.col("_zh_month"), F.col("_zh_day")),
         "_a_mdy": ymd(F.col("_en_year"), F.col("_en_month"), F.col("_en_day")),
     }
-    rows = rows.withColumns(anchored | points)
+    rows = rows.withColumns({"_a_" + name: anchored(F.col("_s_" + name)) for name in spans} | points)
     rows = rows.withColumn("_a_snap", F.coalesce("_a_snap", "_grammar"))
     order = ("numeric", "dmy", "zh", "prefix", "months", "mdy", "month", "part", "year", "snap")
-    rows = rows.withColumns({"_ok_" + name: F.when(is_plausible(F.col("_a_" + name), text, base), F.col("_a_" + name)) for name in order})
-    ok = [F.col("_ok_" + name) for name in order]
+    ok = [F.when(is_plausible(F.col("_a_" + name), base, F.col("_explicit"), F.col("_supported")), F.col("_a_" + name)) for name in order]
     point = F.coalesce(ok[0], ok[1], F.when(F.col("_a_zh").isNotNull(), ok[2]).otherwise(F.coalesce(*ok[3:])))
-    rows = rows.withColumn("_point", F.when(~is_noise(text) & (F.lower(text) != "may") & base.isNotNull(), point))
+    rows = rows.withColumn("_point", F.when(~F.col("_noise") & (F.lower(text) != "may") & base.isNotNull(), point))
     rows = with_span(rows, "_point", "_text", corrected)
-    rows = rows.withColumn("_anchor", F.when(F.col("_point").between(F.col("_span.start"), F.col("_span.end")), F.col("_point")).otherwise(anchor_in(F.col("_span"), base, hint, text)))
+    rows = rows.withColumn("_anchor", F.when(F.col("_point").between(F.col("_span.start"), F.col("_span.end")), F.col("_point")).otherwise(anchored(F.col("_span"))))
     event = F.struct(F.col("_anchor").alias("anchor"), F.col("_span.start").alias("start"), F.col("_span.end").alias("end"), F.col("_span.granularity").alias("granularity"), text.alias("candidate_text"))
     rows = rows.withColumn("event", F.when(F.col("_point").isNotNull(), event))
     return rows.select(*[c for c in rows.columns if c in known or c == "event"])
@@ -337,8 +353,10 @@ def extract(titles: DataFrame, corrected: bool = False, tagged: str | None = Non
     rows = rows.withColumns({"text": F.col("_c.text"), "_start": F.col("_c.start"), "_ord": F.col("_c.ord")})
     second = F.col("_ord") == 99_999
     rows = parsed(rows, corrected)
+    # only candidates that parse are ranked
     rank = F.struct(second.cast("int"), -score(F.col("text"), F.col("_start"), F.coalesce("title", F.lit(""))), F.col("_start"), F.col("_ord"))
-    best = F.min_by(F.struct("event", second.alias("second")), F.when(F.col("event").isNotNull(), rank))
+    rows = rows.withColumn("_rank", F.when(F.col("event").isNotNull(), rank))
+    best = F.min_by(F.struct("event", second.alias("second")), F.col("_rank"))
     out = rows.groupBy(*keep).agg(best.alias("_best"))
     floor = F.date_trunc("day", base).cast("timestamp_ntz")
     event = F.col("_best.event")

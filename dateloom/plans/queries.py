@@ -15,7 +15,7 @@ from dateloom.operators import annotate, clusters, evaluate, events, gold, sampl
 from dateloom.plans.titles import TEMPLATES, event_query, event_sql, mixed_sql, rendered
 from dateloom.schema import backfill_events
 from dateloom.sources import feeds, files
-from dateloom.tables import table
+from dateloom.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -266,7 +266,7 @@ def prefer_hint(spark, sf_dir):
 """)
 def heidel_input(spark, sf_dir):
     """Annotator input of whole texts, as a digest."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.md5(T.annotator_input(F.col("text"), F.lit("2024-01-20").cast("timestamp_ntz")).cast("binary")).alias("input_md5"))
 
 
@@ -279,7 +279,7 @@ def language_distribution(spark, sf_dir):
 @query()
 def language_detect_accuracy(spark, sf_dir):
     """How often each label is detected as each language. The detector is a substitute, so SQL cannot tell."""
-    return table(spark, sf_dir, "documents").groupBy("lang", language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
+    return spread(table(spark, sf_dir, "documents")).groupBy("lang", language(F.col("text")).alias("detected")).agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -469,7 +469,7 @@ _GOLD_NAMES = list(_GOLD_TITLES)
 
 def _gold_records(spark, sf_dir) -> DataFrame:
     """Orders as news with a stated date; v1 events are the date plus key % 4 days, v2 events the date plus key % 3."""
-    o = _orders(spark, sf_dir).select("o_orderkey", F.col("o_orderdate").alias("d"))
+    o = spread(_orders(spark, sf_dir)).select("o_orderkey", F.col("o_orderdate").alias("d"))
     turn = F.col("o_orderkey") % len(_GOLD_NAMES)
     title = F.coalesce(*[F.when(turn == k, F.expr(t)) for k, t in enumerate(_GOLD_TITLES.values())])
     later = lambda n: F.col("d") + F.expr(f"make_dt_interval(cast(o_orderkey % {n} as int))")

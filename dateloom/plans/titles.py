@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dateloom.operators.events import extract
-from dateloom.tables import table
+from dateloom.tables import spread, table
 
 _D, _BASE = "o_orderdate", "(o_orderdate + to_days(CAST(o_orderkey % 5 AS INT)))"
 _M, _Y, _BY = "month(d)", "year(d)", "year(base)"
@@ -34,7 +34,7 @@ MIXED = tuple(TEMPLATES)
 
 def rendered(spark: SparkSession, sf_dir: str, name: str | None = None) -> DataFrame:
     """(id, title, lang, standard_timestamp) of each order in one template, or in each by its key."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("d"))
+    orders = spread(table(spark, sf_dir, "orders")).select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("d"))
     base = F.col("d") + F.expr("make_dt_interval(cast(o_orderkey % 5 as int))")
     if name is not None:
         title, lang = F.expr(TEMPLATES[name][1]), F.lit(TEMPLATES[name][0])

@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over all cores if it is so small that Spark would read it in fewer pieces; larger ones as they are.
+
+    For plans that compute much of each row; the size is the plan's estimate, the files are counted in the JVM.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < cores * (4 << 20)
+    return df.repartition(cores) if few and len(df._jdf.inputFiles()) < cores else df
+
+
 def tune(spark: SparkSession, rows: int = 1024) -> None:
     """Arrow batches small enough that a batch of long documents fits a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
