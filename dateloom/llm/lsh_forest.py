@@ -229,7 +229,7 @@ def _crossing(forest: Forest):
     return run
 
 
-def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest, block: int = 1024) -> DataFrame:
+def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest, block: int = 256) -> DataFrame:
     """Candidates between components within regions of more rows than the window reaches, in blocks of bounded size."""
     wide = 2 * DEPTH
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("signature", t * wide + 1, 2 * forest.least_depth).alias("region")) for t in range(forest.trees)])).alias("x")
