@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dateloom.operators.components import connected_components
+from dateloom.tables import numbered
 
 #: Vectors in a block of the comparison.
 BLOCK = 2048
@@ -113,8 +114,7 @@ def clusters(rows: DataFrame, eps: float = 0.40, days: float | None = 7.0) -> Da
     pairs = near_pairs(rows, eps, days)
     labels = connected_components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     least = labels.groupBy("root").agg(F.min("node").alias("least"))
-    numbered = least.withColumn("cluster_id", (F.row_number().over(Window.orderBy("least")) - 1).cast("long"))
-    members = labels.join(numbered, "root").select(F.col("node").alias("id"), "cluster_id")
+    members = labels.join(numbered(least, "least", "cluster_id"), "root").select(F.col("node").alias("id"), "cluster_id")
     out = rows.select(F.col("id").cast("long").alias("id")).join(members, "id", "left")
     return out.select("id", F.col("cluster_id").isNull().alias("system_is_noise"), "cluster_id")
 

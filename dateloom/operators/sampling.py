@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dateloom.tables import first_n
+
 
 def stratum(lang: Column, parse_mode: Column, mode: str = "language_parse_mode") -> Column:
     return lang if mode == "language" else F.concat_ws("__", lang, parse_mode)
@@ -44,17 +46,12 @@ def allocation(strata: DataFrame, size: int) -> DataFrame:
 def stratified_sample(records: DataFrame, size: int, key: Column, seed: int = 42, id_column: str = "id") -> DataFrame:
     """So many rows of records, allocated over the strata that `key` names; within one by hash of id and seed, then id.
 
-    The windows rank within strata salted by the hash first, so that no stratum is sorted by one task: a row in the
-    first `take` of its stratum is among the first `take` of its salt.
+    Rows of equal hash and id are copies of each other, and any of them may be taken.
     """
     rows = records.withColumns({"_stratum": F.coalesce(key, F.lit("")), "_hash": F.xxhash64(F.col(id_column).cast("string"), F.lit(seed))})
     takes = allocation(rows.groupBy(F.col("_stratum").alias("stratum")).agg(F.count("*").alias("n")), size).select(F.col("stratum").alias("_stratum"), "take")
-    rows = rows.join(F.broadcast(takes) if _few(takes) else takes, "_stratum").withColumn("_salt", F.pmod("_hash", F.lit(64)))
-    within = Window.partitionBy("_stratum", "_salt").orderBy("_hash", id_column)
-    rows = rows.withColumn("_rank", F.row_number().over(within)).where("_rank <= take")
-    overall = Window.partitionBy("_stratum").orderBy("_hash", id_column)
-    rows = rows.withColumn("_rank", F.row_number().over(overall)).where("_rank <= take")
-    return rows.drop("_stratum", "_hash", "_salt", "_rank", "take")
+    rows = rows.join(F.broadcast(takes) if _few(takes) else takes, "_stratum")
+    return first_n(rows, ["_stratum"], ["_hash", id_column], F.col("take")).drop("_stratum", "_hash", "take")
 
 
 def _few(rows: DataFrame, most: int = 100_000) -> bool:

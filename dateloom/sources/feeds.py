@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dateloom.functions.dates import feed_text, feed_time, mail_time
 from dateloom.functions.text import strip
 from dateloom.sources.files import source_id
+from dateloom.tables import first_n
 
 # --- fixed values: domains, their sources, limits -----------------------------------------------------------------------
 DOMAINS = ("aljazeera.com", "bbc.com", "dw.com", "zaobao.com", "nytimes.com", "xinhuanet.com")
@@ -106,6 +107,5 @@ def fresh_items(items: DataFrame, known: DataFrame, now: Column, days: int = LOO
     rows = items.join(known.select("url").distinct(), "url", "left_anti").where((strip(F.col("title")) != "") & within_lookback(F.col("raw_time"), now, days))
     first = Window.partitionBy("url").orderBy("source", "position")
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    cap = Window.partitionBy("source").orderBy("position")
-    rows = rows.withColumn("_n", F.row_number().over(cap)).where(F.col("_n") <= most)
+    rows = first_n(rows, ["source"], ["position", "url"], most)
     return rows.select(source_id("rss", F.col("url")).alias("id"), strip(F.col("title")).alias("title"), "raw_time", "source", "url", "position")

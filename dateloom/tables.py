@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a keyed side of a join (under 100 bytes a row) is broadcast; beyond it the join shuffles.
@@ -55,3 +55,28 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows, else df as it is (the join then shuffles)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def first_n(rows: DataFrame, by: list[str], order: list, n: int | Column, salts: int = 64) -> DataFrame:
+    """The first n rows of each group in an order that tells all rows of a group apart; n may be a column.
+
+    Groups are first cut by a hash of the ordering columns: a row among the first n of its group is among the first n of
+    its cut, so no group, however large, is sorted by one task.
+    """
+    keep = rows.columns
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    for keys in ([*by, "_salt"], by):
+        salted = salted.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= n)
+    return salted.select(keep)
+
+
+def numbered(rows: DataFrame, order: str, name: str, start: int = 0) -> DataFrame:
+    """rows with their place in a total order: ranges are sorted by many tasks, and only a count of each meets in one."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(rows.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    out = rows.withColumn("_within", within).join(F.broadcast(offsets), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_within") - 1 + start).drop("_part", "_within", "_before")

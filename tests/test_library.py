@@ -211,3 +211,15 @@ def test_stream_is_idempotent(spark, tmp_path):
     assert run() == ["u1", "u2", "u3"]
 
 
+
+
+def test_first_n_and_numbering(spark):
+    from dateloom.tables import first_n, numbered
+
+    df = spark.range(3000).select("id", F.when(F.col("id") < 2500, "hot").otherwise("cold").alias("g"), ((F.col("id") * 7919) % 3001).alias("o"))
+    got = sorted((r.g, r.o) for r in first_n(df, ["g"], ["o"], 5).collect())
+    rows = [(r.g, r.o) for r in df.collect()]
+    assert got == sorted(x for g in ("hot", "cold") for x in sorted(r for r in rows if r[0] == g)[:5])
+    places = {r.o: r.place for r in numbered(df, "o", "place").collect()}
+    assert places == {o: k for k, o in enumerate(sorted(places))}
+    assert numbered(df.limit(0), "o", "place").count() == 0
