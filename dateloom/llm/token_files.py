@@ -32,8 +32,9 @@ _REMEMBERED = 250_000
 #: Fixed value: how the pre-tokenizer cuts normalised text; and the same cut for texts without code points beyond U+017F.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _NUMBERS, _SPACES = r"a-zA-Z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}", r"0-9\x{b2}\x{b3}\x{b9}\x{bc}-\x{be}", r"\t-\r \x{85}\x{a0}"
-_PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
-_GAP = rf"[{_SPACES}]+"
+#: Pieces other than runs of letters, which white space and these pieces set apart.
+_APART = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
+_GAP = r"[\t-\r\x{85}\x{a0}]"
 #: The dotted capital I becomes two code points in lower case.
 _BEYOND = r"[^\x{0}-\x{12f}\x{131}-\x{17f}]"
 _SHARDS = "shard int, path string, n_documents long, n_tokens long"
@@ -84,8 +85,8 @@ class Encoder:
             own = [np.frombuffer(x, "<u4") for x in self.whole(texts.to_pylist())]
             return np.concatenate([np.zeros(0, "<u4"), *own]), np.array([len(x) for x in own], np.int64)
         odd = pc.or_(pc.match_substring_regex(texts, _BEYOND), pc.match_substring(texts, "<|"))
-        apart = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(odd, "", texts)), _PIECE, r" \0 ")
-        lists = pc.split_pattern_regex(apart, _GAP)
+        apart = pc.replace_substring_regex(pc.utf8_lower(pc.if_else(odd, "", texts)), _APART, r" \0 ")
+        lists = pc.split_pattern(pc.replace_substring_regex(apart, _GAP, " "), " ")
         codes = lists.flatten().dictionary_encode()
         found = self.looked_up(codes.dictionary.to_numpy(zero_copy_only=False).tolist())
         size = np.array([len(x) // 4 for x in found], np.int64)
