@@ -1,50 +1,10 @@
-"""Shared plumbing: table access, the shared scratch folder, size-checked joins."""
+"""What the operators share: the library's tables and joins, and tasks that give memory back."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from dateloom.tables import BROADCAST_ROWS, scratch, small, spread, table, tune, written
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a keyed side of a join (under 100 bytes a row) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def tune(spark: SparkSession, rows: int = 1024) -> None:
-    """Arrow batches small enough that a batch of long documents fits a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder below the shared one that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset (tests on one machine) is a local temporary folder chosen.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="dateloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/dateloom-{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: lineage is cut and lost executors cost nothing."""
-    path = scratch(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else df as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+__all__ = ["BROADCAST_ROWS", "frugal", "scratch", "small", "spread", "table", "tune", "written"]
 
 
 def frugal(run):

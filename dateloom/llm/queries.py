@@ -7,32 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import table
+from dateloom.llm.common import spread, table
 from dateloom.llm.oracle import SQL  # noqa: F401
 
 
 def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dateloom.llm.lsh_forest import Forest, near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), Forest(shingle=3, percent=85)).drop("text_key")
+    return near_duplicates(documents_of(spark, sf_dir), Forest(shingle=3, percent=85)).drop("text_key")
+
+
+def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table of one small file is dealt over all cores."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dateloom.llm.decontaminate import contaminated
 
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(documents_of(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dateloom.llm.quality import quality_scores
 
-    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality_scores(documents_of(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dateloom.llm.mixing import mixed
 
-    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
+    return mixed(documents_of(spark, sf_dir)).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
@@ -72,20 +77,20 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dateloom.llm.line_rules import cleaned
 
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines"]
-    return cleaned(table(spark, sf_dir, "documents")).select(columns)
+    return cleaned(documents_of(spark, sf_dir)).select(columns)
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dateloom.llm.line_chunks import deduplicated
 
-    found = deduplicated(table(spark, sf_dir, "documents"))
+    found = deduplicated(documents_of(spark, sf_dir))
     return found.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dateloom.llm.toxicity import toxicity_scores
 
-    found = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = toxicity_scores(documents_of(spark, sf_dir), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
 
 
