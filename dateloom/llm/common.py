@@ -7,18 +7,24 @@ from dateloom.tables import BROADCAST_ROWS, scratch, small, spread, table, tune,
 __all__ = ["BROADCAST_ROWS", "frugal", "scratch", "small", "spread", "table", "tune", "written"]
 
 
-def frugal(run):
+def frugal(run, remembers: bool = False):
     """run, a generator over Arrow batches, followed by the return of freed memory to the system: workers live on and
-    would else hold the most that any of their tasks has needed."""
+    would else hold the most that any of their tasks has needed. Tasks that remember nothing also drop what earlier
+    tasks of other kinds left in the worker."""
 
     def wrapped(batches):
+        import ctypes
+        import gc
+        import sys
+
+        import pyarrow
+
+        if not remembers:
+            sys.modules.pop("_dateloom_encoders", None)
         try:
             yield from run(batches)
         finally:
-            import ctypes
-
-            import pyarrow
-
+            gc.collect()
             pyarrow.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)

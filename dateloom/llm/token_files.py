@@ -201,7 +201,7 @@ def write_tokens(documents: DataFrame, vocabulary_path: str, end_id: int = 1, fo
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     rows = rows.repartitionByRange(shards or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    rows.mapInArrow(frugal(_written(folder, vocabulary, end_id, width)), _SHARDS).write.parquet(f"{folder}/shards")
+    rows.mapInArrow(frugal(_written(folder, vocabulary, end_id, width), remembers=True), _SHARDS).write.parquet(f"{folder}/shards")
     return open_tokens(spark, folder)
 
 
