@@ -3,6 +3,9 @@
 A hash that rolls over the last WINDOW line hashes ends a chunk where it meets a fixed pattern, so equal passages are
 cut alike wherever they stand. Only hashes of multi-line chunks are counted over all documents; the bytes of those
 that repeat are compared, and all but the first of equal chunks are removed.
+
+A chunk rule misses passages that hold no whole chunk of two lines. without_repeated_passages misses none: it judges
+every pair of consecutive lines in the same way.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from dateloom.llm.common import BROADCAST_ROWS, small, written
 
 #: Lines under the rolling hash, its multiplier, and lines in a chunk on average.
 WINDOW, TIMES, LINES = 2, 31, 3
+#: What a line must hold to be judged.
+_WORD = "[^ \\t-\\r]"
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -55,7 +60,11 @@ def repeated_chunks(documents: DataFrame) -> DataFrame:
     """
     # the outer form: a filter inferred for the inner one would be pushed below and compute the arrays again for every line
     rows = chunk_arrays(documents).select("doc_id", "row_key", F.posexplode_outer("chunks").alias("chunk_no", "c"))
-    rows = rows.where((F.col("c.size") > 1) & F.col("c.chunk").rlike("[^ \\t-\\r]")).select("doc_id", "row_key", "chunk_no", "c.size", F.xxhash64("c.chunk").alias("hash"), F.col("c.chunk").alias("chunk"))
+    return _repeated(rows.where((F.col("c.size") > 1) & F.col("c.chunk").rlike(_WORD)).select("doc_id", "row_key", "chunk_no", "c.size", F.xxhash64("c.chunk").alias("hash"), F.col("c.chunk").alias("chunk")))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """(doc_id, row_key, chunk_no, size) of those rows (also hash, chunk) whose chunk an earlier row holds."""
     hashes = written(rows.drop("chunk"), "chunks")
     again = written(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
     # bytes only of chunks whose hash repeats; equal bytes meet in map-side combined groups
@@ -99,3 +108,37 @@ def deduplicated(documents: DataFrame) -> DataFrame:
         F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
         text.alias("text"),
     )
+
+
+def _pairs(documents: DataFrame) -> DataFrame:
+    """(doc_id, row_key, chunk_no, size, hash, chunk) of each pair of consecutive lines with words, blank lines between skipped."""
+    rows = _texts(documents).withColumn("lines", F.split("text", "\n", -1))
+    rows = rows.withColumn("worded", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(_WORD), i)), lambda i: i.isNotNull()))
+
+    def pair(i: Column, k: Column) -> Column:
+        after = F.get("worded", k + 1)
+        return F.struct(i.alias("chunk_no"), (after - i + 1).alias("size"), F.concat(F.get("lines", i), F.lit("\n"), F.get("lines", after)).alias("chunk"))
+
+    rows = rows.select("doc_id", "row_key", F.explode_outer(F.transform("worded", pair)).alias("c"))
+    return rows.where("c.chunk is not null").select("doc_id", "row_key", "c.chunk_no", "c.size", F.xxhash64("c.chunk").alias("hash"), "c.chunk")
+
+
+def without_repeated_passages(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed_lines, text) of each row of documents (doc_id, text, ...); text is what remains.
+
+    Of every passage of two lines with words or more that an earlier place holds, all lines go, blank ones inside it too;
+    blank lines do not tell passages apart. Earlier, repeated rows, null texts and ids are as in deduplicated. A line
+    that repeats without an equal neighbour stays, and each line's text stays at its first place at least.
+    """
+    lines = F.explode(F.sequence("chunk_no", F.col("chunk_no") + F.col("size") - 1)).alias("line_no")
+    gone = _repeated(_pairs(documents)).distinct().select("doc_id", "row_key", lines)
+    gone = written(gone.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("gone")), "gone_lines")
+    sizes = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
+    found = gone.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "gone")
+    if sizes["rows"] <= BROADCAST_ROWS and sizes["lines"] <= 10 * BROADCAST_ROWS:
+        found = F.broadcast(found)
+    rows = _texts(documents).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
+    rows = rows.withColumn("lines", F.split("text", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
+    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"), text.alias("text"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dateloom.llm.decontaminate import Index, Search, contaminated, edit_distance_in, normalised, without_contaminated
-from dateloom.llm.line_chunks import deduplicated
+from dateloom.llm.line_chunks import deduplicated, without_repeated_passages
 from dateloom.llm.line_rules import LineRules, cleaned
 from dateloom.llm.mixing import DIMENSIONS, Mixture, mixed, raked, uniform
 from dateloom.llm.url_filter import intervals, keys_of, verdicts
@@ -158,6 +158,37 @@ def test_chunk_rows_that_repeat(documents):
     assert deduplicated(documents([(1, text)]).limit(0)).count() == 0
 
 
+def test_no_short_passage_stays(documents):
+    rng = random.Random(8)
+    line = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(9))
+    rows, own = [], {}
+    for i in range(100):
+        passage = [line() for _ in range(2 + i % 5)]
+        rows.append((2 * i, "\n".join([line(), *passage, line()])))
+        own[2 * i + 1] = [line() for _ in range(i % 3)], [line() for _ in range(i % 2)]
+        rows.append((2 * i + 1, "\n".join([*own[2 * i + 1][0], *passage, *own[2 * i + 1][1]])))
+    out = {r.doc_id: r for r in without_repeated_passages(documents(rows)).collect()}
+    for i, text in rows:
+        assert out[i].text == (text if i % 2 == 0 else "\n".join(sum(own[i], []))) and out[i].n_lines == len(text.split("\n"))
+
+
+def test_passages_equal_pairs_by_hand(documents):
+    rng = random.Random(9)
+    texts = ["\n".join(rng.choice(["a", "b", "c", "d", "e", "f", "", " "]) for _ in range(rng.randint(0, 12))) for _ in range(60)] + [None, "x\n\ny", "x\ny", "x\ny"]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        at, gone = [k for k, x in enumerate(lines) if WORD.search(x)], set()
+        for a, b in zip(at, at[1:]):
+            if (lines[a], lines[b]) in seen:
+                gone |= set(range(a, b + 1))
+            seen.add((lines[a], lines[b]))
+        want[i] = len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    out = without_repeated_passages(documents(texts).withColumn("lines", F.lit(1))).collect()
+    assert {r.doc_id: (r.n_removed_lines, r.text) for r in out} == want and len(out) == len(texts)
+    assert without_repeated_passages(documents(texts).limit(0)).count() == 0
+
+
 # --- URL filter --------------------------------------------------------------------------------------------------------------------
 
 
