@@ -2,7 +2,7 @@
 
 Texts are lower-cased and runs of white space become one space. A CGK walk reads a string from a start, writes one
 byte a step and moves on by a random bit that depends on the step and the byte; strings within few edits come back
-into step with each other, so their walks differ in few places. Walks from every word start of a document, as long as
+into step with each other, so their walks differ in few places. Walks from every code point of a document, as long as
 the item asks, are sampled at a few places; equal samples in any of the repetitions make a candidate, which an exact
 bit-parallel edit distance confirms. The repetitions are as many as the target recall asks on edited items.
 
@@ -25,8 +25,9 @@ from dateloom.llm.common import frugal, tune
 GRAM = 10
 #: Bits of the table of grams; a false hit only lets a start walk.
 _TABLE = 23
-#: Bytes of text searched at once.
+#: Bytes of text searched at once, and bytes that walks write at once.
 _AT_ONCE = 1 << 20
+_WRITTEN = 1 << 26
 _MATCH = "doc_id long, item_id long, distance int, start int, length int"
 
 
@@ -51,10 +52,13 @@ def normalised(text: str | None) -> bytes:
     return " ".join((text or "").lower().split()).encode("utf-8", "replace")
 
 
-def edit_distance_in(item: bytes, text: bytes, most: int) -> tuple[int, int] | None:
-    """(distance, end) of the substring of text nearest to item if within `most` edits; bit-parallel, one step a byte."""
+def edit_distance_in(item: bytes, text: bytes, most: int, anchored: bool = False) -> tuple[int, int] | None:
+    """(distance, end) of the substring of text nearest to item if within `most` edits; bit-parallel, one step a byte.
+
+    anchored: only substrings from the start of text.
+    """
     at = text.find(item)
-    if at >= 0:
+    if at == 0 or at > 0 and not anchored:
         return 0, at + len(item)
     m = len(item)
     full, top = (1 << m) - 1, 1 << (m - 1)
@@ -69,7 +73,7 @@ def edit_distance_in(item: bytes, text: bytes, most: int) -> tuple[int, int] | N
         plus = down | (full & ~(horizontal | up))
         minus = up & horizontal
         score += bool(plus & top) - bool(minus & top)
-        plus = (plus << 1) & full
+        plus = (plus << 1 | anchored) & full
         minus = (minus << 1) & full
         up = minus | (full & ~(vertical | plus))
         down = plus & vertical
@@ -78,6 +82,16 @@ def edit_distance_in(item: bytes, text: bytes, most: int) -> tuple[int, int] | N
     return best
 
 
+def _place(item: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
+    """(distance, start, length) of the substring of text nearest to item if within `most` edits."""
+    got = edit_distance_in(item, text, most)
+    if got is None:
+        return None
+    distance, end = got
+    _, length = edit_distance_in(item[::-1], text[:end][::-1], distance, anchored=True)
+    return distance, end - length, length
+
+
 def _grams(raw: np.ndarray) -> np.ndarray:
     """A table position for each gram of GRAM bytes."""
     n = len(raw) - GRAM + 1
@@ -100,13 +114,14 @@ class _Walker:
         self.bits = rng.integers(0, 2, (search.walks, 2 * longest, 256), dtype=np.uint8)
         self.rng = rng
 
-    def walk(self, which: int, raw: np.ndarray, starts: np.ndarray, steps: int) -> np.ndarray:
-        """Bytes that the walks from starts write; raw ends with as many zeros as there are steps."""
-        out = np.empty((steps, len(starts)), np.uint8)
+    def walk(self, which: int, raw: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Bytes that the walks from starts write, each as many steps as told, most first; raw ends with so many zeros."""
+        out = np.empty((int(steps[0]), len(starts)), np.uint8)
         at = starts.copy()
-        for j in range(steps):
-            out[j] = byte = raw[at]
-            at += self.bits[which, j][byte]
+        going = len(starts) - np.searchsorted(steps[::-1], np.arange(len(out)), side="right")
+        for j, n in enumerate(going.tolist()):
+            out[j, :n] = byte = raw[at[:n]]
+            at[:n] += self.bits[which, j][byte]
         return out
 
 
@@ -148,7 +163,7 @@ class Index:
         apart = b"\0" * steps
         raw = np.frombuffer(apart.join(texts) + apart, np.uint8)
         starts = np.concatenate(([0], np.cumsum([len(t) + steps for t in texts])[:-1])).astype(np.int64)
-        return [self.walker.walk(w, raw, starts, steps) for w in range(self.search.walks)]
+        return [self.walker.walk(w, raw, starts, np.full(len(starts), steps)) for w in range(self.search.walks)]
 
     def _repetitions(self, texts: list[bytes], embedded: list[np.ndarray], steps: int, edits: int) -> int:
         """As many as find a share `recall` of items with all their edits, by trial on edited copies."""
@@ -195,42 +210,44 @@ class Index:
         if not hit.any():
             return
         sums = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
-        edge = (raw[:-1] == 32) | (raw[:-1] == 0)
-        words = np.concatenate(([0], np.flatnonzero(edge) + 1))
-        # the weakest bound first, over the longest window
-        reach, least = self.longest + max(c[3] for c in self.classes), min(c[2] for c in self.classes)
-        words = words[sums[np.minimum(words + reach, len(raw))] - sums[np.maximum(words - reach + self.longest, 0)] >= least]
-        alive = []
+        size = int(stops[-1])
+        # any code point but a space may begin an item
+        first = ((raw[:size] & 0xC0) != 0x80) & (raw[:size] != 32) & (raw[:size] != 0)
+        need = np.zeros(size, np.int32)
+        masks = []
         for low, high, hits, edits, _ in self.classes:
-            a, b = np.maximum(words - edits, 0), np.minimum(words + high + edits, len(raw))
-            alive.append(sums[b] - sums[a] >= hits)
-        any_ = np.logical_or.reduce(alive)
-        any_ &= words < stops[-1]
-        starts = words[any_]
+            before = np.concatenate((np.zeros(edits, np.int32), sums[:size]))[:size]
+            here = (sums[high + edits : high + edits + size] - before >= hits) & first
+            masks.append(here)
+            need[here] = 2 * low
+        starts = np.flatnonzero(need)
         if not len(starts):
             return
-        text_of = np.searchsorted(stops, starts)
-        alive = [x[any_] for x in alive]
-        longest = 2 * max(low for (low, *_), x in zip(self.classes, alive) if x.any())
+        starts = starts[np.argsort(-need[starts], kind="stable")]
         seen = set()
-        walks = [self.walker.walk(w, raw, starts, longest) for w in range(self.search.walks)]
-        for (low, high, hits, edits, keys), here in zip(self.classes, alive):
-            if not here.any():
-                continue
-            at = np.flatnonzero(here)
-            for which, places, known, items in keys:
-                found = self.key(walks[which][:, at], places)
-                a, b = np.searchsorted(known, found, side="left"), np.searchsorted(known, found, side="right")
-                for x in np.flatnonzero(b > a):
-                    for n in items[a[x] : b[x]]:
-                        seen.add((int(at[x]), int(n)))
+        i = 0
+        while i < len(starts):
+            # as many starts at once as write a bounded number of bytes
+            part = starts[i : i + max(1024, _WRITTEN // (self.search.walks * int(need[starts[i]])))]
+            i += len(part)
+            walks = [self.walker.walk(w, raw, part, need[part]) for w in range(self.search.walks)]
+            for (*_, keys), mask in zip(self.classes, masks):
+                at = np.flatnonzero(mask[part])
+                if not len(at):
+                    continue
+                for which, places, known, items in keys:
+                    found = self.key(walks[which][:, at], places)
+                    a, b = np.searchsorted(known, found, side="left"), np.searchsorted(known, found, side="right")
+                    for x in np.flatnonzero(b > a):
+                        for n in items[a[x] : b[x]]:
+                            seen.add((int(part[at[x]]), int(n)))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for x, n in sorted(seen):
             item = self.items[n][1]
             edits = self.search.allowed(len(item))
-            t = int(text_of[x])
+            t = int(np.searchsorted(stops, x))
             begin = int(stops[t]) - len(texts[t])
-            at = int(starts[x]) - begin
+            at = x - begin
             a = max(0, at - edits)
             if best.get((t, n), (1,))[0] == 0:
                 continue
@@ -240,9 +257,9 @@ class Index:
                 own = self.grams[n] = {item[i : i + GRAM] for i in range(len(item) - GRAM + 1)}
             if sum(window[i : i + GRAM] in own for i in range(len(window) - GRAM + 1)) < len(item) - GRAM + 1 - GRAM * edits:
                 continue  # the same bound, by the item's own grams
-            got = edit_distance_in(item, window, edits)
-            if got is not None and (got[0], at) < best.get((t, n), (edits + 1, 0)):
-                best[t, n] = (got[0], at, a + got[1] - at)
+            got = _place(item, window, edits)
+            if got is not None and (got[0], a + got[1]) < best.get((t, n), (edits + 1, 0)):
+                best[t, n] = (got[0], a + got[1], got[2])
         for (t, n), (distance, at, length) in best.items():
             yield t, n, distance, at, length
 

@@ -86,6 +86,18 @@ def test_contamination_edges(spark, documents):
     assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_items_are_found_at_any_byte(spark, documents):
+    rng = random.Random(11)
+    items = [prose(rng, rng.randint(6, 50)) for _ in range(20)] + ["".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(rng.randint(10, 60))) for _ in range(20)] + ["short quoted item"]
+    glued = ["<div class='x'>", "Question:", "https://example.org/a/b/c?d=", "「『（" + "字" * 12, '"', "é"]
+    rows = [(len(glued) * k + g, f"{prose(rng, 5)} {glue}{item}{glue}{prose(rng, 5)}") for k, item in enumerate(items) for g, glue in enumerate(glued)]
+    out = contaminated(documents(rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in out if r.distance == 0} == {(i, i // len(glued)) for i, _ in rows}
+    for r in out:
+        if r.distance == 0:
+            assert normalised(dict(rows)[r.doc_id])[r.start :][: r.length] == normalised(items[r.item_id])
+
+
 def test_repetitions_grow_with_recall():
     rng = random.Random(5)
     items = [(i, prose(rng, 40).encode()) for i in range(20)]
