@@ -4,14 +4,17 @@ Texts are lower-cased and runs of white space become one space. A CGK walk reads
 byte a step and moves on by a random bit that depends on the step and the byte; strings within few edits come back
 into step with each other, so their walks differ in few places. Walks from every code point of a document, as long as
 the item asks, are sampled at a few places; equal samples in any of the repetitions make a candidate, which an exact
-bit-parallel edit distance confirms. The repetitions are as many as the target recall asks on edited items.
+bit-parallel edit distance confirms. The repetitions are as many as the target recall asks on edited items; where
+REPETITIONS do not reach it, as for long items, places that pass the count of grams are confirmed without walks.
 
 Which starts walk at all is decided without loss: a window within k edits of an item of m bytes holds at least
-m - GRAM + 1 - GRAM * k of the items' grams of GRAM bytes, which one vectorised pass counts.
+m - GRAM + 1 - GRAM * k of the items' grams of GRAM bytes, which one vectorised pass counts; what passes is counted
+again by single items.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +31,8 @@ _TABLE = 23
 #: Bytes of text searched at once, and bytes that walks write at once.
 _AT_ONCE = 1 << 20
 _WRITTEN = 1 << 26
+#: Most repetitions, and items that a gram is counted for singly; one of more items counts for all.
+REPETITIONS, _OWNERS = 256, 64
 _MATCH = "doc_id long, item_id long, distance int, start int, length int"
 
 
@@ -137,8 +142,11 @@ class Index:
             self.table[_grams(np.frombuffer(t, np.uint8))] = True
         self.walker = _Walker(search, self.longest)
         self.grams: dict[int, set[bytes]] = {}
-        #: by class: (least size, most size, least hits, most edits, [(walk, places, sorted keys, item numbers)])
+        #: by class: (least size, most size, least hits, most edits, [(walk, places, sorted keys, item numbers)]);
+        #: without keys where the trial misses the recall
         self.classes = []
+        #: by class: (items, {gram: items that hold it, none if too many})
+        self.owners: list[tuple[np.ndarray, dict[bytes, list[int]]]] = []
         order = np.argsort(self.sizes, kind="stable")
         k = 0
         while k < len(order):
@@ -158,6 +166,33 @@ class Index:
                 by = np.argsort(key, kind="stable")
                 keys.append((r % search.walks, places, key[by], here[by]))
             self.classes.append((int(low), int(self.sizes[here].max()), max(1, hits), edits, keys))
+            owners: dict[bytes, list[int]] = {}
+            for n in here.tolist():
+                for g in self._own(n):
+                    owners.setdefault(g, []).append(n)
+            self.owners.append((here, {g: x if len(x) <= _OWNERS else [] for g, x in owners.items()}))
+
+    def _own(self, n: int) -> set[bytes]:
+        item = self.items[n][1]
+        return {item[i : i + GRAM] for i in range(len(item) - GRAM + 1)}
+
+    def _least(self, n: int) -> int:
+        """Grams of item n that any window within its edits holds."""
+        size = len(self.items[n][1])
+        return size - GRAM + 1 - GRAM * self.search.allowed(size)
+
+    def _passing(self, which: int, block: bytes, hits: np.ndarray) -> list[int]:
+        """Items of a class of which the places of block that hits name hold enough grams."""
+        items, owners = self.owners[which]
+        shared, counts = 0, Counter()
+        for i in hits.tolist():
+            own = owners.get(block[i : i + GRAM])
+            if own:
+                counts.update(own)
+            elif own is not None:
+                shared += 1
+        among = items.tolist() if shared >= self.classes[which][2] else counts
+        return [n for n in among if counts[n] + shared >= self._least(n)]
 
     def _embedded(self, texts: list[bytes], steps: int) -> list[np.ndarray]:
         apart = b"\0" * steps
@@ -166,7 +201,7 @@ class Index:
         return [self.walker.walk(w, raw, starts, np.full(len(starts), steps)) for w in range(self.search.walks)]
 
     def _repetitions(self, texts: list[bytes], embedded: list[np.ndarray], steps: int, edits: int) -> int:
-        """As many as find a share `recall` of items with all their edits, by trial on edited copies."""
+        """As many as find a share `recall` of items with all their edits, by trial on edited copies; 0 if too few do."""
         rng = np.random.Generator(np.random.PCG64(self.search.seed + len(texts) + steps))
         texts = texts[:100]
         edited = []
@@ -185,10 +220,10 @@ class Index:
         other = self._embedded(edited, steps)
         agree = np.stack([(a[:, : len(texts)] == b).mean(axis=0) for a, b in zip(embedded, other)]) ** self.search.sampled
         miss, r = np.ones(len(texts)), 0
-        while r < 8 or (r < 256 and 1 - miss.mean() < self.search.recall):
+        while r < 8 or (r < REPETITIONS and 1 - miss.mean() < self.search.recall):
             miss *= 1 - agree[r % self.search.walks]
             r += 1
-        return r
+        return r if 1 - miss.mean() >= self.search.recall else 0
 
     @staticmethod
     def key(embedded: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -213,18 +248,29 @@ class Index:
         size = int(stops[-1])
         # any code point but a space may begin an item
         first = ((raw[:size] & 0xC0) != 0x80) & (raw[:size] != 32) & (raw[:size] != 0)
+        block, hit_at = raw.tobytes(), np.flatnonzero(hit)
         need = np.zeros(size, np.int32)
-        masks = []
-        for low, high, hits, edits, _ in self.classes:
+        masks, seen = [], set()
+        #: (text number, item number, first and end byte) to be confirmed without walks
+        direct = []
+        for which, (low, high, hits, edits, keys) in enumerate(self.classes):
             before = np.concatenate((np.zeros(edits, np.int32), sums[:size]))[:size]
-            here = (sums[high + edits : high + edits + size] - before >= hits) & first
+            at = np.flatnonzero((sums[high + edits : high + edits + size] - before >= hits) & first)
+            here = np.zeros(size, bool)
+            # runs of starts whose windows overlap, by text
+            text_of = np.searchsorted(stops, at)
+            for run in np.split(at, np.flatnonzero((np.diff(at) > GRAM) | (np.diff(text_of) > 0)) + 1) if len(at) else ():
+                t = int(np.searchsorted(stops, run[0]))
+                begin, end = max(int(run[0]) - edits, int(stops[t]) - len(texts[t])), min(int(run[-1]) + high + 2 * edits, int(stops[t]))
+                passing = self._passing(which, block, hit_at[slice(*np.searchsorted(hit_at, (begin, end)))])
+                if passing and keys:
+                    here[run] = True
+                elif passing:
+                    direct += [(t, n, begin, end) for n in passing]
             masks.append(here)
             need[here] = 2 * low
         starts = np.flatnonzero(need)
-        if not len(starts):
-            return
         starts = starts[np.argsort(-need[starts], kind="stable")]
-        seen = set()
         i = 0
         while i < len(starts):
             # as many starts at once as write a bounded number of bytes
@@ -254,12 +300,17 @@ class Index:
             window = texts[t][a : at + len(item) + 2 * edits]
             own = self.grams.get(n)
             if own is None:
-                own = self.grams[n] = {item[i : i + GRAM] for i in range(len(item) - GRAM + 1)}
-            if sum(window[i : i + GRAM] in own for i in range(len(window) - GRAM + 1)) < len(item) - GRAM + 1 - GRAM * edits:
+                own = self.grams[n] = self._own(n)
+            if sum(window[i : i + GRAM] in own for i in range(len(window) - GRAM + 1)) < self._least(n):
                 continue  # the same bound, by the item's own grams
             got = _place(item, window, edits)
             if got is not None and (got[0], a + got[1]) < best.get((t, n), (edits + 1, 0)):
                 best[t, n] = (got[0], a + got[1], got[2])
+        for t, n, a, b in direct:
+            got = _place(self.items[n][1], block[a:b], self.search.allowed(len(self.items[n][1])))
+            a -= int(stops[t]) - len(texts[t])
+            if got is not None and ((t, n) not in best or (got[0], a + got[1]) < best[t, n]):
+                best[t, n] = (got[0], a + got[1], got[2])
         for (t, n), (distance, at, length) in best.items():
             yield t, n, distance, at, length
 

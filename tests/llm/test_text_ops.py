@@ -98,6 +98,15 @@ def test_items_are_found_at_any_byte(spark, documents):
             assert normalised(dict(rows)[r.doc_id])[r.start :][: r.length] == normalised(items[r.item_id])
 
 
+def test_edited_long_items_are_found():
+    rng = random.Random(12)
+    items = [prose(rng, n).encode() for n in (300, 400, 900, 1000)]
+    search = Search()
+    index = Index(list(enumerate(items)), search)
+    texts = [f"{prose(rng, 20)} {edited(rng, t.decode(), search.allowed(len(t)))} {prose(rng, 20)}".encode() for t in items for _ in range(3)]
+    assert {(t, n) for t, n, *_ in index.search_block(texts)} == {(i, i // 3) for i in range(len(texts))}
+
+
 def test_repetitions_grow_with_recall():
     rng = random.Random(5)
     items = [(i, prose(rng, 40).encode()) for i in range(20)]
