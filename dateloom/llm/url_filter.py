@@ -32,10 +32,12 @@ def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, valid_from, valid_to) from dated entries (pattern, listed, action): add opens, remove closes.
 
     valid_to is null while open and not part of the interval. Of entries of a pattern at one time a removal counts
-    over additions; repeated entries count once. Entries with a null, or another action, say nothing.
+    over additions; repeated entries count once. Hosts are lower-cased, paths are not. Entries with a null, or another action, say nothing.
     """
+    host = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(host), F.substr("pattern", F.length(host) + 1))
     known = entries.where("pattern is not null and listed is not null and action in ('add', 'remove')")
-    known = known.groupBy(F.lower("pattern").alias("pattern"), F.col("listed").cast("timestamp_ntz").alias("valid_from")).agg(F.max("action").alias("action"))
+    known = known.groupBy(pattern.alias("pattern"), F.col("listed").cast("timestamp_ntz").alias("valid_from")).agg(F.max("action").alias("action"))
     turn = Window.partitionBy("pattern").orderBy("valid_from")
     changes = known.withColumn("before", F.lag("action").over(turn)).where("before is null or before <> action")
     return changes.withColumn("valid_to", F.lead("valid_from").over(turn)).where("action = 'add'").select("pattern", "valid_from", "valid_to")

@@ -227,6 +227,12 @@ def test_intervals_and_verdicts(spark):
     assert verdicts(c, e.limit(0)).where("blocked").count() == 0 and verdicts(c.limit(0), e).count() == 0
 
 
+def test_paths_keep_their_case(spark):
+    e = spark.createDataFrame([("Host.org/News",)], "pattern string").selectExpr("pattern", "timestamp_ntz'2024-01-01' as listed", "'add' as action")
+    c = spark.createDataFrame([("http://HOST.org/News/a",), ("http://host.org/news/a",)], "url string").selectExpr("url", "timestamp_ntz'2024-01-02' as fetched")
+    assert {r.url: r.pattern for r in verdicts(c, e).collect()} == {"http://HOST.org/News/a": "host.org/News", "http://host.org/news/a": None}
+
+
 def test_keys(spark):
     df = spark.createDataFrame([("http://a.b.c.com/x/y?z",), ("http://localhost/",), ("",)], "u string")
     assert [r[0] for r in df.select(keys_of(F.col("u"))).collect()] == [["a.b.c.com", "b.c.com", "c.com", "a.b.c.com/x", "a.b.c.com/x/y"], ["localhost"], []]
