@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from dateloom.llm.decontaminate import Index, Search, contaminated, edit_distance_in, normalised, without_contaminated
 from dateloom.llm.line_chunks import deduplicated, without_repeated_passages
 from dateloom.llm.line_rules import LineRules, cleaned
-from dateloom.llm.mixing import DIMENSIONS, Mixture, mixed, raked, uniform
 from dateloom.llm.url_filter import intervals, keys_of, verdicts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -238,49 +237,6 @@ def test_keys(spark):
     assert [r[0] for r in df.select(keys_of(F.col("u"))).collect()] == [["a.b.c.com", "b.c.com", "c.com", "a.b.c.com/x", "a.b.c.com/x/y"], ["localhost"], []]
 
 
-# --- mixing ----------------------------------------------------------------------------------------------------------------------------
-
-
-def test_raking_meets_marginals_both_ways(spark):
-    rng = random.Random(8)
-    cells = [(s, l, t, rng.randint(1, 900)) for s in ("", "a", "b") for l in ("x", "y") for t in ("p", "q") if rng.random() < 0.9]
-    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
-    here, there = raked(df), raked(df, Mixture(cells=0, rounds=12, tolerance=1e-4))
-    a = {r[:3]: r.factor for r in here.collect()}
-    b = {(r.source, r.lang, r.topic): r.factor for r in there.collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] / b[k] - 1) < 0.02 for k in a)
-    total = sum(c[3] for c in cells)
-    for d, power in (("source", 0.7), ("lang", 0.7), ("topic", 0.5)):
-        at = DIMENSIONS.index(d)
-        sums = {}
-        for c in cells:
-            sums[c[at]] = sums.get(c[at], 0) + c[3]
-        scale = sum(v**power for v in sums.values())
-        for v, n in sums.items():
-            got = sum(c[3] * a[c[:3]] for c in cells if c[at] == v) / total
-            assert abs(got - n**power / scale) < 1e-6
-
-
-def test_mixture_edges(spark, documents):
-    rng = random.Random(9)
-    rows = [(i, " ".join(rng.choice(["alpha", "gamma", "delta", "omega"]) for _ in range(rng.randint(0, 40))), rng.choice(["en", "de", None]), rng.choice(["big"] * 8 + ["small", None])) for i in range(800)]
-    rows += [(None, "x y", "en", "big"), (5000, None, None, None)]
-    df = documents(rows).withColumns({"topic": F.lit(3), "tokens": F.lit(1), "factor": F.lit(1)})
-    out = mixed(df, Mixture(share=0.6)).collect()
-    assert len(out) == len(rows) and all(0 <= r.probability <= 1 for r in out)
-    kept, total = sum(r.n_tokens for r in out if r.sampled), sum(r.n_tokens for r in out)
-    expected = sum(r.n_tokens * r.probability for r in out)
-    assert abs(expected / total - 0.6) < 1e-6 and abs(kept / total - 0.6) < 0.06
-    mean = lambda s: sum(r.probability for r in out if r.source == s) / sum(1 for r in out if r.source == s)
-    assert mean("small") > mean("big")
-    assert mixed(df.limit(0)).count() == 0
-
-
-def test_uniform(spark):
-    v = [r[0] for r in spark.range(4000).select(uniform(F.col("id"), 3)).collect()]
-    assert all(0 <= x < 1 for x in v) and abs(sum(v) / 4000 - 0.5) < 0.02
-
-
 @pytest.mark.parametrize("text", ["a", ""])
 def test_normalised(text):
     assert normalised(text) == text.encode() and normalised(" A\n\tB ") == b"a b" and normalised(None) == b""
