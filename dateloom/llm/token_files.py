@@ -4,6 +4,7 @@ A shard holds, in this order: its ids, little-endian, two bytes each where the v
 Elias-Fano code of the n + 1 boundaries; that of the distances of the document ids from the least; a footer. Shards
 are ranges of ascending doc_id, so the first token of a document is its shard's start plus a boundary. A shard's
 file has a name of its own for each attempt to write it; the table of shards, written last, names those that count.
+Readers ask the codes for the boundaries they need, a bounded number at once, by select; no table of offsets is made.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dateloom.llm.common import frugal, scratch, tune
+from dateloom.llm.common import frugal, remembered, scratch, tune
 from dateloom.llm.elias_fano import EliasFano
 
-_MAGIC = b"TOKEF001"
+_MAGIC = b"TOKEF002"
 #: magic, bytes an id, ids, documents, documents without a doc_id, least doc_id, sizes of the two codes.
 _FOOTER = "<8sIQQQqQQ"
 #: Pieces whose ids a worker remembers in a generation.
@@ -40,8 +41,8 @@ _BEYOND = r"[^\x{0}-\x{12f}\x{131}-\x{17f}]"
 _SHARDS = "shard int, path string, n_documents long, n_tokens long"
 #: Texts encoded at once.
 _AT_ONCE = 1024
-#: Ids read at once.
-_READ = 1 << 20
+#: Ids and documents read at once.
+_READ, _STEP = 1 << 20, 4096
 
 
 def opened(uri: str):
@@ -120,29 +121,34 @@ class Encoder:
         return found
 
 
+#: The settings of a tokenizer file whose texts may be cut into pieces, other than vocabulary and special tokens.
+KNOWN = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: The same of its model.
+KNOWN_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
 def _is_known(told: dict) -> bool:
-    """Whether a tokenizer file normalises and cuts texts as the pieces below do."""
-    normal = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
-    cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    pattern = cuts[0].get("pattern", {}).get("Regex") if cuts else None
-    special = all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] for x in told.get("added_tokens", []))
-    return normal == ["NFC", "Replace", "Lowercase"] and pattern == PIECES and cuts[0].get("behavior") == "Removed" and len(cuts) == 2 and cuts[1].get("type") == "ByteLevel" and special
+    """Whether a tokenizer file is set, in all but its vocabulary, as the pieces below suppose."""
+    model = {k: v for k, v in (told.get("model") or {}).items() if k not in ("vocab", "merges")}
+    special = all(x["content"].startswith("<|") and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in told.get("added_tokens") or [])
+    return special and model == KNOWN_MODEL and all(k in told and told[k] == v for k, v in KNOWN.items())
 
 
 def encoder(vocabulary: str) -> Encoder:
     """This worker process's encoder: what it remembers outlives a task."""
-    import sys
-    import types
-
-    held = sys.modules.setdefault("_dateloom_encoders", types.ModuleType("_dateloom_encoders"))
-    found = getattr(held, "by_vocabulary", None)
-    if found is None:
-        found = held.by_vocabulary = {}
-    key = zlib.crc32(vocabulary.encode()), len(vocabulary)
-    if key not in found:
-        found.clear()
-        found[key] = Encoder(vocabulary)
-    return found[key]
+    return remembered((zlib.crc32(vocabulary.encode()), len(vocabulary)), lambda: Encoder(vocabulary))
 
 
 @dataclass(frozen=True)
@@ -165,17 +171,19 @@ def _written(folder: str, vocabulary: str, end_id: int, width: int):
                 for i in range(0, batch.num_rows, _AT_ONCE):
                     found, counts = encode(batch.column("text").slice(i, _AT_ONCE))
                     found = np.insert(found, np.cumsum(counts), end_id)
-                    sizes += (counts + 1).tolist()
+                    sizes.append(counts + 1)
                     out.write(found.astype("<u2").tobytes() if width == 2 else found.tobytes())
                 given = batch.column("doc_id")
                 without += given.null_count
                 ids.append(given.drop_null().to_numpy(zero_copy_only=False))
-            named = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+            named = np.concatenate([np.zeros(0, np.int64), *ids])
             least = int(named[0]) if len(named) else 0
-            bounds = EliasFano.of(np.concatenate(([0], np.cumsum(sizes, dtype=np.uint64))).astype(np.uint64)).dumps()
+            ends = np.cumsum(np.concatenate([np.zeros(1, np.uint64), *sizes], dtype=np.uint64, casting="unsafe"))
+            n, n_tokens = len(ends) - 1, int(ends[-1])
+            bounds = EliasFano.of(ends).dumps()
             names = EliasFano.of((named.astype(np.int64).view(np.uint64) - np.int64(least).view(np.uint64))).dumps()
-            out.write(bounds + names + struct.pack(_FOOTER, _MAGIC, width, int(np.sum(sizes)), len(sizes), without, least, len(bounds), len(names)))
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [files_uri(folder, at)], "n_documents": pa.array([len(sizes)], pa.int64()), "n_tokens": pa.array([int(np.sum(sizes))], pa.int64())})
+            out.write(bounds + names + struct.pack(_FOOTER, _MAGIC, width, n_tokens, n, without, least, len(bounds), len(names)))
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "path": [files_uri(folder, at)], "n_documents": pa.array([n], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 
     return run
 
@@ -219,28 +227,31 @@ def footer_of(file) -> dict:
     return {"width": width, "n_tokens": n_tokens, "n_documents": n_documents, "without": without, "least": least, "bounds": EliasFano.loads(file.read(a)), "names": EliasFano.loads(file.read(b))}
 
 
+def documents_in(file, told: dict):
+    """(doc_ids, n + 1 boundaries, ids) of runs of documents of an open shard; boundaries and doc_ids by select, of a run only."""
+    n, width, without = told["n_documents"], told["width"], told["without"]
+    first = 0
+    while first < n:
+        bounds = told["bounds"].select(np.arange(first, min(n, first + _STEP) + 1)).astype(np.int64)
+        run = max(1, int(np.searchsorted(bounds, bounds[0] + _READ, side="right")) - 1)
+        bounds = bounds[: run + 1]
+        last = first + len(bounds) - 1
+        names = told["names"].select(np.arange(max(0, first - without), max(0, last - without))).view(np.int64) + told["least"]
+        file.seek(int(bounds[0]) * width)
+        ids = np.frombuffer(file.read(int(bounds[-1] - bounds[0]) * width), f"<u{width}").astype("<u4")
+        yield [None] * (last - first - len(names)) + names.tolist(), bounds, ids
+        first = last
+
+
 def _read(batches):
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
             files, at = opened(path)
             with files.open_input_file(at) as file:
-                told = footer_of(file)
-                n, width = told["n_documents"], told["width"]
-                bounds = told["bounds"].values().astype(np.int64)
-                names = told["names"].values().view(np.int64) + told["least"]
-                first = 0
-                while first < n:
-                    last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + _READ, side="right")) - 1)
-                    last = min(last, n, first + 4096)
-                    file.seek(int(bounds[first]) * width)
-                    ids = np.frombuffer(file.read(int(bounds[last] - bounds[first]) * width), f"<u{width}").astype("<u4")
-                    cuts = ((bounds[first : last + 1] - bounds[first]) * 4).astype(np.int32)
-                    doc_ids = [None] * max(0, min(last, told["without"]) - first) + names[max(0, first - told["without"]) : max(0, last - told["without"])].tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc_ids, pa.int64()), pa.array(bounds[first:last] + start), pa.array(np.diff(bounds[first : last + 1])), pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer(cuts), pa.py_buffer(ids)])],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
-                    first = last
+                for doc_ids, bounds, ids in documents_in(file, footer_of(file)):
+                    cuts = ((bounds - bounds[0]) * 4).astype(np.int32)
+                    binary = pa.Array.from_buffers(pa.binary(), len(doc_ids), [None, pa.py_buffer(cuts), pa.py_buffer(ids)])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), binary], ["doc_id", "start", "n_tokens", "ids"])
 
 
 def read_tokens(tokens: TokenFiles) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dateloom.llm.elias_fano import EliasFano
-from dateloom.llm.token_files import Encoder, footer_of, open_tokens, opened, read_tokens, write_tokens
+from dateloom.llm.token_files import Encoder, _is_known, documents_in, footer_of, open_tokens, opened, read_tokens, write_tokens
 from dateloom.llm.warc import WarcReader, _Members, digests, member, parsed, plan_records, read_warc, write_pages
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,11 +23,12 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 def test_elias_fano(values):
     values = np.sort(np.array(values, np.uint64))
     e = EliasFano.loads(EliasFano.of(values).dumps())
-    assert len(e) == len(values) and (e.values() == values).all()
+    assert len(e) == len(values)
     if len(values):
-        ks = np.arange(len(values))[:: max(1, len(values) // 7)]
-        assert (e.select(ks) == values[ks]).all()
-        assert 8 * (len(e.lows) + len(e.highs)) <= len(values) * (3 + np.log2(max(1, int(values[-1]) / len(values) + 2))) + 32
+        ks = np.random.default_rng(1).permutation(len(values))
+        assert (e.select(ks) == values[ks]).all() and (e.select(np.arange(len(values))) == values).all()
+        assert 8 * (len(e.lows) + len(e.highs)) <= len(values) * (3 + np.log2(max(1, int(values[-1]) / len(values) + 2))) + 40
+        assert len(e.before) <= 2 + 8 * len(e.highs) // 512
     with pytest.raises(IndexError):
         e.select([len(values)])
 
@@ -37,6 +38,48 @@ def test_elias_fano_refuses_disorder():
         EliasFano.of(np.array([2, 1]))
 
 
+def test_reading_asks_select_and_decodes_no_table(monkeypatch):
+    """Two million documents: every boundary comes from select, of a bounded run at once, in little memory."""
+    import tracemalloc
+
+    n = 2_000_000
+    sizes = np.random.default_rng(2).integers(1, 4, n)
+    bounds, names = EliasFano.of(np.concatenate(([0], np.cumsum(sizes)))), EliasFano.of(np.cumsum(sizes) - sizes[0])
+    told = {"n_documents": n, "width": 2, "without": 0, "least": 5, "bounds": EliasFano.loads(bounds.dumps()), "names": EliasFano.loads(names.dumps())}
+
+    class Zeros:
+        def seek(self, at):
+            pass
+
+        def read(self, n):
+            return bytes(n)
+
+    asked = []
+    select = EliasFano.select
+    monkeypatch.setattr(EliasFano, "select", lambda self, ks: asked.append(len(ks)) or select(self, ks))
+    tracemalloc.start()
+    documents = tokens = last = 0
+    for doc_ids, cuts, ids in documents_in(Zeros(), told):
+        assert cuts[0] == tokens
+        documents, tokens, last = documents + len(doc_ids), int(cuts[-1]), doc_ids[-1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (documents, tokens, last) == (n, int(sizes.sum()), 5 + int(sizes.sum() - sizes[0]))
+    assert len(asked) >= 2 * n // 4096 and max(asked) <= 4097 and peak < 4_000_000
+    assert 8 * len(bounds.dumps()) < 5 * n
+
+
+def test_making_a_code_takes_bounded_memory():
+    import tracemalloc
+
+    values = np.cumsum(np.random.default_rng(3).integers(0, 5000, 1_000_000)).astype(np.uint64)
+    tracemalloc.start()
+    code = EliasFano.of(values)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12_000_000 and code.select([999_999])[0] == values[-1]
+
+
 def expected(rows):
     from tokenizers import Tokenizer
 
@@ -85,6 +128,48 @@ def test_encoder_equals_tokenizer(texts):
     assert counts.tolist() == [len(x) for x in want] and (ids == np.concatenate(want)).all()
 
 
+def test_query_equals_the_tokenizer(spark):
+    """The whole query over a whole table against the library alone."""
+    from dateloom.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    out = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op9_token_files"](spark, folder).collect())
+    assert out == expected(rows)
+
+
+def test_encoder_of_a_changed_file():
+    """Any setting that differs sends whole texts to the tokenizer."""
+    import copy
+    import json
+
+    import pyarrow as pa
+
+    told = json.load(open(VOCABULARY, encoding="utf-8"))
+    assert _is_known(told)
+    changes = [
+        lambda t: t["normalizer"]["normalizers"][1].update(content="_"),
+        lambda t: t["normalizer"]["normalizers"][1]["pattern"].update(Regex="e+"),
+        lambda t: t["normalizer"]["normalizers"].pop(),
+        lambda t: t["pre_tokenizer"]["pretokenizers"][0].update(invert=False),
+        lambda t: t["pre_tokenizer"]["pretokenizers"][1].update(add_prefix_space=True),
+        lambda t: t["model"].update(end_of_word_suffix="</x>"),
+        lambda t: t["model"].update(dropout=0.1),
+        lambda t: t["added_tokens"][0].update(content="of"),
+        lambda t: t["added_tokens"][0].update(normalized=True),
+        lambda t: t.update(truncation={"max_length": 3, "strategy": "LongestFirst", "stride": 0, "direction": "Right"}),
+    ]
+    for k, change in enumerate(changes):
+        other = copy.deepcopy(told)
+        change(other)
+        assert not _is_known(other), k
+    other = copy.deepcopy(told)
+    changes[1](other)
+    e = Encoder(json.dumps(other))
+    ids, counts = e.encode(pa.array(["the teeth of trees", "x"]))
+    assert not e.by_piece and (ids == np.concatenate([np.frombuffer(x, "<u4") for x in e.whole(["the teeth of trees", "x"])])).all()
+
+
 def test_encoder_of_another_file():
     import pyarrow as pa
 
