@@ -1,11 +1,12 @@
 """Duplicate passages of lines by content-defined chunks, in DataFrame operations only.
 
-A hash that rolls over the last WINDOW line hashes ends a chunk where it meets a fixed pattern, so equal passages are
-cut alike wherever they stand. Only hashes of multi-line chunks are counted over all documents; the bytes of those
-that repeat are compared, and all but the first of equal chunks are removed.
+A hash rolls over the hashes of the last WINDOW lines; a chunk begins where it has a local minimum, so equal passages are
+cut alike wherever they stand and no chunk is under two lines. Hashes of chunks are counted over all documents; the
+bytes of those that repeat are compared, and all but the first of equal chunks are removed.
 
-A chunk rule misses passages that hold no whole chunk of two lines. without_repeated_passages misses none: it judges
-every pair of consecutive lines in the same way.
+A passage of few lines often holds no whole chunk. What the chunks leave is therefore judged at the finest cut, where
+every two consecutive lines are a chunk, and so is a line of LONG words or more; again repeated hashes are compared
+by their bytes. Lines without a word are skipped: they neither tell passages apart nor make one.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dateloom.llm.common import BROADCAST_ROWS, small, written
+from dateloom.llm.line_rules import words
 
-#: Lines under the rolling hash, its multiplier, and lines in a chunk on average.
-WINDOW, TIMES, LINES = 2, 31, 3
+#: Lines under the rolling hash, its multiplier and modulus, and words from which a line is a passage by itself.
+WINDOW, TIMES, MODULUS, LONG = 2, 48_271, 2**31 - 1, 50
 #: What a line must hold to be judged.
 _WORD = "[^ \\t-\\r]"
+_CHUNK, _FINE = 1, 2
+_PLACE = ["doc_id", "row_key", "first", "last"]
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -26,119 +30,124 @@ def _texts(documents: DataFrame) -> DataFrame:
     return rows.withColumn("row_key", F.xxhash64("text"))
 
 
-def chunk_arrays(documents: DataFrame) -> DataFrame:
-    """doc_id, row_key, text and chunks (text and number of lines of each) of each row; null texts are empty."""
-    return _chunked(_texts(documents))
+def pieces(documents: DataFrame) -> DataFrame:
+    """(doc_id, row_key, kind, first, last, hash, within) of each chunk, pair of lines and long line: its first and last line's
+    number in the text, a hash of the lines with words in it, and the first line of the chunk that holds it, if one does
+    whole. The arrays of a text are made here and only here."""
+    rows = _texts(documents).withColumn("lines", F.split("text", "\n", -1))
+    worded = F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(_WORD), F.struct(i.alias("i"), x.alias("x")))), lambda s: s.isNotNull())
+    rows = rows.select("doc_id", "row_key", worded.alias("worded"))
+    rows = rows.select(
+        "doc_id",
+        "row_key",
+        F.transform("worded", lambda s: s["i"]).alias("at"),
+        F.transform("worded", lambda s: F.xxhash64(s["x"])).alias("own"),
+        F.transform("worded", lambda s: F.conv(F.substring(F.md5(s["x"].cast("binary")), 1, 8), 16, 10).cast("long")).alias("hashes"),
+        F.transform("worded", lambda s: (F.char_length(s["x"]) >= 2 * LONG - 1) & (F.size(words(s["x"])) >= LONG)).alias("long"),
+    )
+    n = F.size("at")
+    hash_at = lambda k: F.coalesce(F.get("hashes", k), F.lit(0))
+    rows = rows.withColumn("rolled", F.transform("hashes", lambda h, k: sum(((TIMES**j) * hash_at(k - j) for j in range(1, WINDOW)), h) % MODULUS))
+    rolled = lambda k: F.get("rolled", k)
 
+    def begins(k: Column) -> Column:
+        lowest = (rolled(k) < rolled(k - 1)) & (rolled(k) <= rolled(k + 1))
+        # within a run of one repeated line every second line begins a chunk
+        level = (k % 2 == 0) & (rolled(k) == rolled(k - 1)) & (rolled(k) == rolled(k - 2)) & (rolled(k) == rolled(k + 1))
+        return (k == 0) | ((k >= 2) & (k < n - 1) & (lowest | level))
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    keep = rows.columns
-    out = rows.withColumn("lines", F.split("text", "\n", -1))
-    line_hash = lambda line: F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
-    out = out.withColumn("hashes", F.transform("lines", line_hash))
+    rows = rows.withColumn("starts", F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), begins)))
 
-    def rolling(i: Column) -> Column:
-        terms = [F.coalesce(F.get("hashes", i - k), F.lit(0)) * TIMES**k for k in range(WINDOW)]
-        return sum(terms[1:], terms[0])
+    def chunk(start: Column, c: Column) -> Column:
+        size = F.coalesce(F.get("starts", c + 1), n) - start
+        first, last = F.get("at", start), F.get("at", start + size - 1)
+        return F.when(size > 1, _piece(_CHUNK, first, last, F.xxhash64(F.slice("own", start + 1, size)), first))
 
-    n = F.size("lines")
-    ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (rolling(i) % LINES == 0) | (i == n - 1))
-    out = out.withColumn("ends", ends)
+    def pair(start: Column, end: Column, k: Column) -> Column:
+        within = F.when(k + 1 < end, F.get("at", start))
+        return F.when(k + 1 < n, _piece(_FINE, F.get("at", k), F.get("at", k + 1), F.xxhash64(F.get("own", k), F.get("own", k + 1)), within))
 
-    def chunk(end: Column, k: Column) -> Column:
-        start = F.coalesce(F.get("ends", k - 1) + 1, F.lit(0))
-        size = end - start + 1
-        return F.struct(F.array_join(F.slice("lines", start + 1, size), "\n").alias("chunk"), size.alias("size"))
+    def single(start: Column, k: Column) -> Column:
+        return F.when(F.get("long", k), _piece(_FINE, F.get("at", k), F.get("at", k), F.xxhash64(F.get("own", k)), F.get("at", start)))
 
-    return out.withColumn("chunks", F.transform("ends", chunk)).select(*keep, "chunks")
+    def fine(start: Column, c: Column) -> Column:
+        end = F.coalesce(F.get("starts", c + 1), n)
+        places = F.sequence(start, end - 1)
+        return F.concat(F.transform(places, lambda k: pair(start, end, k)), F.transform(places, lambda k: single(start, k)))
 
+    every = F.array_compact(F.concat(F.transform("starts", chunk), F.flatten(F.transform("starts", fine))))
+    # the outer form: a filter inferred for the inner one would be pushed below and compute the arrays again for every line
+    rows = rows.select("doc_id", "row_key", F.explode_outer(every).alias("p"))
+    return rows.where("p is not null").select("doc_id", "row_key", "p.*")
 
-def repeated_chunks(documents: DataFrame) -> DataFrame:
-    """(doc_id, row_key, chunk_no, size) of each chunk of two lines or more that an earlier chunk equals byte by byte.
 
-    Earlier: by doc_id (null first), then text hash, then place.
-    """
-    # the outer form: a filter inferred for the inner one would be pushed below and compute the arrays again for every line
-    rows = chunk_arrays(documents).select("doc_id", "row_key", F.posexplode_outer("chunks").alias("chunk_no", "c"))
-    return _repeated(rows.where((F.col("c.size") > 1) & F.col("c.chunk").rlike(_WORD)).select("doc_id", "row_key", "chunk_no", "c.size", F.xxhash64("c.chunk").alias("hash"), F.col("c.chunk").alias("chunk")))
-
-
-def _repeated(rows: DataFrame) -> DataFrame:
-    """(doc_id, row_key, chunk_no, size) of those rows (also hash, chunk) whose chunk an earlier row holds."""
-    hashes = written(rows.drop("chunk"), "chunks")
-    again = written(hashes.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "again")
-    # bytes only of chunks whose hash repeats; equal bytes meet in map-side combined groups
-    place = F.struct("doc_id", "row_key", "chunk_no")
-    texts = rows.join(small(again), "hash").groupBy("hash", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    texts = written(texts, "compared")
-    owners = texts.groupBy("hash").agg(F.count("*").alias("texts"), F.min("first").alias("first"))
-    single, mixed = owners.where("texts = 1").select("hash", "first"), owners.where("texts > 1").select("hash")
-    out = hashes.join(small(written(single, "owners")), "hash").where(place != F.col("first")).select("doc_id", "row_key", "chunk_no", "size")
-    mixed = written(mixed, "mixed")
-    if not mixed.isEmpty():  # different bytes under one hash: judged by the bytes themselves
-        own = texts.join(mixed, "hash").select("hash", "chunk", "first")
-        more = rows.join(own, ["hash", "chunk"]).where(place != F.col("first")).select("doc_id", "row_key", "chunk_no", "size")
-        out = out.unionByName(more)
-    return out
+def _piece(kind: int, first: Column, last: Column, hash_: Column, within: Column) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), first.alias("first"), last.alias("last"), hash_.alias("hash"), within.alias("within"))
 
 
-def deduplicated(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, text) of each row of documents (doc_id, text, ...).
+def _by_document(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """The structs of `columns` of each document as an array."""
+    return _bounded(rows.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct(*columns)).alias(name)), name)
 
-    text is what remains. Rows that repeat a doc_id with other texts are documents of their own, after each other by
-    text hash; rows that repeat doc_id and text are one document, each with the same result. Chunks without a word
-    are never removed. An empty table gives no rows; a null doc_id comes before all others.
-    """
-    gone = repeated_chunks(documents).distinct().groupBy("doc_id", "row_key").agg(F.collect_set("chunk_no").alias("gone"), F.sum("size").alias("n_removed_lines"))
-    gone = written(gone, "gone")
-    sizes = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("chunks")).first()
-    found = gone.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "gone", "n_removed_lines")
-    if sizes["rows"] <= BROADCAST_ROWS and sizes["chunks"] <= 10 * BROADCAST_ROWS:
-        found = F.broadcast(found)
-    # joined to the bare texts, whose chunks are made after it
-    rows = _texts(documents).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
-    rows = _chunked(rows)
-    left = F.array_except(F.sequence(F.lit(0), F.size("chunks") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("chunks", k)["chunk"]), "\n"))
-    return rows.select(
-        "doc_id",
-        F.aggregate("chunks", F.lit(0), lambda a, c: a + c["size"]).cast("long").alias("n_lines"),
-        F.size("chunks").cast("long").alias("n_chunks"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_chunks"),
-        F.coalesce("n_removed_lines", F.lit(0)).cast("long").alias("n_removed_lines"),
-        text.alias("text"),
-    )
 
+def _bounded(rows: DataFrame, name: str) -> DataFrame:
+    """rows, one for each document, as a table under _id and _key; broadcast if rows and entries of the array are few."""
+    rows = written(rows, name)
+    sizes = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size(name)), F.lit(0)).alias("entries")).first()
+    out = rows.withColumnsRenamed({"doc_id": "_id", "row_key": "_key"})
+    return F.broadcast(out) if sizes["rows"] <= BROADCAST_ROWS and sizes["entries"] <= 5 * BROADCAST_ROWS else out
 
-def _pairs(documents: DataFrame) -> DataFrame:
-    """(doc_id, row_key, chunk_no, size, hash, chunk) of each pair of consecutive lines with words, blank lines between skipped."""
-    rows = _texts(documents).withColumn("lines", F.split("text", "\n", -1))
-    rows = rows.withColumn("worded", F.filter(F.transform("lines", lambda x, i: F.when(x.rlike(_WORD), i)), lambda i: i.isNotNull()))
 
-    def pair(i: Column, k: Column) -> Column:
-        after = F.get("worded", k + 1)
-        return F.struct(i.alias("chunk_no"), (after - i + 1).alias("size"), F.concat(F.get("lines", i), F.lit("\n"), F.get("lines", after)).alias("chunk"))
+def _same(documents: DataFrame) -> Column:
+    return documents.doc_id.eqNullSafe(F.col("_id")) & (documents.row_key == F.col("_key"))
 
-    rows = rows.select("doc_id", "row_key", F.explode_outer(F.transform("worded", pair)).alias("c"))
-    return rows.where("c.chunk is not null").select("doc_id", "row_key", "c.chunk_no", "c.size", F.xxhash64("c.chunk").alias("hash"), "c.chunk")
 
+def repeated(found: DataFrame, documents: DataFrame, tag: str) -> DataFrame:
+    """The places (doc_id, row_key, first, last) of those pieces that an earlier piece equals byte by byte.
 
-def without_repeated_passages(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed_lines, text) of each row of documents (doc_id, text, ...); text is what remains.
+    Earlier: by doc_id (null first), then text hash, then place. Only texts of pieces whose hash repeats are read.
+    """
+    again = written(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), f"again_{tag}")
+    places = written(found.join(small(again), "hash").select(*_PLACE, "hash"), f"places_{tag}")
+    texts = _texts(documents)
+    rows = texts.join(_by_document(places, f"asked_{tag}", ["first", "last", "hash"]), _same(texts)).withColumn("lines", F.split("text", "\n", -1))
+    asked = lambda p: F.filter(F.slice("lines", p["first"] + 1, p["last"] - p["first"] + 1), lambda x: x.rlike(_WORD))
+    rows = rows.select("doc_id", "row_key", F.explode(F.transform(f"asked_{tag}", lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), p["hash"].alias("hash"), F.array_join(asked(p), "\n").alias("piece")))).alias("p"))
+    rows = rows.select("doc_id", "row_key", "p.first", "p.last", "p.hash", "p.piece")
+    # equal bytes meet in groups that are combined before the shuffle
+    compared = written(rows.groupBy("hash", "piece").agg(F.min(F.struct(*_PLACE)).alias("earliest")), f"compared_{tag}")
+    owners = written(compared.groupBy("hash").agg(F.count("*").alias("texts"), F.min("earliest").alias("earliest")), f"owners_{tag}")
+    out = places.join(small(owners.where("texts = 1").select("hash", "earliest")), "hash").where(F.struct(*_PLACE) != F.col("earliest")).select(_PLACE)
+    mixed = owners.where("texts > 1").select("hash")
+    if not mixed.isEmpty():  # different bytes under one hash: judged by the bytes themselves
+        own = compared.join(mixed, "hash")
+        out = out.unionByName(rows.join(own, ["hash", "piece"]).where(F.struct(*_PLACE) != F.col("earliest")).select(_PLACE))
+    return written(out.distinct(), f"repeated_{tag}")
 
-    Of every passage of two lines with words or more that an earlier place holds, all lines go, blank ones inside it too;
-    blank lines do not tell passages apart. Earlier, repeated rows, null texts and ids are as in deduplicated. A line
-    that repeats without an equal neighbour stays, and each line's text stays at its first place at least.
+
+def deduplicated(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed_chunks, n_removed_lines, text) of each row of documents (doc_id, text, ...).
+
+    text is what remains: of every passage of two lines with words or more, and of every line of LONG words or more,
+    that an earlier place holds, all lines go, those without words inside it too. A short line that repeats without an
+    equal neighbour stays, and each line stays at its first place at least. n_removed_chunks counts the whole chunks.
+    Null texts are empty. Rows that repeat a doc_id with other texts are documents of their own, after each other by text
+    hash; rows that repeat doc_id and text are one document, each with the same result. An empty table gives no
+    rows; a null doc_id comes before all others. Other columns are ignored.
     """
-    lines = F.explode(F.sequence("chunk_no", F.col("chunk_no") + F.col("size") - 1)).alias("line_no")
-    gone = _repeated(_pairs(documents)).distinct().select("doc_id", "row_key", lines)
-    gone = written(gone.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("gone")), "gone_lines")
-    sizes = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("lines")).first()
-    found = gone.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "gone")
-    if sizes["rows"] <= BROADCAST_ROWS and sizes["lines"] <= 10 * BROADCAST_ROWS:
-        found = F.broadcast(found)
-    rows = _texts(documents).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row_key") == F.col("_key")), "left")
-    rows = rows.withColumn("lines", F.split("text", "\n", -1))
+    found = written(pieces(documents), "pieces")
+    chunks = repeated(found.where(F.col("kind") == _CHUNK).select(*_PLACE, "hash"), documents, "chunks")
+    # pairs within a removed chunk are gone and never the first of their kind, so they need no judging
+    fine, gone = found.where(F.col("kind") == _FINE), chunks.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("first").alias("_first"))
+    fine = fine.join(small(gone), _same(fine) & (F.col("within") == F.col("_first")), "left_anti")
+    pairs = repeated(fine.select(*_PLACE, "hash"), documents, "fine")
+
+    every = chunks.withColumn("whole", F.lit(1)).unionByName(pairs.withColumn("whole", F.lit(0)))
+    lines = every.select("doc_id", "row_key", "whole", F.explode(F.sequence("first", "last")).alias("line_no"), "first")
+    gone = lines.groupBy("doc_id", "row_key").agg(F.collect_set("line_no").alias("gone"), F.count_if((F.col("whole") == 1) & (F.col("line_no") == F.col("first"))).alias("n_removed_chunks"))
+    texts = _texts(documents)
+    rows = texts.join(_bounded(gone, "gone"), _same(texts), "left").withColumn("lines", F.split("text", "\n", -1))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
-    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"), text.alias("text"))
+    told = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), told(F.col("n_removed_chunks")).alias("n_removed_chunks"), told(F.size("gone")).alias("n_removed_lines"), text.alias("text"))

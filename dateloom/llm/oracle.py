@@ -61,16 +61,23 @@ SQL: dict[str, str] = {
         FROM o
     """,
     "op7_line_chunks": r"""
-        WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i, len(s) AS n FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
-        h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-        e AS (SELECT *, CAST((h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 OR i = n - 1 AS INT) AS ends FROM h),
-        k AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk_no FROM e),
-        c AS (SELECT doc_id, chunk_no, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS size FROM k GROUP BY ALL),
-        g AS (SELECT *, size > 1 AND regexp_matches(chunk, '[^ \t-\r]') AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, chunk_no) > 1 AS gone FROM c)
-        SELECT doc_id, CAST(sum(size) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks,
-               CAST(coalesce(sum(size) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
-               md5(coalesce(string_agg(chunk, chr(10) ORDER BY chunk_no) FILTER (NOT gone), '')) AS text_md5
-        FROM g GROUP BY doc_id
+        WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
+        w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n,
+                     CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l WHERE regexp_matches(line, '[^ \t-\r]')),
+        r AS (SELECT *, (h + 48271 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY k), 0)) % 2147483647 AS r FROM w),
+        b AS (SELECT *, lag(r) OVER d AS r1, lag(r, 2) OVER d AS r2, lead(r) OVER d AS s1 FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+        c AS (SELECT *, sum(CASE WHEN k = 0 OR (k >= 2 AND k < n - 1 AND ((r < r1 AND r <= s1) OR (k % 2 = 0 AND r = r1 AND r = r2 AND r = s1))) THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY doc_id ORDER BY k) AS chunk_no FROM b),
+        g AS (SELECT doc_id, min(k) AS k, string_agg(line, chr(10) ORDER BY k) AS chunk FROM c GROUP BY doc_id, chunk_no HAVING count(*) > 1),
+        x AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) AS turn FROM g) WHERE turn > 1 GROUP BY 1),
+        p AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY k) AS j, line, lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM w
+              UNION ALL SELECT doc_id, i, i, line, NULL FROM w WHERE len(list_filter(regexp_split_to_array(line, '[ \t-\r]+'), lambda x: x <> '')) >= 50),
+        q AS (SELECT *, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, i) AS turn FROM p WHERE j IS NOT NULL),
+        o AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS i FROM q WHERE turn > 1),
+        f AS (SELECT l.doc_id, l.i, l.line, o.i IS NOT NULL AS gone FROM l LEFT JOIN o USING (doc_id, i))
+        SELECT doc_id, count(*) AS n_lines, coalesce(max(x.n), 0) AS n_removed_chunks, count(*) FILTER (gone) AS n_removed_lines,
+               md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS text_md5
+        FROM f LEFT JOIN x USING (doc_id) GROUP BY doc_id
     """,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),

@@ -84,15 +84,7 @@ def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dateloom.llm.line_chunks import deduplicated
 
     found = deduplicated(documents_of(spark, sf_dir))
-    return found.select("doc_id", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
-
-
-def op7_line_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All repeated passages; the SQL of op7_line_chunks fixes the cut of that query."""
-    from dateloom.llm.line_chunks import without_repeated_passages
-
-    found = without_repeated_passages(documents_of(spark, sf_dir))
-    return found.select("doc_id", "n_lines", "n_removed_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return found.select("doc_id", "n_lines", "n_removed_chunks", "n_removed_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_line_rules": op6_line_rules,
     "op7_line_chunks": op7_line_chunks,
-    "op7_line_passages": op7_line_passages,
     "op8_toxicity": op8_toxicity,
     "op9_token_files": op9_token_files,
     "op10_warc": op10_warc,

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dateloom.llm.decontaminate import Index, Search, contaminated, edit_distance_in, normalised, without_contaminated
-from dateloom.llm.line_chunks import deduplicated, without_repeated_passages
+from dateloom.llm.line_chunks import deduplicated, pieces
 from dateloom.llm.line_rules import LineRules, cleaned
 from dateloom.llm.url_filter import intervals, keys_of, verdicts
 
@@ -106,10 +106,75 @@ def test_edited_long_items_are_found():
     assert {(t, n) for t, n, *_ in index.search_block(texts)} == {(i, i // 3) for i in range(len(texts))}
 
 
+def test_items_under_a_gram_are_found(spark, documents):
+    items = ["to be", "x", "字", "é", "ninebytes", "eightbyt", "a b", "abcdefghi", "to be", "\n"]
+    rows = [(1, "He said to  BE or not"), (2, "xé字x"), (3, "a\nb abcdefgh abcdefghi"), (4, "nineBYTESeightbyt"), (5, None), (6, "to  b")]
+    out = contaminated(documents(rows), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    want = {(d, i, normalised(t).find(normalised(x))) for d, t in rows for i, x in enumerate(items) if normalised(x) and normalised(x) in normalised(t)}
+    assert {(r.doc_id, r.item_id, r.start) for r in out} == want and all((r.distance, r.length) == (0, len(normalised(items[r.item_id]))) for r in out)
+    assert len(out) == len(want)
+
+
+def test_very_long_items():
+    """Items of 5 to 100 KB, whole and with all edits but one, against the plain bit-parallel search; no table grows with them."""
+    import pickle
+    import time
+
+    rng = random.Random(13)
+    search = Search()
+    items = [prose(rng, n).encode()[:size] for n, size in ((1200, 5_000), (5000, 20_000), (25_000, 100_000))]
+    began = time.perf_counter()
+    index = Index(list(enumerate(items)), search)
+    texts = [f"{prose(rng, 30)}{t.decode()}{prose(rng, 30)}".encode() for t in items]
+    texts += [f"{prose(rng, 30)} {edited(rng, t.decode(), search.allowed(len(t)) - 1)} {prose(rng, 30)}".encode() for t in items[:2]]
+    texts += [prose(rng, 300).encode(), items[1][:15_000]]
+    got = {(t, n): (d, s, length) for t, n, d, s, length in index.search_block(texts)}
+    assert set(got) == {(0, 0), (1, 1), (2, 2), (3, 0), (4, 1)}
+    for t in range(3):
+        assert got[t, t] == (0, texts[t].index(items[t]), len(items[t]))
+    assert got[3, 0][0] == edit_distance_in(items[0], texts[3], search.allowed(5_000))[0]
+    assert len(pickle.dumps(index)) < 20_000_000 and time.perf_counter() - began < 60
+
+
+def test_no_item_lies_far_below_the_recall():
+    rng = random.Random(14)
+    odd = [("ab" * 60 + prose(rng, 3)).encode(), (" ".join(["a"] * 80)).encode(), ("=" * 150).encode()]
+    items = [prose(rng, rng.randint(15, 30)).encode() for _ in range(60)] + odd
+    search = Search()
+    index = Index(list(enumerate(items)), search)
+    found = [0] * len(items)
+    for _ in range(12):
+        texts = [f"{prose(rng, 6)} {edited(rng, t.decode(), search.allowed(len(t)))} {prose(rng, 6)}".encode() for t in items]
+        for t, n, *_ in index.search_block(texts):
+            found[n] += t == n
+    assert sum(found) >= 0.95 * 12 * len(items) and min(found) >= 7 and all(found[-k] >= 11 for k in (1, 2, 3))
+
+
+def test_query_equals_the_plain_search(spark):
+    """Near matches too: twenty items against every text of a table, joined so that one pass of an item reads all."""
+    from dateloom.llm.queries import QUERIES
+
+    folder, search = "/root/testdata/sf0.001", Search()
+    items = sorted((r.item_id, normalised(r.text)) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect())
+    docs = sorted((r.doc_id, normalised(r.text)) for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    out = {(r.doc_id, r.item_id): r.distance for r in QUERIES["op1_decontaminate"](spark, folder).collect()}
+    some = sorted({i for _, i in out})[:10]
+    items = [x for k, x in enumerate(items) if x[0] in some or k < 6]
+    want = {}
+    for i, item in items:
+        edits = search.allowed(len(item))
+        for d, text in docs:
+            got = edit_distance_in(item, text, edits) if item[:12] in text or item[-12:] in text or any(item[k : k + 10] in text for k in range(0, len(item) - 9, 10)) else None
+            if got:
+                want[d, i] = got[0]
+    found = {k: v for k, v in out.items() if k[1] in dict(items)}
+    assert set(found) <= set(want) and all(found[k] == want[k] for k in found) and len(found) >= 0.95 * len(want)
+
+
 def test_repetitions_grow_with_recall():
     rng = random.Random(5)
     items = [(i, prose(rng, 40).encode()) for i in range(20)]
-    count = lambda recall: sum(len(c[4]) for c in Index(items, Search(recall=recall)).classes)
+    count = lambda recall: sum(len(c.keys) for c in Index(items, Search(recall=recall)).classes)
     assert count(0.5) <= count(0.9) <= count(0.99)
 
 
@@ -160,21 +225,41 @@ def test_repeated_passages_go(documents):
     line = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(9))
     passage = [line() for _ in range(25)]
     rows = [(i, "\n".join([line() for _ in range(rng.randint(0, 9))] + passage + [line() for _ in range(5)])) for i in range(40)] + [(100, line()), (101, None), (102, ""), (103, "\n\n\n"), (104, "\n\n\n")]
-    out = {r.doc_id: r for r in deduplicated(documents(rows).withColumn("chunks", F.lit(1))).collect()}
+    out = {r.doc_id: r for r in deduplicated(documents(rows).withColumns({"chunks": F.lit(1), "lines": F.lit(2), "gone": F.lit(3), "first": F.lit(4)})).collect()}
     text = dict(rows)
     assert out[0].text == text[0] and out[0].n_removed_lines == 0
     for i in range(1, 40):
-        left = out[i].text.split("\n")
-        own = [x for x in text[i].split("\n") if x not in passage]
-        assert set(own) <= set(left) and len([x for x in left if x in passage]) <= 12
+        assert out[i].text.split("\n") == [x for x in text[i].split("\n") if x not in passage] and out[i].n_removed_chunks >= 3
     assert [out[i].text for i in (100, 101, 102, 103, 104)] == [text[100], "", "", "\n\n\n", "\n\n\n"]
     assert sum(r.n_lines for r in out.values()) == sum(len((t or "").split("\n")) for _, t in rows)
 
 
+def test_chunks_are_two_lines_or_more_and_shift_with_their_text(documents):
+    rng = random.Random(10)
+    line = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(4))
+    passage = [line() for _ in range(60)]
+    texts = ["\n".join([line() for _ in range(k)] + passage) for k in (0, 1, 5, 8)] + ["\n".join(["-----"] * 41), "\n".join(["a"] * 3 + ["b"] * 50 + ["c"])]
+    found = {}
+    for r in pieces(documents(texts)).where("kind = 1").collect():
+        found.setdefault(r.doc_id, []).append((r.first, r.last, r.hash))
+    for rows in found.values():
+        rows.sort()
+        assert all(2 <= b - a + 1 <= 12 for a, b, _ in rows) and all(x[1] + 1 == y[0] for x, y in zip(rows, rows[1:]))
+    hashes = [{h for *_, h in found[i]} for i in range(4)]
+    assert all(len(hashes[0] & h) >= len(hashes[0]) - 2 for h in hashes) and len(found[0]) >= 15
+
+
+def test_runs_of_one_line_and_long_lines(documents):
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"w{i}" for i in range(49))
+    rows = ["\n".join(["a"] * 9), "x\n" + "\n".join(["a"] * 6) + "\ny", f"{long}\nq", f"{short}\nr", f"s\n{long}", f"t\n{short}", "b\n" * 7]
+    out = {r.doc_id: r.text for r in deduplicated(documents(rows)).collect()}
+    assert out == {0: "a", 1: "x\na\ny"[:0] + "x\ny", 2: rows[2], 3: rows[3], 4: "s", 5: rows[5], 6: "b\n"}
+
+
 def test_chunk_rows_that_repeat(documents):
     text = "\n".join(f"line number {i} of this" for i in range(30))
     out = deduplicated(documents([(1, text), (1, text), (2, text), (None, text)])).collect()
-    assert {str(r.doc_id): r.n_removed_lines > 0 for r in out} == {"None": False, "1": True, "2": True} and len(out) == 4
+    assert {str(r.doc_id): r.n_removed_lines for r in out} == {"None": 0, "1": 30, "2": 30} and len(out) == 4
     assert deduplicated(documents([(1, text)]).limit(0)).count() == 0
 
 
@@ -187,7 +272,7 @@ def test_no_short_passage_stays(documents):
         rows.append((2 * i, "\n".join([line(), *passage, line()])))
         own[2 * i + 1] = [line() for _ in range(i % 3)], [line() for _ in range(i % 2)]
         rows.append((2 * i + 1, "\n".join([*own[2 * i + 1][0], *passage, *own[2 * i + 1][1]])))
-    out = {r.doc_id: r for r in without_repeated_passages(documents(rows)).collect()}
+    out = {r.doc_id: r for r in deduplicated(documents(rows)).collect()}
     for i, text in rows:
         assert out[i].text == (text if i % 2 == 0 else "\n".join(sum(own[i], []))) and out[i].n_lines == len(text.split("\n"))
 
@@ -204,9 +289,14 @@ def test_passages_equal_pairs_by_hand(documents):
                 gone |= set(range(a, b + 1))
             seen.add((lines[a], lines[b]))
         want[i] = len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone)
-    out = without_repeated_passages(documents(texts).withColumn("lines", F.lit(1))).collect()
+    out = deduplicated(documents(texts).withColumn("lines", F.lit(1))).collect()
     assert {r.doc_id: (r.n_removed_lines, r.text) for r in out} == want and len(out) == len(texts)
-    assert without_repeated_passages(documents(texts).limit(0)).count() == 0
+
+
+def test_very_long_texts(documents):
+    text = "\n".join(f"line {i % 30_000} of a long text" for i in range(60_000))
+    out = {r.doc_id: r.n_removed_lines for r in deduplicated(documents([text, "x" * 1_000_000, text])).collect()}
+    assert out == {0: 29_999 + 1, 1: 0, 2: 60_000}
 
 
 # --- URL filter --------------------------------------------------------------------------------------------------------------------
