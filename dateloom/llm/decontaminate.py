@@ -4,17 +4,17 @@ Texts are lower-cased and runs of white space become one space. A CGK walk reads
 byte a step and moves on by a random bit that depends on the step and the byte; strings within few edits come back
 into step with each other, so their walks differ in few places. Walks from every code point of a document, as long as
 the item asks, are sampled at a few places; equal samples in any of the repetitions make a candidate, which an exact
-bit-parallel edit distance confirms. The repetitions are as many as the target recall asks on edited items; where
-REPETITIONS do not reach it, as for long items, places that pass the count of grams are confirmed without walks.
+bit-parallel edit distance confirms. The repetitions are as many as the target recall asks on edited copies of all
+items of a length class. Where REPETITIONS do not reach it, for items that lie below it, and for items beyond
+WALKED bytes, places that pass the count of grams are confirmed by edit distance without walks, which misses none.
 
 Which starts walk at all is decided without loss: a window within k edits of an item of m bytes holds at least
 m - GRAM + 1 - GRAM * k of the items' grams of GRAM bytes, which one vectorised pass counts; what passes is counted
-again by single items.
+again by single items. Items under GRAM bytes allow no edit and are searched as they are.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,21 +31,23 @@ _TABLE = 23
 #: Bytes of text searched at once, and bytes that walks write at once.
 _AT_ONCE = 1 << 20
 _WRITTEN = 1 << 26
-#: Most repetitions, and items that a gram is counted for singly; one of more items counts for all.
-REPETITIONS, _OWNERS = 256, 64
+#: Most repetitions, items that a gram is counted for singly (one of more items counts for all), longest item that walks.
+REPETITIONS, _OWNERS, WALKED = 256, 64, 4096
+#: Edited copies of each item in a trial, and how far one item's share of found copies may lie below the target.
+_COPIES, _BELOW = 3, 0.05
 _MATCH = "doc_id long, item_id long, distance int, start int, length int"
 
 
 @dataclass(frozen=True)
 class Search:
     """edits: allowed edits as a share of an item's bytes; sampled: places of a walk in a key; walks: random walks;
-    recall: target for items with all the edits allowed; block: items searched in one pass over the documents."""
+    recall: target for items with all the edits allowed; block: bytes of items searched in one pass over the documents."""
 
     edits: float = 0.05
     sampled: int = 6
     walks: int = 8
     recall: float = 0.95
-    block: int = 20_000
+    block: int = 4 << 20
     seed: int = 5
 
     def allowed(self, size: int) -> int:
@@ -97,27 +99,42 @@ def _place(item: bytes, text: bytes, most: int) -> tuple[int, int, int] | None:
     return distance, end - length, length
 
 
+def _eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of raw as a number; raw has eight bytes or more."""
+    return np.ascontiguousarray(np.lib.stride_tricks.as_strided(np.ascontiguousarray(raw), (len(raw) - 7, 8), (1, 1))).view("<u8").ravel()
+
+
 def _grams(raw: np.ndarray) -> np.ndarray:
-    """A table position for each gram of GRAM bytes."""
+    """A hash for each gram of GRAM bytes."""
     n = len(raw) - GRAM + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    eight = np.lib.stride_tricks.as_strided(np.ascontiguousarray(raw), (len(raw) - 7, 8), (1, 1))
-    words = np.ascontiguousarray(eight).view("<u8").ravel()
+        return np.zeros(0, np.uint64)
+    words = _eights(raw)
     with np.errstate(over="ignore"):
         h = words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[GRAM - 8 :][:n] * np.uint64(0xD6E8FEB86659FD93)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x7FB5D329728EA185)
-    return (h >> np.uint64(64 - _TABLE)).astype(np.int32)
+        return (h ^ (h >> np.uint64(32))) * np.uint64(0x7FB5D329728EA185)
+
+
+def _slots(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - _TABLE)).astype(np.int32)
 
 
 class _Walker:
-    """The random walks: for each a bit by step and byte, and the places sampled in each repetition."""
+    """The random walks: for each a bit by step and byte, made anew from the seed wherever a walker arrives."""
+
+    def __init__(self, search: Search, steps: int):
+        self.search, self.steps = search, steps
+        self.bits = self._drawn()
+
+    def _drawn(self) -> np.ndarray:
+        return np.random.Generator(np.random.PCG64(self.search.seed)).integers(0, 2, (self.search.walks, self.steps, 256), dtype=np.uint8)
+
+    def __getstate__(self):
+        return self.search, self.steps
 
-    def __init__(self, search: Search, longest: int):
-        self.search = search
-        rng = np.random.Generator(np.random.PCG64(search.seed))
-        self.bits = rng.integers(0, 2, (search.walks, 2 * longest, 256), dtype=np.uint8)
-        self.rng = rng
+    def __setstate__(self, state):
+        self.search, self.steps = state
+        self.bits = self._drawn()
 
     def walk(self, which: int, raw: np.ndarray, starts: np.ndarray, steps: np.ndarray) -> np.ndarray:
         """Bytes that the walks from starts write, each as many steps as told, most first; raw ends with so many zeros."""
@@ -130,69 +147,98 @@ class _Walker:
         return out
 
 
+class _Owners:
+    """Which items of a class hold a gram, as sorted arrays."""
+
+    def __init__(self, items: np.ndarray, grams: list[np.ndarray]):
+        self.items = items
+        every = np.concatenate(grams)
+        local = np.repeat(np.arange(len(items), dtype=np.int32), [len(g) for g in grams])
+        order = np.argsort(every, kind="stable")
+        self.grams, self.first, counts = np.unique(every[order], return_index=True, return_counts=True)
+        self.local, self.counts = local[order], counts.astype(np.int32)
+
+    def counted(self, grams: np.ndarray) -> tuple[int, np.ndarray]:
+        """(how many of the grams too many items hold, how many of the others each item holds)."""
+        at = np.searchsorted(self.grams, grams)
+        at[at == len(self.grams)] = 0
+        at = at[self.grams[at] == grams]
+        often = self.counts[at] > _OWNERS
+        rare = at[~often]
+        n = self.counts[rare]
+        places = np.repeat(self.first[rare] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(rare) else np.zeros(0, np.int64)
+        return int(often.sum()), np.bincount(self.local[places], minlength=len(self.items))
+
+
+@dataclass
+class _Class:
+    """Items of like length: low to high bytes; hits: grams that a window of any of them holds; edits: most of any;
+    keys: [(walk, places, sorted keys, item numbers)]; sure: numbers of items that are confirmed without walks."""
+
+    low: int
+    high: int
+    hits: int
+    edits: int
+    keys: list
+    sure: set
+    owners: _Owners
+
+
 class Index:
     """A block of items by length class: samples of their walks, and the grams of all."""
 
     def __init__(self, items: list[tuple[int, bytes]], search: Search):
         self.search, self.items = search, [(i, t) for i, t in items if len(t) >= GRAM]
-        self.sizes = np.array([len(t) for _, t in self.items], np.int64)
-        self.longest = int(self.sizes.max()) if len(self.sizes) else 0
+        #: by length: (sorted first eight bytes, ids and bytes in that order) of items under GRAM bytes
+        self.short = {m: self._by_bytes([(i, t) for i, t in items if len(t) == m], m) for m in sorted({len(t) for _, t in items}) if 0 < m < GRAM}
+        sizes = np.array([len(t) for _, t in self.items], np.int64)
+        self.longest = int(sizes.max()) if len(sizes) else 0
         self.table = np.zeros(1 << _TABLE, bool)
-        for _, t in self.items:
-            self.table[_grams(np.frombuffer(t, np.uint8))] = True
-        self.walker = _Walker(search, self.longest)
-        self.grams: dict[int, set[bytes]] = {}
-        #: by class: (least size, most size, least hits, most edits, [(walk, places, sorted keys, item numbers)]);
-        #: without keys where the trial misses the recall
-        self.classes = []
-        #: by class: (items, {gram: items that hold it, none if too many})
-        self.owners: list[tuple[np.ndarray, dict[bytes, list[int]]]] = []
-        order = np.argsort(self.sizes, kind="stable")
+        self.own = [np.unique(_grams(np.frombuffer(t, np.uint8))) for _, t in self.items]
+        for grams in self.own:
+            self.table[_slots(grams)] = True
+        self.walker = _Walker(search, 2 * int(sizes[sizes <= WALKED].max()) if (sizes <= WALKED).any() else 0)
+        self.classes: list[_Class] = []
+        rng = np.random.Generator(np.random.PCG64(search.seed + 1))
+        order = np.argsort(sizes, kind="stable")
         k = 0
         while k < len(order):
-            low = self.sizes[order[k]]
-            stop = int(np.searchsorted(self.sizes[order], low * 1.2, side="right"))
-            here = order[k:stop]
-            k = stop
+            low = int(sizes[order[k]])
+            here = order[k : int(np.searchsorted(sizes[order], min(low * 1.2, WALKED) if low <= WALKED else low * 1.2, side="right"))]
+            k += len(here)
+            least = min(self._least(int(n)) for n in here)
+            found = _Class(low, int(sizes[here].max()), max(1, least), max(search.allowed(int(s)) for s in sizes[here]), [], set(here.tolist()), _Owners(here, [self.own[n] for n in here]))
+            self.classes.append(found)
+            if low > WALKED:
+                continue
             # a walk stays half of its steps: so many read the shortest item of the class once
-            steps = 2 * int(low)
-            edits = max(search.allowed(int(s)) for s in self.sizes[here])
-            hits = min(int(s) - GRAM + 1 - GRAM * search.allowed(int(s)) for s in self.sizes[here])
-            embedded = self._embedded([self.items[n][1] for n in here], steps)
-            keys = []
-            for r in range(self._repetitions([self.items[n][1] for n in here], embedded, steps, edits)):
-                places = np.sort(self.walker.rng.choice(steps, search.sampled, replace=False))
+            steps = 2 * low
+            texts = [self.items[n][1] for n in here]
+            embedded = self._embedded(texts, steps)
+            repetitions, weak = self._repetitions(texts, embedded, steps)
+            found.sure = set(here[weak].tolist())
+            for r in range(repetitions):
+                places = np.sort(rng.choice(steps, search.sampled, replace=False))
                 key = self.key(embedded[r % search.walks], places)
                 by = np.argsort(key, kind="stable")
-                keys.append((r % search.walks, places, key[by], here[by]))
-            self.classes.append((int(low), int(self.sizes[here].max()), max(1, hits), edits, keys))
-            owners: dict[bytes, list[int]] = {}
-            for n in here.tolist():
-                for g in self._own(n):
-                    owners.setdefault(g, []).append(n)
-            self.owners.append((here, {g: x if len(x) <= _OWNERS else [] for g, x in owners.items()}))
-
-    def _own(self, n: int) -> set[bytes]:
-        item = self.items[n][1]
-        return {item[i : i + GRAM] for i in range(len(item) - GRAM + 1)}
+                found.keys.append((r % search.walks, places, key[by], here[by]))
+
+    @staticmethod
+    def _by_bytes(items: list[tuple[int, bytes]], m: int):
+        values = np.array([int.from_bytes(t[:8], "little") for _, t in items], np.uint64)
+        by = np.argsort(values, kind="stable")
+        return values[by], [items[k] for k in by]
 
     def _least(self, n: int) -> int:
         """Grams of item n that any window within its edits holds."""
         size = len(self.items[n][1])
         return size - GRAM + 1 - GRAM * self.search.allowed(size)
 
-    def _passing(self, which: int, block: bytes, hits: np.ndarray) -> list[int]:
-        """Items of a class of which the places of block that hits name hold enough grams."""
-        items, owners = self.owners[which]
-        shared, counts = 0, Counter()
-        for i in hits.tolist():
-            own = owners.get(block[i : i + GRAM])
-            if own:
-                counts.update(own)
-            elif own is not None:
-                shared += 1
-        among = items.tolist() if shared >= self.classes[which][2] else counts
-        return [n for n in among if counts[n] + shared >= self._least(n)]
+    def _passing(self, of: _Class, grams: np.ndarray) -> list[int]:
+        """Items of a class of which places with these grams hold enough."""
+        shared, counts = of.owners.counted(grams)
+        among = np.arange(len(counts)) if shared >= of.hits else np.flatnonzero(counts)
+        return [n for n, c in zip(of.owners.items[among].tolist(), counts[among].tolist()) if c + shared >= self._least(n)]
 
     def _embedded(self, texts: list[bytes], steps: int) -> list[np.ndarray]:
         apart = b"\0" * steps
@@ -200,30 +246,22 @@ class Index:
         starts = np.concatenate(([0], np.cumsum([len(t) + steps for t in texts])[:-1])).astype(np.int64)
         return [self.walker.walk(w, raw, starts, np.full(len(starts), steps)) for w in range(self.search.walks)]
 
-    def _repetitions(self, texts: list[bytes], embedded: list[np.ndarray], steps: int, edits: int) -> int:
-        """As many as find a share `recall` of items with all their edits, by trial on edited copies; 0 if too few do."""
+    def _repetitions(self, texts: list[bytes], embedded: list[np.ndarray], steps: int) -> tuple[int, np.ndarray]:
+        """(repetitions that find a share `recall` of edited copies of all texts, numbers of the texts that lie below it);
+        no repetitions and all texts where REPETITIONS do not suffice."""
         rng = np.random.Generator(np.random.PCG64(self.search.seed + len(texts) + steps))
-        texts = texts[:100]
-        edited = []
-        for t in texts:
-            b = bytearray(t)
-            for _ in range(self.search.allowed(len(t))):
-                p = int(rng.integers(0, len(b)))
-                kind = rng.integers(0, 3)
-                if kind == 0:
-                    b[p] = rng.integers(97, 123)
-                elif kind == 1:
-                    b.insert(p, int(rng.integers(97, 123)))
-                elif len(b) > 1:
-                    del b[p]
-            edited.append(bytes(b))
-        other = self._embedded(edited, steps)
-        agree = np.stack([(a[:, : len(texts)] == b).mean(axis=0) for a, b in zip(embedded, other)]) ** self.search.sampled
-        miss, r = np.ones(len(texts)), 0
+        agree = []
+        for _ in range(_COPIES):
+            other = self._embedded([_edited(t, self.search.allowed(len(t)), rng) for t in texts], steps)
+            agree.append(np.stack([(a == b).mean(axis=0) for a, b in zip(embedded, other)]) ** self.search.sampled)
+        agree = np.stack(agree)
+        miss, r = np.ones((_COPIES, len(texts))), 0
         while r < 8 or (r < REPETITIONS and 1 - miss.mean() < self.search.recall):
-            miss *= 1 - agree[r % self.search.walks]
+            miss *= 1 - agree[:, r % self.search.walks]
             r += 1
-        return r if 1 - miss.mean() >= self.search.recall else 0
+        if 1 - miss.mean() < self.search.recall:
+            return 0, np.arange(len(texts))
+        return r, np.flatnonzero(1 - miss.mean(axis=0) < self.search.recall - _BELOW)
 
     @staticmethod
     def key(embedded: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -233,42 +271,61 @@ class Index:
                 out = kernels.mix(out + embedded[p].astype(np.uint64) + np.uint64(1))
         return out
 
+    def _short(self, texts: list[bytes], raw: np.ndarray, stops: np.ndarray):
+        """(text number, item id, 0, start, length) of the first place of each item under GRAM bytes in each text."""
+        words = _eights(raw)
+        for m, (values, items) in self.short.items():
+            mask = np.uint64((1 << 8 * min(m, 8)) - 1)
+            known = np.unique(values)
+            here = words[: int(stops[-1])] & mask
+            at = np.flatnonzero(known[np.minimum(np.searchsorted(known, here), len(known) - 1)] == here)
+            seen = set()
+            for x, t in zip(at.tolist(), np.searchsorted(stops, at).tolist()):
+                begin = int(stops[t]) - len(texts[t])
+                for k in range(*(int(np.searchsorted(values, here[x], side=side)) for side in ("left", "right"))):
+                    if (t, k) not in seen and texts[t].startswith(items[k][1], x - begin):
+                        seen.add((t, k))
+                        yield t, items[k][0], 0, x - begin, m
+
     def search_block(self, texts: list[bytes]):
-        """(text number, item number, distance, start, length) of each item in each text."""
+        """(text number, item id, distance, start, length) of each item in each text: its nearest place, the first of equally near ones."""
+        stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
+        raw = np.frombuffer(b"\0".join(texts) + b"\0" * (2 * self.longest + GRAM), np.uint8)
+        if self.short:
+            yield from self._short(texts, raw, stops)
         if not self.classes:
             return
-        raw = np.frombuffer(b"\0".join(texts) + b"\0" * (2 * self.longest + 1), np.uint8)
-        stops = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
-        hit = np.zeros(len(raw), bool)
         grams = _grams(raw)
-        hit[: len(grams)] = self.table[grams]
+        hit = self.table[_slots(grams)]
         if not hit.any():
             return
+        hit_at = np.flatnonzero(hit)
+        hit_grams = grams[hit_at]
         sums = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
+        sums = np.concatenate((sums, np.full(max(0, len(raw) + 1 - len(sums)), sums[-1], np.int32)))
         size = int(stops[-1])
         # any code point but a space may begin an item
         first = ((raw[:size] & 0xC0) != 0x80) & (raw[:size] != 32) & (raw[:size] != 0)
-        block, hit_at = raw.tobytes(), np.flatnonzero(hit)
         need = np.zeros(size, np.int32)
         masks, seen = [], set()
         #: (text number, item number, first and end byte) to be confirmed without walks
         direct = []
-        for which, (low, high, hits, edits, keys) in enumerate(self.classes):
-            before = np.concatenate((np.zeros(edits, np.int32), sums[:size]))[:size]
-            at = np.flatnonzero((sums[high + edits : high + edits + size] - before >= hits) & first)
+        for of in self.classes:
+            before = np.concatenate((np.zeros(of.edits, np.int32), sums[:size]))[:size]
+            at = np.flatnonzero((sums[of.high + of.edits : of.high + of.edits + size] - before >= of.hits) & first)
             here = np.zeros(size, bool)
             # runs of starts whose windows overlap, by text
             text_of = np.searchsorted(stops, at)
             for run in np.split(at, np.flatnonzero((np.diff(at) > GRAM) | (np.diff(text_of) > 0)) + 1) if len(at) else ():
                 t = int(np.searchsorted(stops, run[0]))
-                begin, end = max(int(run[0]) - edits, int(stops[t]) - len(texts[t])), min(int(run[-1]) + high + 2 * edits, int(stops[t]))
-                passing = self._passing(which, block, hit_at[slice(*np.searchsorted(hit_at, (begin, end)))])
-                if passing and keys:
+                begin, end = max(int(run[0]) - of.edits, int(stops[t]) - len(texts[t])), min(int(run[-1]) + of.high + 2 * of.edits, int(stops[t]))
+                passing = self._passing(of, hit_grams[slice(*np.searchsorted(hit_at, (begin, end)))])
+                sure = [n for n in passing if n in of.sure]
+                direct += [(t, n, begin, end) for n in sure]
+                if len(sure) < len(passing):
                     here[run] = True
-                elif passing:
-                    direct += [(t, n, begin, end) for n in passing]
             masks.append(here)
-            need[here] = 2 * low
+            need[here] = 2 * of.low
         starts = np.flatnonzero(need)
         starts = starts[np.argsort(-need[starts], kind="stable")]
         i = 0
@@ -277,11 +334,11 @@ class Index:
             part = starts[i : i + max(1024, _WRITTEN // (self.search.walks * int(need[starts[i]])))]
             i += len(part)
             walks = [self.walker.walk(w, raw, part, need[part]) for w in range(self.search.walks)]
-            for (*_, keys), mask in zip(self.classes, masks):
+            for of, mask in zip(self.classes, masks):
                 at = np.flatnonzero(mask[part])
                 if not len(at):
                     continue
-                for which, places, known, items in keys:
+                for which, places, known, items in of.keys:
                     found = self.key(walks[which][:, at], places)
                     a, b = np.searchsorted(known, found, side="left"), np.searchsorted(known, found, side="right")
                     for x in np.flatnonzero(b > a):
@@ -298,21 +355,34 @@ class Index:
             if best.get((t, n), (1,))[0] == 0:
                 continue
             window = texts[t][a : at + len(item) + 2 * edits]
-            own = self.grams.get(n)
-            if own is None:
-                own = self.grams[n] = self._own(n)
-            if sum(window[i : i + GRAM] in own for i in range(len(window) - GRAM + 1)) < self._least(n):
-                continue  # the same bound, by the item's own grams
+            # the same bound, by the item's own grams
+            if np.isin(grams[begin + a : begin + a + len(window) - GRAM + 1], self.own[n]).sum() < self._least(n):
+                continue
             got = _place(item, window, edits)
             if got is not None and (got[0], a + got[1]) < best.get((t, n), (edits + 1, 0)):
                 best[t, n] = (got[0], a + got[1], got[2])
         for t, n, a, b in direct:
-            got = _place(self.items[n][1], block[a:b], self.search.allowed(len(self.items[n][1])))
-            a -= int(stops[t]) - len(texts[t])
-            if got is not None and ((t, n) not in best or (got[0], a + got[1]) < best[t, n]):
-                best[t, n] = (got[0], a + got[1], got[2])
+            begin = int(stops[t]) - len(texts[t])
+            got = _place(self.items[n][1], texts[t][a - begin : b - begin], self.search.allowed(len(self.items[n][1])))
+            if got is not None and ((t, n) not in best or (got[0], a - begin + got[1]) < best[t, n]):
+                best[t, n] = (got[0], a - begin + got[1], got[2])
         for (t, n), (distance, at, length) in best.items():
-            yield t, n, distance, at, length
+            yield t, self.items[n][0], distance, at, length
+
+
+def _edited(text: bytes, edits: int, rng: np.random.Generator) -> bytes:
+    """A copy with so many random edits of a byte."""
+    b = bytearray(text)
+    for _ in range(edits):
+        p, letter = int(rng.integers(0, len(b))), int(rng.integers(97, 123))
+        kind = rng.integers(0, 3)
+        if kind == 0:
+            b[p] = letter
+        elif kind == 1:
+            b.insert(p, letter)
+        elif len(b) > 1:
+            del b[p]
+    return bytes(b)
 
 
 def _matches(index: Index):
@@ -323,7 +393,7 @@ def _matches(index: Index):
             rows = []
             off = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
             for i, j in kernels.blocks(off, _AT_ONCE):
-                rows += [(ids[i + t], index.items[n][0], d, s, max(0, length)) for t, n, d, s, length in index.search_block(texts[i:j])]
+                rows += [(ids[i + t], item, d, s, max(0, length)) for t, item, d, s, length in index.search_block(texts[i:j])]
             columns = list(zip(*rows)) or [(), (), (), (), ()]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "distance", "start", "length"])
@@ -331,14 +401,17 @@ def _matches(index: Index):
     return run
 
 
-def _blocks(benchmark: DataFrame, size: int):
+def _blocks(benchmark: DataFrame, most: int):
+    """The items, normalised, in blocks of `most` bytes (one longer item is a block of its own)."""
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
-    block = []
+    block, size = [], 0
     for row in rows.orderBy("item_id", "text").toLocalIterator():
-        block.append((row[0], normalised(row[1])))
-        if len(block) == size:
+        text = normalised(row[1])
+        if block and size + len(text) > most:
             yield block
-            block = []
+            block, size = [], 0
+        block.append((row[0], text))
+        size += len(text)
     if block:
         yield block
 
@@ -348,8 +421,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Se
 
     distance: edits in bytes; start and length: of the best place in the normalised text. The items are a query set,
     held against all documents in blocks of bounded size, without any shuffle of documents. Items without id or text
-    and items under GRAM bytes are no evidence and found nowhere; equal items are found each. A null or empty text
-    holds nothing; rows that repeat a doc_id report each for itself; an empty table on either side gives no rows.
+    and blank ones are no evidence and found nowhere; equal items are found each. A null or empty text holds nothing;
+    rows that repeat a doc_id report each for itself; an empty table on either side gives no rows. Other columns are ignored.
     """
     spark = documents.sparkSession
     tune(spark, 1024)
@@ -362,7 +435,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Se
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Search()) -> DataFrame:
-    """The rows of documents (text, ...) that hold no benchmark item, as they are; judged where they are read."""
+    """The rows of documents (text, ...) that hold no benchmark item, as they are; judged where they are read.
+
+    A null or empty text holds nothing and stays; rows that repeat are judged each for itself; an empty benchmark
+    leaves all rows, an empty table has none. Other columns, of whatever names, are passed on.
+    """
     tune(documents.sparkSession, 1024)
 
     def clean(index: Index):
