@@ -3,7 +3,10 @@
 Every record is a gzip member of its own whose header carries the member's size (the "sl" field that the WARC
 standard's annex on compression describes), so a reader inflates only the first bytes of a member for its headers,
 judges them by the predicates that Spark pushed down, and seeks past payloads that nobody wants. Members without that
-field are read through. A file is cut into partitions at the record offsets in its sidecar index, where there is one.
+field are read through. A file with a sidecar index is cut into partitions at the record offsets in it; the driver only
+lists files, and each task reads the index of its own. Foreign archives have no such index, and nothing but reading them
+from the start tells for sure where their records begin, so each of their files is one partition. Archives that
+are written here begin with a warcinfo record.
 """
 
 from __future__ import annotations
@@ -13,13 +16,15 @@ import struct
 import uuid
 import zlib
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
-    DataSourceWriter,
     EqualTo,
     In,
     InputPartition,
@@ -37,12 +42,15 @@ HEADERS = {
     "date": "WARC-Date",
     "content_type": "Content-Type",
     "payload_digest": "WARC-Payload-Digest",
+    "profile": "WARC-Profile",
     "refers_to": "WARC-Refers-To",
     "payload_length": "X-Payload-Length",
 }
-_SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, refers_to string, payload_length string, content_length long, payload binary"
-#: Bytes of records from which a partition is cut, and from which a new file is begun.
-_PART, _FILE = 32 << 20, 256 << 20
+_SCHEMA = "record_id string, record_type string, target_uri string, date string, content_type string, payload_digest string, profile string, refers_to string, payload_length string, content_length long, payload binary"
+#: Fixed value: the profile of a revisit record whose payload equals an earlier one's.
+IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of records in a partition, bytes from which a new file is begun, payload bytes and records in a batch that is read.
+_PART, _FILE, _BATCH, _ROWS = 32 << 20, 256 << 20, 4 << 20, 512
 _GZIP = "<4BI2B"
 
 
@@ -148,9 +156,17 @@ def parsed(head: bytes) -> dict[str, str]:
 
 @dataclass
 class _Range(InputPartition):
+    """Records of a file that begin in part `number` of _PART bytes; the whole file if it has no index."""
+
     path: str
-    start: int
-    stop: int
+    size: int
+    number: int
+    indexed: bool
+
+
+def _schema() -> pa.Schema:
+    text = [pa.field(name, pa.string()) for name in HEADERS]
+    return pa.schema([*text, pa.field("content_length", pa.int64()), pa.field("payload", pa.binary())])
 
 
 class WarcReader(DataSourceReader):
@@ -172,31 +188,43 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
+        """Parts of the files below the folder by their sizes alone; names that begin with _ or . are not committed."""
         from pyarrow.fs import FileSelector
 
         files, at = _fs(self.folder)
         listed = {f.path: f for f in files.get_file_info(FileSelector(at, recursive=True)) if f.is_file}
         out = []
         for path, info in sorted(listed.items()):
-            if not path.endswith((".warc.gz", ".warc")):
+            if not path.endswith((".warc.gz", ".warc")) or path.rpartition("/")[2][0] in "_.":
                 continue
-            cuts = [0]
-            if path + ".idx" in listed:
-                with files.open_input_stream(path + ".idx") as f:
-                    cuts = json.loads(f.read())
             uri = f"{self.folder.rstrip('/')}/{path[len(at.rstrip('/')) + 1 :]}"
-            out += [_Range(uri, a, b) for a, b in zip(cuts, [*cuts[1:], info.size])]
-        return out or [_Range("", 0, 0)]
+            indexed = path + ".idx" in listed
+            out += [_Range(uri, info.size, k, indexed) for k in range(max(1, -(-info.size // _PART)) if indexed else 1)]
+        return out or [_Range("", 0, 0, False)]
 
     def read(self, partition):
         if not partition.path:
             return
         files, at = _fs(partition.path)
+        ranges = [(0, partition.size)]
+        if partition.indexed:
+            with files.open_input_stream(at + ".idx") as f:
+                cuts = json.loads(f.read())
+            ranges = [(a, b) for a, b in zip(cuts, [*cuts[1:], partition.size]) if a // _PART == partition.number]
+        kind = _schema()
+        rows, size = [], 0
         with files.open_input_file(at) as file:
-            for headers, payload in _Members(file, partition.start, partition.stop):
-                values = {column: headers.get(name.lower()) for column, name in HEADERS.items()}
-                if all(values[c] is not None if some is None else values[c] in some for c, some in self.wanted):
-                    yield (*values.values(), int(headers.get("content-length", 0)), payload() if self.payload else None)
+            for start, stop in ranges:
+                for headers, payload in _Members(file, start, stop):
+                    values = {column: headers.get(name.lower()) for column, name in HEADERS.items()}
+                    if all(values[c] is not None if some is None else values[c] in some for c, some in self.wanted):
+                        rows.append(values | {"content_length": int(headers.get("content-length", 0)), "payload": payload() if self.payload else None})
+                        size += len(rows[-1]["payload"] or b"")
+                        if size >= _BATCH or len(rows) >= _ROWS:
+                            yield pa.RecordBatch.from_pylist(rows, kind)
+                            rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, kind)
 
 
 @dataclass
@@ -204,11 +232,13 @@ class _Done(WriterCommitMessage):
     files: list
 
 
-class WarcWriter(DataSourceWriter):
+class WarcWriter(DataSourceArrowWriter):
+    """Files of their own for each attempt, under names that readers skip until the job commits them."""
+
     def __init__(self, options: dict):
         self.folder = options["path"]
 
-    def write(self, rows):
+    def write(self, iterator):
         files, folder = _fs(self.folder)
         files.create_dir(folder, recursive=True)
         done, out, cuts, size = [], None, [0], 0
@@ -218,21 +248,30 @@ class WarcWriter(DataSourceWriter):
             with files.open_output_stream(name + ".idx") as f:
                 f.write(json.dumps(cuts).encode())
 
-        for row in rows:
-            if out is None or size >= _FILE:
-                if out is not None:
-                    close()
-                # an attempt's files have names of their own; those of failed attempts are never committed
-                name, cuts, size = f"{folder}/_{uuid.uuid4().hex}.warc.gz", [0], 0
-                out = files.open_output_stream(name, compression=None)
-                done.append(name)
-            if size - cuts[-1] >= _PART:
-                cuts.append(size)
-            record = member({header: row[column] for column, header in HEADERS.items() if column in row.__fields__}, bytes(row["payload"] or b""))
-            out.write(record)
-            size += len(record)
-        if out is not None:
-            close()
+        try:
+            for batch in iterator:
+                names = [n for n in batch.schema.names if n in HEADERS]
+                columns = [batch.column(n).to_pylist() for n in names]
+                for values, payload in zip(zip(*columns), batch.column("payload")):
+                    if out is None or size >= _FILE:
+                        if out is not None:
+                            close()
+                        name, cuts = f"{folder}/_{uuid.uuid4().hex}.warc.gz", [0]
+                        out = files.open_output_stream(name, compression=None)
+                        done.append(name)
+                        about = _about(name.rpartition("/")[2][1:])
+                        out.write(about)
+                        size = len(about)
+                    if size // _PART > cuts[-1] // _PART:
+                        cuts.append(size)
+                    record = member({HEADERS[n]: v for n, v in zip(names, values)}, payload.as_buffer().to_pybytes() if payload.is_valid else b"")
+                    out.write(record)
+                    size += len(record)
+            if out is not None:
+                close()
+        except BaseException:
+            _removed(files, done)
+            raise
         return _Done(done)
 
     def commit(self, messages):
@@ -244,9 +283,27 @@ class WarcWriter(DataSourceWriter):
 
     def abort(self, messages):
         files, _ = _fs(self.folder)
-        for message in messages:
-            for name in message.files if message else ():
-                files.delete_file(name)
+        _removed(files, [name for message in messages for name in (message.files if message else ())])
+
+
+def _removed(files, names: list[str]) -> None:
+    """Deletes archives and their indexes where they are."""
+    for name in names:
+        for path in (name, name + ".idx"):
+            try:
+                files.delete_file(path)
+            except OSError:  # it was never begun
+                pass
+
+
+def _now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def _about(name: str) -> bytes:
+    """The warcinfo record of a file."""
+    headers = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": _now(), "WARC-Filename": name, "Content-Type": "application/warc-fields"}
+    return member(headers, b"software: dateloom\r\nformat: WARC File Format 1.1\r\n")
 
 
 class WarcDataSource(DataSource):
@@ -277,9 +334,13 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
     Of the pages with equal payloads of `least` bytes or more, that with the smallest page_id keeps its payload; the
     others become revisit records of it. Only digests are grouped, and only those of several pages are joined back.
     A null html is empty, a null url has no header; a row without page_id is always a response, and rows that
-    repeat a page_id and a payload are told apart by nothing, so each of them is a response.
+    repeat a page_id and a payload are told apart by nothing, so each of them is a response. The date is that of a column
+    `fetched` (a time in UTC) if pages have one and it is not null, else that of writing. Other columns are ignored; an
+    empty table gives no records. How long a revisit's whole payload is, stands in an extension header.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("body"))
+    fetched = F.col("fetched").cast("timestamp_ntz") if "fetched" in pages.columns else F.lit(None).cast("timestamp_ntz")
+    date = F.coalesce(F.date_format(fetched, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(_now()))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), date.alias("date"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("body"))
     rows = rows.withColumns({"digest": F.sha2("body", 256), "size": F.octet_length("body").cast("long")})
     first = rows.where(F.col("size") >= least).select("digest", "page_id").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     first = written(first.where((F.col("n") > 1) & F.col("first").isNotNull()).select("digest", "first"), "repeated")
@@ -290,9 +351,10 @@ def plan_records(pages: DataFrame, least: int = 100) -> DataFrame:
         F.coalesce(urn(F.col("page_id")), F.concat(F.lit("<urn:uuid:"), F.expr("uuid()"), F.lit(">"))).alias("record_id"),
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"),
-        F.lit("1970-01-01T00:00:00Z").alias("date"),
+        "date",
         F.lit("text/html; charset=utf-8").alias("content_type"),
         F.concat(F.lit("sha256:"), "digest").alias("payload_digest"),
+        F.when(again, F.lit(IDENTICAL)).alias("profile"),
         F.when(again, urn(F.col("first"))).alias("refers_to"),
         F.col("size").cast("string").alias("payload_length"),
         F.col("size").alias("content_length"),
@@ -316,12 +378,12 @@ def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFra
 
 
 def digests(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each record in the archives of pages.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of each response and revisit in the archives of pages.
 
     A response's size and digest are those of the payload read back; a revisit's are those in its headers.
     """
     number = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")
-    found = read_warc(spark, folder)
+    found = read_warc(spark, folder).where(F.col("record_type").isin("response", "revisit"))
     response = F.col("record_type") == "response"
     return found.select(
         number(F.col("record_id")).alias("page_id"),

@@ -6,14 +6,16 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dateloom.llm import warc
 from dateloom.llm.elias_fano import EliasFano
 from dateloom.llm.token_files import Encoder, _is_known, documents_in, footer_of, open_tokens, opened, read_tokens, write_tokens
-from dateloom.llm.warc import WarcReader, _Members, digests, member, parsed, plan_records, read_warc, write_pages
+from dateloom.llm.warc import HEADERS, IDENTICAL, WarcReader, WarcWriter, _Members, digests, member, parsed, plan_records, read_warc, write_pages
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -118,8 +120,6 @@ def test_tokens_of_null_and_repeated_ids(spark):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(st.one_of(st.sampled_from("aZ09'stremvld é<|>ſİ \n\t\x1c\x85\xa0Σ漢²"), st.characters(exclude_categories=["Cs"])), max_size=30), min_size=1, max_size=8))
 def test_encoder_equals_tokenizer(texts):
-    import pyarrow as pa
-
     global _ENCODER
     e = _ENCODER = globals().get("_ENCODER") or Encoder(open(VOCABULARY, encoding="utf-8").read())
     assert e.by_piece
@@ -143,8 +143,6 @@ def test_encoder_of_a_changed_file():
     import copy
     import json
 
-    import pyarrow as pa
-
     told = json.load(open(VOCABULARY, encoding="utf-8"))
     assert _is_known(told)
     changes = [
@@ -171,8 +169,6 @@ def test_encoder_of_a_changed_file():
 
 
 def test_encoder_of_another_file():
-    import pyarrow as pa
-
     e = Encoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
     ids, counts = e.encode(pa.array(["Hello  World", None]))
     assert not e.by_piece and counts.tolist() == [len(ids), 0]
@@ -196,10 +192,16 @@ def test_warc_round_trip(spark):
         again = len(data) >= 100 and html == same and page_id not in (3, None)
         want[page_id] = (len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", 3 if again else None)
     assert out == want
-    plain = read_warc(spark, folder)
+    assert read_warc(spark, folder).where("record_type = 'warcinfo'").count() >= 1
+    plain = read_warc(spark, folder).where("record_type <> 'warcinfo'")
+    assert {(r.record_type, r.profile) for r in plain.collect()} == {("response", None), ("revisit", IDENTICAL)}
+    assert plain.where("date rlike '^20[0-9]{2}-[0-9]{2}-[0-9]{2}T.*Z$'").count() == len(rows)
     assert plain.where("record_type = 'revisit'").select("payload").distinct().collect()[0].payload == b""
     assert plain.where("target_uri = 'http://a'").count() == 1 and plain.where("record_type in ('revisit', 'x') and refers_to is not null").count() == 2
-    assert read_warc(spark, folder, payload=False).where("payload is null").count() == len(rows)
+    bare = read_warc(spark, folder, payload=False)
+    assert bare.where("payload is null and record_type in ('response', 'revisit')").count() == len(rows)
+    dated = pages_of(spark, rows[:1]).withColumn("fetched", F.expr("timestamp_ntz'2024-05-06 07:08:09'"))
+    assert plan_records(dated).first().date == "2024-05-06T07:08:09Z"
     assert digests(spark, write_pages(pages_of(spark, []))).count() == 0
 
 
@@ -233,6 +235,43 @@ def test_members_skip_and_foreign_archives():
     assert parsed(b"WARC/1.0\r\nA: b:c\r\nbad") == {"a": "b:c", "bad": ""}
 
 
+def records(n, size):
+    rng = random.Random(3)
+    names = list(HEADERS)
+    rows = [{name: None for name in names} | {"record_id": str(i), "record_type": "response", "payload": rng.randbytes(size)} for i in range(n)]
+    return pa.RecordBatch.from_pylist(rows, pa.schema([*(pa.field(name, pa.string()) for name in names), pa.field("payload", pa.binary())]))
+
+
+def test_files_are_cut_by_tasks(tmp_path, monkeypatch):
+    """Parts of a large file hold each record once; the driver opens no index; uncommitted files are not read."""
+    monkeypatch.setattr(warc, "_PART", 10_000)
+    monkeypatch.setattr(warc, "_FILE", 100_000)
+    folder = f"file://{tmp_path}"
+    writer = WarcWriter({"path": folder})
+    message = writer.write(iter([records(150, 1500)]))
+    reader = WarcReader({"path": folder})
+    ids = lambda r: sorted((int(x) for p in r.partitions() for b in r.read(p) for x in b.column("record_id").to_pylist() if not x.startswith("<")))
+    assert ids(reader) == []
+    writer.commit([message, None])
+    assert len(message.files) == 3 and ids(reader) == list(range(150))
+    parts = reader.partitions()
+    assert len(parts) >= 22 and all(sum(b.num_rows for b in reader.read(p)) <= 12 for p in parts)
+    again = writer.write(iter([records(3, 10)]))
+    writer.abort([again, None])
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
+
+    def broken():
+        yield records(3, 10)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writer.write(broken())
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
+    for p in tmp_path.glob("*.idx"):
+        p.unlink()
+    assert len(reader.partitions()) == 3 and ids(reader) == list(range(150))
+
+
 def test_plan_of_ties(spark):
     rows = [(1, "u", "y" * 100), (1, "u", "y" * 100), (2, "v", "y" * 100)]
     kinds = sorted((r.record_id, r.record_type) for r in plan_records(pages_of(spark, rows)).collect())
