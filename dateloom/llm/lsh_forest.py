@@ -5,9 +5,10 @@ nodes next to each other in an order share the longest common prefixes, so a spa
 shallowest useful depth on and a crowded one only at the depth where it thins out to `window` neighbours. The orders
 are range partitioned and sorted, so a region of a million copies spreads over tasks; the rows on either side of a
 cut meet in a second small pass. A first pass over a few trees links direct neighbours, which melts large groups of
-copies into components; a second pass over all trees looks only at neighbours of different components; a third
-compares what still lies in several components within a region too crowded for the window, block by block. Every
-candidate is confirmed on the full shingle sets of the two whole texts.
+copies into components; a second pass over all trees looks only at neighbours of different components. What still
+lies in several components within a region too crowded for the window is compared at once where all but a few rows
+are of one component, else in trees of greater depth, more of them, until its regions thin out. Every candidate is
+confirmed on the full shingle sets of the two whole texts.
 """
 
 from __future__ import annotations
@@ -21,13 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dateloom.llm import kernels
-from dateloom.llm.common import frugal, small, tune, written
+from dateloom.llm.common import BROADCAST_ROWS, frugal, small, tune, written
 from dateloom.operators.components import connected_components
 
 #: Min-hashes of a tree, two bytes each.
 DEPTH = 8
 #: Min-hashes, a byte each, by which nodes of crowded regions are told apart.
 SKETCH = 1024
+#: Bytes of these that rows of the deeper trees carry.
+CARRIED = 256
+#: Depths of the trees for crowded regions; rows of a region that are all compared, and rows of other components than the
+#: most frequent up to which a larger region is compared at once.
+DEEPER, CROWD = (8, 14, 20, 26), 256
+#: Pairs of a node from which its text is sent to several tasks.
+HUB = 64
 #: Trees of the first pass, in which only direct neighbours are compared.
 FIRST_TREES = 4
 _HASHED = "doc_id long, n_shingles long, digest binary, signature binary, text_key long"
@@ -52,6 +60,10 @@ class Forest:
             depth += 1
         return depth
 
+    def trees_of(self, depth: int) -> int:
+        """Trees of a depth in which all but 1 in 10,000 pairs at the threshold meet once."""
+        return int(np.ceil(np.log(1e-4) / np.log1p(-((self.percent / 100) ** depth))))
+
 
 def _hashed(forest: Forest):
     def run(batches):
@@ -170,7 +182,8 @@ def _neighbours(nodes: DataFrame, trees: int, window: int, forest: Forest) -> Da
     wide = 2 * DEPTH
     rows = nodes.select("node", "n_shingles", "root", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("signature", t * wide + 1, wide).alias("prefix")) for t in range(trees)])).alias("x"))
     rows = rows.select("x.prefix", "x.tree", "n_shingles", "root", "node")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # rows meet across one cut only, so no partition may be shorter than the window
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, nodes.count() * trees // (8 * window)))
     order = ["tree", "prefix", "node"]
     rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = "a binary, b binary, cut int, prefix binary, tree int, n_shingles long, root binary, node binary"
@@ -198,30 +211,29 @@ def _sketched(forest: Forest):
     return run
 
 
-def _crossing(forest: Forest):
-    """Pairs (outsider, member) of a region's block, of different components, that the sketches call alike.
-
-    A pair is left to the first tree in which the two share a region. The bound lies four standard errors below the
-    threshold; equal bytes of different min-hashes only raise an estimate.
-    """
+def _bound(forest: Forest, hashes: int) -> float:
+    """The least share of equal bytes of so many min-hashes: four standard errors below the threshold. Equal bytes of
+    different min-hashes only raise a share."""
     j = forest.percent / 100
-    bound = j - 4 * (j * (1 - j) / SKETCH) ** 0.5
+    return j - 4 * (j * (1 - j) / hashes) ** 0.5
+
+
+def _crossing(forest: Forest):
+    """Pairs (outsider, member) of a region's block, of different components, that the sketches call alike."""
+    bound = _bound(forest, SKETCH)
 
     def run(key, outside: pa.Table, inside: pa.Table) -> pa.Table:
         a, b = [], []
         if outside.num_rows and inside.num_rows:
-            matrix = lambda t, name, kind: np.frombuffer(b"".join(t.column(name).to_pylist()), kind).reshape(t.num_rows, -1)
-            prefixes = lambda t: matrix(t, "signature", ">u2").reshape(t.num_rows, forest.trees, DEPTH)[:, :, : forest.least_depth]
-            many, size = matrix(inside, "sketch", np.uint8), inside.column("n_shingles").to_numpy()
-            there = prefixes(inside)
+            matrix = lambda t: np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+            many, size = matrix(inside), inside.column("n_shingles").to_numpy()
             node, root = inside.column("node").to_pylist(), np.array(inside.column("root").to_pylist(), object)
-            majority, tree = inside.column("majority")[0].as_py(), inside.column("tree")[0].as_py()
-            rows = zip(matrix(outside, "sketch", np.uint8), prefixes(outside), outside.column("n_shingles").to_pylist(), outside.column("node").to_pylist(), outside.column("root").to_pylist())
-            for sketch, own_prefixes, n, name, own in rows:
-                alike = ((many == sketch).mean(axis=1) >= bound) & (100 * np.minimum(size, n) >= forest.percent * np.maximum(size, n)) & (root != own)
-                for i in np.flatnonzero(alike):
-                    once = (there[i] == own_prefixes).all(axis=1).argmax() == tree
-                    if once and (root[i] == majority or name < node[i]):
+            majority = inside.column("majority")[0].as_py()
+            rows = zip(matrix(outside), outside.column("n_shingles").to_pylist(), outside.column("node").to_pylist(), outside.column("root").to_pylist())
+            for sketch, n, name, own in rows:
+                maybe = np.flatnonzero((100 * np.minimum(size, n) >= forest.percent * np.maximum(size, n)) & (root != own))
+                for i in maybe[(many[maybe] == sketch).mean(axis=1) >= bound]:
+                    if root[i] == majority or name < node[i]:
                         a.append(min(name, node[i]))
                         b.append(max(name, node[i]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -229,29 +241,120 @@ def _crossing(forest: Forest):
     return run
 
 
-def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest, block: int = 256) -> DataFrame:
-    """Candidates between components within regions of more rows than the window reaches, in blocks of bounded size."""
-    wide = 2 * DEPTH
-    trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("signature", t * wide + 1, 2 * forest.least_depth).alias("region")) for t in range(forest.trees)])).alias("x")
-    groups = nodes.select("root", trees).groupBy("x.tree", "x.region").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    groups = written(groups.where((F.col("n") > forest.window + 1) & (F.col("low") != F.col("high"))).select("tree", "region", "n"), "crowded")
-    rows = nodes.select("node", "root", trees).select("x.tree", "x.region", "node", "root").join(small(groups), ["tree", "region"])
-    rows = written(rows, "crowd")
-    shares = rows.groupBy("tree", "region", "root").agg(F.count("*").alias("share"))
-    majority = written(shares.groupBy("tree", "region").agg(F.max_by("root", F.struct("share", "root")).alias("majority"), (F.sum("share") - F.max("share")).alias("outsiders")), "majority")
-    texts = _texts(rows.select("node").distinct(), nodes, documents)
-    sketches = texts.mapInArrow(frugal(_sketched(forest)), "node binary, sketch binary").join(nodes.select("node", "n_shingles", "signature"), "node")
-    rows = rows.join(small(majority), ["tree", "region"])
-    # blocks of members times blocks of outsiders
-    rows = rows.withColumns({"members": F.ceil(F.col("n") / block).cast("int"), "others": F.ceil(F.col("outsiders") / block).cast("int")})
-    rows = written(rows.join(sketches, "node"), "sketched")
+def _keyed(forest: Forest, depth: int, carried: bool):
+    """(key, node, root) of each node in each tree of a depth, drawn from its sketch; with n_shingles and part of the sketch if carried."""
+
+    def run(batches):
+        rng = np.random.Generator(np.random.PCG64(forest.seed + depth))
+        picks = np.stack([rng.choice(SKETCH, depth, replace=False) for _ in range(forest.trees_of(depth))])
+        salts = kernels.mix(np.arange(len(picks), dtype=np.uint64) + np.uint64(1))
+        at_once = max(1, 20_000 // len(picks))
+        for batch in batches:
+            for i in range(0, batch.num_rows, at_once):
+                rows = batch.slice(i, at_once)
+                sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+                keys = np.repeat(salts[None], len(sketch), axis=0)
+                with np.errstate(over="ignore"):
+                    for level in range(depth):
+                        keys = kernels.mix(keys + sketch[:, picks[:, level]].astype(np.uint64) + np.uint64(1))
+                each = pa.array(np.repeat(np.arange(len(sketch)), len(picks)))
+                columns = {"key": pa.array(keys.ravel().view(np.int64)), "node": rows.column("node").take(each), "root": rows.column("root").take(each)}
+                if carried:
+                    part = pa.array([bytes(x) for x in sketch[:, :CARRIED]], pa.binary())
+                    columns |= {"n_shingles": rows.column("n_shingles").take(each), "part": part.take(each)}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+_KEYED, _CARRIED = "key long, node binary, root binary", "key long, node binary, root binary, n_shingles long, part binary"
+
+
+def _grouped(forest: Forest):
+    """Over rows sorted by key, CROWD of a key at most: pairs of a key, of different components, that look alike."""
+    bound = _bound(forest, CARRIED)
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            known = held.num_rows if held is not None else 0
+            rows = pa.concat_tables([held, rows]).combine_chunks() if known else rows
+            key, size = rows.column("key").to_numpy(), rows.column("n_shingles").to_numpy()
+            node, root = (np.array(rows.column(c).to_pylist(), object) for c in ("node", "root"))
+            part = np.frombuffer(b"".join(rows.column("part").to_pylist()), np.uint8).reshape(len(key), -1)
+            found = set()
+            for lag in range(1, min(CROWD, len(key))):
+                at = np.flatnonzero(key[lag:] == key[:-lag])
+                if not len(at):
+                    break
+                at = at[(at + lag >= known) & (root[at] != root[at + lag])]
+                at = at[100 * np.minimum(size[at], size[at + lag]) >= forest.percent * np.maximum(size[at], size[at + lag])]
+                at = at[(part[at] == part[at + lag]).mean(axis=1) >= bound] if len(at) else at
+                found |= {(min(x, y), max(x, y)) for x, y in zip(node[at], node[at + lag])}
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            held = rows.slice(int(np.flatnonzero(key == key[-1])[0])).combine_chunks()
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, sketches: DataFrame, forest: Forest) -> DataFrame:
+    """Candidates between components within regions (key, node, majority, n, outsiders): members times rows of other components
+    than the most frequent, in blocks of CROWD."""
+    count = lambda c: F.ceil(F.col(c) / CROWD).cast("int")
+    rows = rows.withColumns({"members": count("n"), "others": count("outsiders")}).join(sketches, "node")
     split = lambda many: F.pmod(F.xxhash64("node"), many).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
     inside = rows.withColumn("i", split(F.col("members"))).withColumn("k", every(F.col("others")))
     outside = rows.where("root <> majority").withColumn("k", split(F.col("others"))).withColumn("i", every(F.col("members")))
-    keys, columns = ["tree", "region", "i", "k"], ["tree", "region", "i", "k", "node", "n_shingles", "signature", "sketch", "root", "majority"]
+    columns = ["key", "i", "k", "node", "n_shingles", "sketch", "root", "majority"]
     inside = inside.select(*[F.col(c).alias(c) for c in columns])
-    return outside.select(columns).groupBy(keys).cogroup(inside.groupBy(keys)).applyInArrow(_crossing(forest), _PAIRS).distinct()
+    return outside.select(columns).groupBy("key", "i", "k").cogroup(inside.groupBy("key", "i", "k")).applyInArrow(_crossing(forest), _PAIRS)
+
+
+def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
+    """Candidates between components within regions of more rows than the window reaches.
+
+    A region whose rows but CROWD are of one component is compared at once, at a cost in proportion to its rows. The nodes of
+    others go to deeper trees, whose regions of up to CROWD rows are compared; larger ones are judged in the same way
+    again. Only what is as crowded in trees of the greatest depth is compared pair by pair, in blocks.
+    """
+    wide = 2 * DEPTH
+    trees = F.explode(F.array(*[F.xxhash64(F.lit(t), F.substring("signature", t * wide + 1, 2 * forest.least_depth)) for t in range(forest.trees)])).alias("key")
+    rows = nodes.select("node", "root", trees)
+    several = lambda rows: rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high and n > 1").select("key", "n")
+    groups = written(several(rows).where(F.col("n") > forest.window + 1), "crowded")
+    rows = written(rows.join(small(groups), "key"), "crowd")
+    if rows.isEmpty():
+        return documents.sparkSession.createDataFrame([], _PAIRS)
+    texts = _texts(rows.select("node").distinct(), nodes, documents)
+    sketches = texts.mapInArrow(frugal(_sketched(forest)), "node binary, sketch binary").join(nodes.select("node", "n_shingles", "root"), "node")
+    sketches = written(sketches, "sketches")
+    found = []
+    for depth in (0, *DEEPER):
+        if depth:
+            groups = written(several(sketches.mapInArrow(frugal(_keyed(forest, depth, False)), _KEYED)), "groups")
+            thin = sketches.mapInArrow(frugal(_keyed(forest, depth, True)), _CARRIED).join(small(groups.where(F.col("n") <= CROWD).select("key")), "key")
+            found.append(written(thin.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(_grouped(forest)), _PAIRS).distinct(), "thin"))
+            rows = sketches.mapInArrow(frugal(_keyed(forest, depth, False)), _KEYED).join(small(groups.where(F.col("n") > CROWD)), "key")
+            rows = written(rows, "crowd")
+        shares = rows.groupBy("key", "root").agg(F.count("*").alias("share"))
+        majority = written(shares.groupBy("key").agg(F.max_by("root", F.struct("share", "root")).alias("majority"), (F.sum("share") - F.max("share")).alias("outsiders")), "majority")
+        rows = rows.drop("root").join(small(majority), "key")
+        now = rows if depth == DEEPER[-1] else rows.where(F.col("outsiders") <= CROWD)
+        found.append(written(_in_blocks(now, sketches, forest), "crossing"))
+        left = written(rows.where(F.col("outsiders") > CROWD).select("node").distinct(), "left")
+        if depth == DEEPER[-1] or left.isEmpty():
+            break
+        sketches = written(sketches.join(small(left), "node"), "sketches")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.distinct()
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -262,14 +365,39 @@ def _texts(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFra
     return texts.dropDuplicates(["node"])
 
 
+def _with_text(pairs: DataFrame, texts: DataFrame, end: str) -> DataFrame:
+    """pairs with the text of one end. A node of many pairs is dealt by the other end, HUB pairs to a key; its text is sent to each."""
+    other = "b" if end == "a" else "a"
+    hubs = written(pairs.groupBy(end).agg(F.ceil(F.count("*") / HUB).cast("int").alias("_deals")).where("_deals > 1"), "hubs")
+    dealt = pairs.join(small(hubs), end, "left").withColumn("_deal", F.pmod(F.xxhash64(other), F.coalesce("_deals", F.lit(1))).cast("int")).drop("_deals")
+    sent = texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")).join(small(hubs), end, "left")
+    sent = sent.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
+    return dealt.join(sent, [end, "_deal"]).drop("_deal")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
     """The pairs whose full sets are as alike as asked; each node's text is read again from the documents."""
     pairs = written(pairs, "pairs")
     texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, documents)
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = _with_text(_with_text(pairs, texts, "a"), texts, "b")
     return written(both.mapInArrow(frugal(_confirmed(forest)), _PAIRS), "links")
 
 
+def _named(rows: DataFrame, names: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with the component_id of names (digest, component_id, rows). Beyond `few` names the join shuffles, but for the
+    digests of over a 10,000th of all rows, at most 10,000, which are broadcast: no copy of a text fills a task."""
+    if names.limit(few + 1).count() <= few:
+        return rows.join(F.broadcast(names.drop("rows")), "digest", "left")
+    hot = F.col("rows") > rows.count() / 10_000
+    often = names.where(hot).select("digest", F.col("component_id").alias("_often"), F.lit(True).alias("_hot"))
+    out = rows.join(F.broadcast(often), "digest", "left")
+    rest = names.where(~hot).select(F.col("digest").alias("_digest"), "component_id")
+    # rows that have their name meet nothing more; keys of their own spread them
+    key = F.when(F.col("_hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("hot"), F.xxhash64("doc_id", "text_key").cast("string")).cast("binary"))
+    out = out.withColumn("_key", key).join(rest, F.col("_key") == F.col("_digest"), "left")
+    return out.withColumn("component_id", F.coalesce("_often", "component_id")).drop("_often", "_hot", "_key", "_digest")
+
+
 def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_key) of every row of documents (doc_id, text; other columns are ignored).
 
@@ -305,9 +433,9 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
     named = linked.groupBy("root").agg(F.min("rep_id").alias("component_id"))
     linked = linked.join(named, "root").select("node", "component_id")
     # classes of one row that are linked with nothing need no join: they name themselves
-    several = classes.where("rows > 1").select(F.col("digest").alias("node"), "rep_id").join(linked, "node", "full")
-    several = written(several.select(F.col("node").alias("digest"), F.coalesce("component_id", "rep_id").alias("component_id")), "several")
-    out = hashed.select("doc_id", "n_shingles", "digest", "text_key").join(small(several), "digest", "left")
+    several = classes.where("rows > 1").select(F.col("digest").alias("node"), "rep_id", "rows").join(linked, "node", "full")
+    several = several.select(F.col("node").alias("digest"), F.coalesce("component_id", "rep_id").alias("component_id"), F.coalesce("rows", F.lit(1)).alias("rows"))
+    out = _named(hashed.select("doc_id", "n_shingles", "digest", "text_key"), written(several, "several"))
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key")
 

@@ -71,6 +71,54 @@ def test_crowd_beyond_the_window(documents):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows, 3, 85)
 
 
+def templated(rng, n, links):
+    """Documents of 60 common words and 30 of their own, none near another but for `links` copies with a word changed."""
+    common = [f"t{i}" for i in range(60)]
+    rows = [" ".join(common + [f"w{rng.randint(0, 10**9)}" for _ in range(30)]) for _ in range(n - links)]
+    rows += [" ".join([*t.split()[:-1], "other"]) for t in rng.sample(rows, links)]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_templated_pages_are_compared_in_deeper_trees(documents, monkeypatch):
+    import dateloom.llm.lsh_forest as L
+
+    rows = templated(random.Random(20), 700, 40)
+    seen = []
+    inner = L._in_blocks
+    monkeypatch.setattr(L, "_in_blocks", lambda rows, *more: seen.append(rows.count()) or inner(rows, *more))
+    monkeypatch.setattr(L, "CROWD", 4)
+    out = near_duplicates(documents(rows), Forest(shingle=3, percent=85, window=2)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows, 3, 85)
+    assert len(seen) >= 2 and not seen[-1]  # the last trees leave no region to be compared in blocks
+
+
+def test_crowded_at_every_depth(documents, monkeypatch):
+    """Regions that no depth thins out are compared in blocks."""
+    import dateloom.llm.lsh_forest as L
+
+    monkeypatch.setattr(L, "CROWD", 4)
+    monkeypatch.setattr(L, "DEEPER", (8, 10))
+    rng = random.Random(21)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(160)]
+    rows = [(i, " ".join(f"x{rng.randint(0, 10**9)}" if rng.random() < 0.03 else w for w in base)) for i in range(150)]
+    out = near_duplicates(documents(rows), Forest(shingle=3, percent=85, window=2)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute(rows, 3, 85)
+
+
+def test_hubs_and_hot_classes_are_dealt(spark):
+    from dateloom.llm.lsh_forest import HUB, _named, _with_text
+
+    pairs = spark.createDataFrame([(b"a", bytes([0, i % 256, i // 256])) for i in range(5 * HUB)] + [(b"c", b"d")], "a binary, b binary")
+    texts = spark.createDataFrame([(b"a", "A"), (b"c", "C")], "node binary, text string")
+    out = _with_text(pairs, texts, "a")
+    assert {(r.a, r.b, r.text_a) for r in out.collect()} == {(r.a, r.b, chr(r.a[0] - 32)) for r in pairs.collect()} and out.count() == 5 * HUB + 1
+    rows = spark.createDataFrame([(i, 9, b"hot" if i % 3 else bytes([i % 7]), i) for i in range(20_001)], "doc_id long, n_shingles long, digest binary, text_key long")
+    names = spark.createDataFrame([(b"hot", 1, 13_334), (bytes([1]), 7, 2), (bytes([2]), 8, 2)], "digest binary, component_id long, rows long")
+    a, b = ({(r.doc_id, r.component_id) for r in _named(rows, names, few).collect()} for few in (100, 0))
+    assert a == b and len(a) == 20_001 and (1, 1) in a
+
+
 def test_nulls_repeats_and_empty_table(spark, documents):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(None, text), (5, text), (5, text), (6, None), (7, ""), (8, text + " tail"), (None, "alone in here")]
