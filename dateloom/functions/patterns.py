@@ -99,6 +99,18 @@ RELATIVE_DAYS = {"today": 0, "yesterday": -1, "tomorrow": 1, "今天": 0, "今
 RELATIVE_MONTHS = {"本月": 0, "上月": -1, "下月": 1, "this month": 0, "last month": -1, "next month": 1}
 RELATIVE_YEARS = {"今年": 0, "去年": -1, "明年": 1, "this year": 0, "last year": -1, "next year": 1}
 
+# --- fixed values: numbers, weekdays and times ago or ahead, in English ----------------------------------------------
+NUMBERS = {"a": 1, "an": 1, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12}
+WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun")
+_NUMBER = rf"(\d{{1,4}}|{'|'.join(sorted(NUMBERS, key=len, reverse=True))})"
+AGO = rf"(?iU)\b{_NUMBER}\s+(day|week|month|year)s?\s+(?:ago|earlier)\b"
+AHEAD = rf"(?iU)\bin\s+{_NUMBER}\s+(day|week|month|year)s?\b"
+WEEKDAY = r"(?iU)\b(?:(last|next|this)\s+)?((?:mon|tues|wednes|thurs|fri|satur|sun)day)\b"
+RELATIVE = r"(?iU)\b(?:ago|earlier|in)\b|day\b"
+
+# --- fixed values: what a title must hold to hold a candidate --------------------------------------------------------
+MAY_HOLD = r"(?iU)\d|[年月周天日季晚]|半年|day|morrow|last|next|\bin\b|\bduring\b|\bfor\b|\bby\b|\bthis\b|\bon\b|half"
+
 # --- fixed values: month names of tier 2, by language --------------------------------------------------------------
 MONTHS_ABROAD = {
     "es": ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"),

@@ -1,7 +1,8 @@
 """Event time of headlines: candidates, ranks, points, spans, and the three tiers that choose among them.
 
-Titles become one row for each candidate; scores, points and spans are flat columns; the best candidate that parses is
-taken by one aggregation on the row's id, whose partial sums run before the only shuffle.
+The best ranked candidate of a title is read first, in flat columns beside the title; only where it does not parse are the
+others, and at last the whole title, exploded and read. One aggregation on a key of the row takes the best of
+these; its partial sums run before the only shuffle.
 """
 
 from __future__ import annotations
@@ -221,9 +222,29 @@ def _shift(words: dict[str, int], word: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), word)
 
 
+def relative_point(text: Column, base: Column) -> Column:
+    """Days that a title tells from the day of publication: 'in three weeks', 'two days ago', 'next Friday', 'on Monday'.
+
+    A weekday alone or after this is that day of the week of publication (from Monday), after last or next the nearest
+    one before or after. Months and years keep the day where there is such a day.
+    """
+    today = day(base)
+    number = lambda word: F.coalesce(integer(word), _shift(P.NUMBERS, F.lower(word)))
+    ago, ahead = (number(group(text, p, 1)) for p in (P.AGO, P.AHEAD))
+    n = F.coalesce(-ago, ahead)
+    unit = F.lower(F.coalesce(group(text, P.AGO, 2), group(text, P.AHEAD, 2)))
+    moved = F.when(unit == "day", F.date_add(today, n)).when(unit == "week", F.date_add(today, 7 * n)).when(unit == "month", F.add_months(today, n)).when(unit == "year", F.add_months(today, 12 * n))
+    word, which = F.lower(group(text, P.WEEKDAY, 2)), F.lower(group(text, P.WEEKDAY, 1))
+    wanted = _shift({w: k for k, w in enumerate(P.WEEKDAYS)}, F.substring(word, 1, 3))
+    off = wanted - F.weekday(today)
+    off = F.when(which == "last", F.when(off < 0, off).otherwise(off - 7)).when(which == "next", F.when(off > 0, off).otherwise(off + 7)).otherwise(off)
+    return F.coalesce(F.when(n <= 5_000, moved), F.date_add(today, off))
+
+
 def grammar_point(text: Column, base: Column, hint: Column, lang: Column) -> Column:
     """A closed grammar in place of a fuzzy parser: year-first dates, month and year, a month after a preposition,
-    relative words, days ago, and day and month names of other languages. Anything else is null."""
+    relative words, weekdays, numbers of days, weeks, months or years ago or ahead, and day and month names of other
+    languages. Anything else is null."""
     numeric = r"(?U)\b(\d{4})\s*[-/.]\s*(\d{1,2})\s*[-/.]\s*(\d{1,2})\b"
     part = lambda pattern, k: integer(group(text, pattern, k))
     one = F.lit(1)
@@ -240,7 +261,7 @@ def grammar_point(text: Column, base: Column, hint: Column, lang: Column) -> Col
         F.date_add(today, _shift(P.RELATIVE_DAYS, word)),
         F.add_months(today, _shift(P.RELATIVE_MONTHS, word)),
         F.add_months(today, 12 * _shift(P.RELATIVE_YEARS, word)),
-        F.date_sub(today, part(r"(?iU)\b(\d{1,4})\s+days?\s+ago\b", 1)),
+        F.when(has(text, P.RELATIVE), relative_point(text, base)),
     ]
     for code, names in P.MONTHS_ABROAD.items():
         pattern = rf"(?iU)\b(\d{{1,2}})\s+(?:de\s+)?({'|'.join(names)})(?:\s+(?:de\s+|del\s+)?(\d{{4}}))?\b"
@@ -266,7 +287,7 @@ def parsed(rows: DataFrame, corrected: bool = False) -> DataFrame:
     the search. The point is kept as anchor if it lies in the span that the text means, else the span's own anchor is.
     Each step adds flat columns that the next ones read, so that no expression is repeated.
     """
-    known = set(rows.columns)
+    known = [c for c in rows.columns if c != "event"]
     text, base, hint, lang = (F.col(c) for c in ("_text", "base", "hint", "lang"))
     zh, latin = F.col("_zh"), F.col("_latin")
     rows = rows.withColumn("_text", ascii_width(F.col("text")))
@@ -282,7 +303,7 @@ def parsed(rows: DataFrame, corrected: bool = False) -> DataFrame:
     rows = rows.withColumns(
         {
             "_zh_month": F.when(zh, part(P.ZH_MD, 2)), "_zh_day": F.when(zh, part(P.ZH_MD, 3)), "_en_month": F.when(latin, month_number(group(text, P.EN_MDY, 1))),
-            "_en_day": F.when(latin, part(P.EN_MDY, 2)), "_only": F.when(zh, part(P.SINGLE_ZH_MONTH, 1)), "_grammar": grammar_point(text, base, hint, lang),
+            "_en_day": F.when(latin, part(P.EN_MDY, 2)), "_only": F.when(zh, part(P.SINGLE_ZH_MONTH, 1)),
         }
     )
     rows = rows.withColumns(
@@ -299,7 +320,6 @@ def parsed(rows: DataFrame, corrected: bool = False) -> DataFrame:
         "month": months_of(F.col("_only_year"), F.col("_only"), F.col("_only")),
         "part": dated(one_of("quarter_en", "quarter_year_first", "quarter_zh", "half_zh", "half_en", "half_words"), F.year(base)),
         "year": bare_year(text, base),
-        "snap": F.when(F.col("_grammar").isNotNull(), snap_span(F.col("_grammar"), text)),
     }
     rows = rows.withColumns({"_s_" + name: s for name, s in spans.items()})
     anchored = lambda s: anchor_of(s, base, hint, F.col("_deadline"), F.col("_beginning"))
@@ -310,16 +330,22 @@ def parsed(rows: DataFrame, corrected: bool = False) -> DataFrame:
         "_a_mdy": ymd(F.col("_en_year"), F.col("_en_month"), F.col("_en_day")),
     }
     rows = rows.withColumns({"_a_" + name: anchored(F.col("_s_" + name)) for name in spans} | points)
-    rows = rows.withColumn("_a_snap", F.coalesce("_a_snap", "_grammar"))
-    order = ("numeric", "dmy", "zh", "prefix", "months", "mdy", "month", "part", "year", "snap")
-    ok = [F.when(is_plausible(F.col("_a_" + name), base, F.col("_explicit"), F.col("_supported")), F.col("_a_" + name)) for name in order]
-    point = F.coalesce(ok[0], ok[1], F.when(F.col("_a_zh").isNotNull(), ok[2]).otherwise(F.coalesce(*ok[3:])))
+    order = ("numeric", "dmy", "zh", "prefix", "months", "mdy", "month", "part", "year")
+    plausible = lambda c: F.when(is_plausible(F.col(c), base, F.col("_explicit"), F.col("_supported")), F.col(c))
+    ok = [plausible("_a_" + name) for name in order]
+    rows = rows.withColumn("_early", F.coalesce(ok[0], ok[1], F.when(F.col("_a_zh").isNotNull(), ok[2]).otherwise(F.coalesce(*ok[3:]))))
+    # the grammar reads only what nothing before it has settled
+    open_ = F.col("_early").isNull() & F.col("_a_zh").isNull() & ~F.col("_noise") & base.isNotNull()
+    rows = rows.withColumn("_grammar", F.when(open_, grammar_point(text, base, hint, lang)))
+    rows = rows.withColumn("_s_snap", F.when(F.col("_grammar").isNotNull(), snap_span(F.col("_grammar"), text)))
+    rows = rows.withColumn("_a_snap", F.when(F.col("_grammar").isNotNull(), F.coalesce(anchored(F.col("_s_snap")), F.col("_grammar"))))
+    point = F.coalesce(F.col("_early"), plausible("_a_snap"))
     rows = rows.withColumn("_point", F.when(~F.col("_noise") & (F.lower(text) != "may") & base.isNotNull(), point))
     rows = with_span(rows, "_point", "_text", corrected)
     rows = rows.withColumn("_anchor", F.when(F.col("_point").between(F.col("_span.start"), F.col("_span.end")), F.col("_point")).otherwise(anchored(F.col("_span"))))
     event = F.struct(F.col("_anchor").alias("anchor"), F.col("_span.start").alias("start"), F.col("_span.end").alias("end"), F.col("_span.granularity").alias("granularity"), text.alias("candidate_text"))
     rows = rows.withColumn("event", F.when(F.col("_point").isNotNull(), event))
-    return rows.select(*[c for c in rows.columns if c in known or c == "event"])
+    return rows.select(*known, "event")
 
 
 # --- tiers --------------------------------------------------------------------------------------------------------------
@@ -338,37 +364,46 @@ def ranked_candidates(titles: DataFrame, tagged: str | None = None) -> DataFrame
 def extract(titles: DataFrame, corrected: bool = False, tagged: str | None = None) -> DataFrame:
     """Adds event_timestamp, event_time_start, event_time_end, time_granularity, event_text and parse_mode to titles.
 
-    titles: id, title, standard_timestamp and, if already known, lang. Rows that agree in every column come back once.
-    Tier 1 takes the best ranked candidate that parses, tier 2 reads the whole title by the grammar, else the day of
+    titles: id, title, standard_timestamp and, if already known, lang; every row comes back, repeated ones too. Tier 1
+    takes the best ranked candidate that parses, tier 2 reads the whole title by the grammar, else the day of
     publication stands as fallback; without publication time or title the event is null, or the day, and mode fallback.
     """
     base = F.col("standard_timestamp").cast("timestamp_ntz")
     rows = titles if "lang" in titles.columns else titles.withColumn("lang", language(F.col("title")))
     keep = rows.columns
-    rows = rows.withColumns({"base": base, "hint": prefer_hint(F.coalesce("title", F.lit("")))})
-    usable = base.isNotNull() & (F.coalesce("title", F.lit("")) != "") & ~F.col("lang").isin("unknown", "empty")
-    found = candidates(F.col("title"), F.col("lang"), F.col(tagged) if tagged else None)
-    whole = F.array(F.struct(ascii_width(F.col("title")).alias("text"), F.lit(0).alias("start"), F.lit(99_999).alias("ord"))).cast(_CANDIDATE)
-    rows = rows.withColumn("_c", F.explode_outer(F.when(usable, F.concat(found, whole))))
-    rows = rows.withColumns({"text": F.col("_c.text"), "_start": F.col("_c.start"), "_ord": F.col("_c.ord")})
-    second = F.col("_ord") == 99_999
+    rows = rows.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_kept"), base.alias("base"), prefer_hint(F.coalesce("title", F.lit(""))).alias("hint"), "lang", F.coalesce("title", F.lit("")).alias("_title"))
+    usable = F.col("base").isNotNull() & (F.col("_title") != "") & F.coalesce(~F.col("lang").isin("unknown", "empty"), F.lit(False))
+    tags = F.col(f"_kept.{tagged}") if tagged else None
+    # a title without a figure, a month or a word of time holds no candidate, and no search for one
+    may = F.lit(True) if tagged else F.col("_title").rlike(P.MAY_HOLD)
+    rows = rows.withColumn("_found", F.when(usable & may, distinct_candidates(candidates(F.col("_title"), F.col("lang"), tags))))
+    title = F.col("_title")
+    one = lambda c, rank, last: F.struct(F.lit(last).alias("last"), rank.alias("rank"), c["start"].alias("start"), c["ord"].alias("ord"), c["text"].alias("text"))
+    scored = F.transform("_found", lambda c: one(c, -score(c["text"], c["start"], title), 0))
+    unscored = F.transform("_found", lambda c: one(c, F.lit(0), 0))
+    whole = F.struct(F.lit(1).alias("last"), F.lit(0).alias("rank"), F.lit(0).alias("start"), F.lit(0).alias("ord"), ascii_width(title).alias("text"))
+    kind = "array<struct<last:int,rank:int,start:int,ord:int,text:string>>"
+    ranked = F.when(F.size("_found") > 1, F.array_sort(scored.cast(kind))).otherwise(F.coalesce(unscored.cast(kind), F.array().cast(kind)))
+    rows = rows.withColumn("_all", F.when(usable, F.concat(ranked, F.array(whole).cast(kind)))).drop("_found", "_title")
+    rows = parsed(rows.withColumns({"_first": F.get("_all", 0), "text": F.get("_all", 0)["text"]}), corrected).withColumnRenamed("event", "_event")
+    rest = F.when(F.col("_event").isNull() & (F.size("_all") > 1), F.slice("_all", 2, F.size("_all")))
+    rows = rows.withColumn("_c", F.explode_outer(rest)).drop("_all").withColumn("text", F.col("_c.text"))
     rows = parsed(rows, corrected)
-    # only candidates that parse are ranked
-    rank = F.struct(second.cast("int"), -score(F.col("text"), F.col("_start"), F.coalesce("title", F.lit(""))), F.col("_start"), F.col("_ord"))
-    rows = rows.withColumn("_rank", F.when(F.col("event").isNotNull(), rank))
-    best = F.min_by(F.struct("event", second.alias("second")), F.col("_rank"))
-    out = rows.groupBy(*keep).agg(best.alias("_best"))
+    event, chosen = F.coalesce("_event", "event"), F.when(F.col("_event").isNotNull(), F.col("_first")).otherwise(F.col("_c"))
+    rank = F.when(event.isNotNull(), F.struct(chosen["last"], chosen["rank"], chosen["start"], chosen["ord"]))
+    best = F.min_by(F.struct(event.alias("event"), chosen["last"].alias("last")), rank)
+    out = rows.groupBy("_row").agg(F.first("_kept").alias("_kept"), best.alias("_best")).select("_kept.*", "_best")
     floor = F.date_trunc("day", base).cast("timestamp_ntz")
-    event = F.col("_best.event")
-    time = lambda c: F.coalesce(event[c].cast("timestamp_ntz"), floor)
+    found = F.col("_best.event")
+    time = lambda c: F.coalesce(found[c].cast("timestamp_ntz"), floor)
     return out.withColumns(
         {
             "event_timestamp": time("anchor"),
             "event_time_start": time("start"),
             "event_time_end": time("end"),
-            "time_granularity": F.coalesce(event["granularity"], F.when(base.isNotNull(), "day")),
-            "event_text": F.coalesce(event["candidate_text"], F.when(base.isNotNull(), "fallback")),
-            "parse_mode": F.when(event.isNull(), "fallback").when(F.col("_best.second"), "tier2").otherwise("tier1"),
+            "time_granularity": F.coalesce(found["granularity"], F.when(base.isNotNull(), "day")),
+            "event_text": F.coalesce(found["candidate_text"], F.when(base.isNotNull(), "fallback")),
+            "parse_mode": F.when(found.isNull(), "fallback").when(F.col("_best.last") == 1, "tier2").otherwise("tier1"),
         }
     ).drop("_best")
 
@@ -376,5 +411,3 @@ def extract(titles: DataFrame, corrected: bool = False, tagged: str | None = Non
 def tier_counts(events: DataFrame) -> DataFrame:
     """How many rows each mode settled."""
     return events.groupBy("parse_mode").agg(F.count("*").alias("n"))
-
-

@@ -33,6 +33,8 @@ GOLD_PATTERNS = (
 STRICT = 6
 SEARCH = "search_dates"
 CONFIDENCE, GRANULARITY = ("high", "medium", "low"), ("day", "month", "year")
+#: Patterns whose range the pattern alone decides.
+_WITHOUT_GRAMMAR = ("zh_md", "zh_half", "en_half", "zh_quarter", "en_quarter", "year_context")
 AMOUNT_NEAR = rf"(?iU)[$¥￥€£₹]|USD|CNY|RMB|HKD|S\$|元|万元|亿元|万亿|美元|million|billion|trillion|\d+(?:\s*[.,]\s*\d+)?\s*%"
 DAY_CUE = rf"(?iU)\d{{1,2}}[/-]\d{{1,2}}|\d{{1,2}}月\d{{1,2}}[日号]?|\b{M}\s+\d{{1,2}}(?:,\s*\d{{4}})?\b|today|yesterday|tomorrow|今天|昨日|昨天|明天|后天|前天"
 MONTH_CUE = rf"(?iU)\d{{4}}年\d{{1,2}}月|\d{{1,2}}月|\b{M}\b|Q[1-4]|第?[一二三四1-4]季度|上半年|下半年|this month|last month|next month|本月|上月|下月"
@@ -108,7 +110,7 @@ def gold_rows(rows: DataFrame) -> DataFrame:
     stated = F.coalesce(ymd(part(full, 1), part(full, 2), part(full, 3)), ymd(part(word, 3), month_number(group(text, word, 1)), part(word, 2)))
     bare_month = part(r"(?U)(\d{1,2})月(?!\d)", 1)
     zh_month = F.when(pattern == "zh_month_only", ymd(F.coalesce(F.when(hint == "current_period", F.year(base)), year_near(bare_month, F.lit(1), base, hint)), bare_month, F.lit(1)))
-    rows = rows.withColumns({"_stated": F.when(pattern.isin("ymd_numeric", "zh_ymd", "en_mdy"), stated), "_grammar": F.coalesce(zh_month, grammar_point(text, base, hint, lang))})
+    rows = rows.withColumns({"_stated": F.when(pattern.isin("ymd_numeric", "zh_ymd", "en_mdy"), stated), "_grammar": F.coalesce(zh_month, F.when(F.coalesce(~pattern.isin(*_WITHOUT_GRAMMAR), F.lit(False)), grammar_point(text, base, hint, lang)))})
     fuzzy = F.coalesce(F.col("_stated"), F.col("_grammar"))
     fuzzy = F.when(F.year(fuzzy).between(1900, 2100), floor_by(fuzzy, F.col("c.granularity")))
     year = part(Y.replace("(?:", "(", 1), 1)
@@ -123,7 +125,7 @@ def gold_rows(rows: DataFrame) -> DataFrame:
         .otherwise(range_by(F.col("_fuzzy"), F.col("c.granularity")))
     )
     rows = rows.withColumn("_range", found)
-    value = F.coalesce(F.when(F.col("_fuzzy").isNotNull() & ~pattern.isin("zh_md", "zh_half", "en_half", "zh_quarter", "en_quarter", "year_context"), F.col("_fuzzy")), F.col("_range.start"))
+    value = F.coalesce(F.when(F.col("_fuzzy").isNotNull() & ~pattern.isin(*_WITHOUT_GRAMMAR), F.col("_fuzzy")), F.col("_range.start"))
     stamp = lambda c: c.cast("timestamp_ntz")
     gold = F.struct(stamp(value).alias("value"), stamp(F.col("_range.start")).alias("range_start"), stamp(F.col("_range.end")).alias("range_end"), F.col("c.granularity").alias("granularity"), text.alias("source_text"), pattern.alias("pattern"), F.col("c.confidence").alias("confidence"))
     return rows.withColumn("gold", F.when(F.col("_range").isNotNull(), gold)).drop("_md_year", "_stated", "_grammar", "_fuzzy", "_range")
@@ -132,15 +134,18 @@ def gold_rows(rows: DataFrame) -> DataFrame:
 def with_gold(records: DataFrame, mode: str = "balanced") -> DataFrame:
     """Adds gold to records (id, title, standard_timestamp, lang, ...): the first candidate, in order, that parses.
 
-    Rows that agree in every column come back once.
+    Every row comes back, repeated ones too; the first candidate is read beside its row, others only where it does not parse.
     """
-    keep = records.columns
+    keep = [c for c in records.columns if c != "gold"]
     base = F.col("standard_timestamp").cast("timestamp_ntz")
     title = F.coalesce("title", F.lit(""))
-    rows = records.withColumns({"base": base, "hint": prefer_hint(title), "c": F.explode_outer(F.when((title != "") & base.isNotNull(), gold_candidates(title, mode)))})
-    rows = gold_rows(rows)
-    rank = F.struct(*[F.col("c." + n) for n in ("confidence_rank", "granularity_rank", "pattern_rank", "start", "length", "ord")])
-    return rows.groupBy(*keep).agg(F.min_by("gold", F.when(F.col("gold").isNotNull(), rank)).alias("gold"))
+    rows = records.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_kept"), base.alias("base"), prefer_hint(title).alias("hint"), "lang", F.when((title != "") & base.isNotNull() & title.rlike(P.MAY_HOLD), gold_candidates(title, mode)).alias("_all"))
+    rows = gold_rows(rows.withColumn("c", F.get("_all", 0))).withColumnRenamed("gold", "_gold")
+    rest = F.when(F.col("_gold").isNull() & (F.size("_all") > 1), F.slice("_all", 2, F.size("_all")))
+    rows = gold_rows(rows.drop("c").withColumn("c", F.explode_outer(rest)).drop("_all"))
+    gold = F.coalesce("_gold", "gold")
+    rank = F.struct(F.col("_gold").isNull(), *[F.col("c." + n) for n in ("confidence_rank", "granularity_rank", "pattern_rank", "start", "length", "ord")])
+    return rows.groupBy("_row").agg(F.first("_kept").alias("_kept"), F.min_by(gold, F.when(gold.isNotNull(), rank)).alias("gold")).select("_kept.*", "gold")
 
 
 def same_by_granularity(event: Column, value: Column, granularity: Column) -> Column:

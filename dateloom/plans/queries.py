@@ -12,7 +12,7 @@ from dateloom.functions import dates as D
 from dateloom.functions import text as T
 from dateloom.functions.lang import language
 from dateloom.operators import annotate, clusters, evaluate, events, gold, sampling, timeline
-from dateloom.plans.titles import TEMPLATES, event_query, event_sql, mixed_sql, rendered
+from dateloom.plans.titles import TEMPLATES, WHOLE, event_query, event_sql, mixed_sql, rendered
 from dateloom.schema import backfill_events
 from dateloom.sources import feeds, files
 from dateloom.tables import spread, table
@@ -397,30 +397,49 @@ QUERIES["event_time_pipeline"] = event_query(None)
 SQL["event_time_pipeline"] = mixed_sql()
 
 
-@query(f"SELECT CASE WHEN o_orderkey % {len(TEMPLATES)} = {list(TEMPLATES).index('fallback')} THEN 'fallback' ELSE 'tier1' END AS parse_mode, count(*) AS n FROM orders GROUP BY 1")
+@query(f"SELECT CASE WHEN o_orderkey % {len(TEMPLATES)} = {list(TEMPLATES).index('fallback')} THEN 'fallback' WHEN o_orderkey % {len(TEMPLATES)} IN ({', '.join(str(list(TEMPLATES).index(n)) for n in WHOLE)}) THEN 'tier2' ELSE 'tier1' END AS parse_mode, count(*) AS n FROM orders GROUP BY 1")
 def tier_counts(spark, sf_dir):
     return events.tier_counts(events.extract(rendered(spark, sf_dir)))
 
 
-_RANKED = [
-    (1, "March 18, 2026", 21, 54), (1, "March 18", 21, 54), (1, "on March", 18, 30), (1, "2026", 31, 27),
-    (2, "18/03/2026", 12, 56), (2, "2026", 18, 28), (3, "Q1 2025", 15, 45), (3, "2025", 18, 28), (4, "in 2019", 0, 35), (4, "2019", 3, 28),
-]
-_TITLES = [(1, "Summit to be held on March 18, 2026 in Paris"), (2, "Ceremony on 18/03/2026 – Reuters"), (3, "GDP grew 5% in Q1 2025, says BBC"), (4, "in 2019 and after")]
+#: Titles of four kinds by key: dates in front, in figures, and a year after an outlet's name, without and with an earlier month.
+_RANKED = ("concat('Summit to be held on ', date_format(d, 'MMMM d, yyyy'), ' in Paris')", "concat('Ceremony on ', date_format(d, 'dd/MM/yyyy'), ' – Reuters')", "concat('Talks of the leaders in town end – Reuters ', year(d))", "concat('March talks of the leaders in town end – Reuters ', year(d))")
 
 
-@query("SELECT id, text, start, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, start, ord) AS rank FROM (VALUES " + ", ".join(f"({i}, '{t}', {s}, {p}, {o})" for o, (i, t, s, p) in enumerate(_RANKED)) + ") v(id, text, start, score, ord)")
+@query("""
+    WITH o AS (SELECT o_orderkey AS id, o_orderkey % 4 AS k, strftime(o_orderdate, '%B') AS m, strftime(o_orderdate, '%-d') AS d, strftime(o_orderdate, '%Y') AS y, strftime(o_orderdate, '%d/%m/%Y') AS f FROM orders),
+         c AS (SELECT id, m || ' ' || d || ', ' || y AS text, 21 AS start, 55 AS points, 1 AS ord FROM o WHERE k = 0
+               UNION ALL SELECT id, m || ' ' || d, 21, 55, 2 FROM o WHERE k = 0
+               UNION ALL SELECT id, 'on ' || m, 18, 30, 3 FROM o WHERE k = 0
+               UNION ALL SELECT id, y, 21 + length(m) + length(d) + 3, 28, 0 FROM o WHERE k = 0
+               UNION ALL SELECT id, f, 12, 56, 0 FROM o WHERE k = 1 UNION ALL SELECT id, y, 18, 28, 1 FROM o WHERE k = 1
+               UNION ALL SELECT id, y, 43, 28 - 18, 0 FROM o WHERE k = 2 UNION ALL SELECT id, y, 49, 28 - 45, 0 FROM o WHERE k = 3),
+         s AS (SELECT id, text, start, ord, points - start // 20 AS score FROM c)
+    SELECT id, text, start, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, start, ord) AS rank FROM s
+""")
 def candidate_ranking(spark, sf_dir):
-    titles = spark.createDataFrame(_TITLES, "id int, title string").withColumn("lang", F.lit("en"))
-    return events.ranked_candidates(titles)
+    """Every candidate of a title of each order, with its score, among them source tails with and without an earlier date."""
+    turn = F.col("o_orderkey") % len(_RANKED)
+    titles = _orders(spark, sf_dir).withColumn("d", F.col("o_orderdate"))
+    title = F.coalesce(*[F.when(turn == k, F.expr(t)) for k, t in enumerate(_RANKED)])
+    return events.ranked_candidates(spread(titles.select(F.col("o_orderkey").alias("id"), title.alias("title"), F.lit("en").alias("lang"))))
 
 
-_NOISE = [("", True), ("第15届", True), ("25%", True), ("5 billion", True), ("1500", True), ("2024", False), ("18/03/2025", False), ("March 5", False), ("1,234", True), ("2025-3-18", False), ("18 March 2025", False), ("next week", False)]
+#: Texts by key: (Spark SQL over the key k and the date d, DuckDB's word on whether it is noise).
+_NOISE = (
+    ("''", "true"), ("concat('第', k, '届')", "true"), ("concat(k, '%')", "true"), ("concat(k, ' billion')", "true"), ("cast(k as string)", "k NOT BETWEEN 1900 AND 2100"),
+    ("date_format(d, 'yyyy')", "false"), ("date_format(d, 'dd/MM/yyyy')", "false"), ("date_format(d, 'MMMM d')", "false"), ("date_format(d, 'yyyy-M-d')", "false"),
+    ("date_format(d, 'd MMMM yyyy')", "false"), ("concat('next ', date_format(d, 'EEEE'))", "false"), ("concat(k, ',000')", "true"),
+)
 
 
-@query("SELECT text, noise FROM (VALUES " + ", ".join(f"('{t}', {str(n).lower()})" for t, n in _NOISE) + ") v(text, noise)")
+@query(f"SELECT o_orderkey AS id, CASE o_orderkey % {len(_NOISE)} " + " ".join(f"WHEN {i} THEN {told.replace('k ', 'o_orderkey ')}" for i, (_, told) in enumerate(_NOISE)) + " END AS noise FROM orders")
 def noise_candidates(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t, _ in _NOISE], "text string").select("text", events.is_noise(F.col("text")).alias("noise"))
+    """Texts of each order, in figures and in words, judged as candidates."""
+    turn = F.col("o_orderkey") % len(_NOISE)
+    o = spread(_orders(spark, sf_dir)).withColumns({"d": F.col("o_orderdate"), "k": F.col("o_orderkey")})
+    text = F.coalesce(*[F.when(turn == i, F.expr(t)) for i, (t, _) in enumerate(_NOISE)])
+    return o.select(F.col("o_orderkey").alias("id"), events.is_noise(text).alias("noise"))
 
 
 @query("""

@@ -26,8 +26,13 @@ TEMPLATES: dict[str, tuple[str, str, str, str, str, str]] = {
     "month_only": ("zh-cn", "concat('会议', month(d), '月举行')", f"make_date({_BY}, {_M}, 1)", f"last_day(make_date({_BY}, {_M}, 1))", _INSIDE, "month"),
     "year_only": ("en", "concat('Plans in ', year(d), ' outlined')", f"make_date({_Y}, 1, 1)", f"make_date({_Y}, 12, 31)", _INSIDE, "year"),
     "relative": ("en", "'Talks held yesterday evening'", "base - INTERVAL 1 DAY", "base - INTERVAL 1 DAY", "base - INTERVAL 1 DAY", "day"),
+    "weeks_ago": ("en", "'The meeting was held three weeks ago'", "base - INTERVAL 21 DAY", "base - INTERVAL 21 DAY", "base - INTERVAL 21 DAY", "day"),
+    "days_ahead": ("en", "concat('Talks begin in ', 2 + day(d) % 5, ' days')", *(3 * ("base + to_days(CAST(2 + day(d) % 5 AS INT))",)), "day"),
+    "weekday": ("en", "concat('Strike on ', date_format(d, 'EEEE'), ' expected')", *(3 * ("date_trunc('week', base) + to_days(CAST(isodow(d) - 1 AS INT))",)), "day"),
     "fallback": ("en", "'No dates at all in here'", "base", "base", "base", "day"),
 }
+#: Templates without a candidate, whose titles are read whole.
+WHOLE = ("weeks_ago", "days_ahead", "weekday")
 
 MIXED = tuple(TEMPLATES)
 
@@ -56,7 +61,7 @@ def event_query(name: str | None):
 
 def event_sql(name: str) -> str:
     _, _, start, end, anchor, granularity = TEMPLATES[name]
-    mode = "fallback" if name == "fallback" else "tier1"
+    mode = "fallback" if name == "fallback" else "tier2" if name in WHOLE else "tier1"
     day = lambda c: f"strftime({c}, '%Y-%m-%d')"
     return f"""
         SELECT id, {day("CAST(a AS DATE)")} AS event_timestamp, {day("CAST(s AS DATE)")} AS event_time_start, {day("CAST(e AS DATE)")} AS event_time_end,

@@ -57,14 +57,52 @@ def test_corrected_takes_full_dates_first(spark):
 def test_extract_tiers_and_nulls(spark):
     rows = [("a", "Summit on March 18, 2026", BASE), ("b", "No date here", BASE), ("c", None, BASE), ("d", "", BASE), ("e", "March 18, 2026", None), ("f", "!!! ???", BASE), ("a", "Summit on March 18, 2026", BASE)]
     df = spark.createDataFrame(rows, "id string, title string, t string").select("id", "title", F.col("t").cast("timestamp_ntz").alias("standard_timestamp"))
-    out = {r.id: r for r in extract(df).collect()}
-    assert len(out) == 6
+    rows = extract(df).collect()
+    out = {r.id: r for r in rows}
+    assert len(rows) == 7 and len(out) == 6 and len({tuple(r) for r in rows if r.id == "a"}) == 1
     assert out["a"].parse_mode == "tier1" and out["a"].event_timestamp == datetime(2026, 3, 18)
     assert all(out[k].parse_mode == "fallback" and out[k].event_timestamp == datetime(2026, 3, 20) for k in "bcdf")
     assert out["e"].event_timestamp is None and out["e"].time_granularity is None and out["e"].parse_mode == "fallback"
     assert extract(df.limit(0)).count() == 0
 
 
+def test_whole_titles(spark):
+    """Titles without a candidate are read whole: numbers in words, weeks, months, weekdays; of others the day of publication stands."""
+    told = {
+        "The meeting in three weeks": D(2026, 4, 10), "It fell two days ago": D(2026, 3, 18), "An accident a month ago": D(2026, 2, 20), "Ten years earlier, the mayor fell": D(2016, 3, 20),
+        "Strike on Monday": D(2026, 3, 16), "Talks this Sunday": D(2026, 3, 22), "Riots spread, police in town": None, "in 40 weeks it ends": D(2026, 12, 25),
+    }
+    df = spark.createDataFrame(list(enumerate(told)), "id int, title string").withColumns({"standard_timestamp": F.lit(BASE).cast("timestamp_ntz"), "lang": F.lit("en")})
+    out = {r.title: r for r in extract(df).collect()}
+    for title, want in told.items():
+        got = (out[title].parse_mode, out[title].event_timestamp.date())
+        assert got == (("tier2", want) if want and want.year > 2020 else ("fallback", D(2026, 3, 20))), title
+
+
+def test_weekdays_next_and_last(spark):
+    df = spark.createDataFrame([(t,) for t in ("last friday", "next friday", "last monday", "next monday", "next week", "last night")], "text string")
+    df = df.withColumns({"base": F.lit(BASE).cast("timestamp_ntz"), "hint": F.lit("current_period"), "lang": F.lit("en")})
+    got = {r.text: r.event and r.event.anchor for r in parsed(df).collect()}
+    assert got == {"last friday": D(2026, 3, 13), "next friday": D(2026, 3, 27), "last monday": D(2026, 3, 16), "next monday": D(2026, 3, 23), "next week": D(2026, 3, 27), "last night": None}
+
+
+def test_the_best_candidate_that_parses(spark):
+    """Where the best ranked one does not parse the next does, before the whole title."""
+    df = spark.createDataFrame([(1, "Prices of last summer, seen in 2024"), (2, "last night, next day"), (3, "31/31/2025 was wrong, 5 May 2025 is right")], "id int, title string")
+    out = {r.id: r for r in extract(df.withColumns({"standard_timestamp": F.lit(BASE).cast("timestamp_ntz"), "lang": F.lit("en")})).collect()}
+    assert (out[1].event_text, out[1].parse_mode) == ("in 2024", "tier1") and out[2].parse_mode == "fallback"
+    assert (out[3].event_text, out[3].event_timestamp) == ("5 May 2025", datetime(2025, 5, 5))
+
+
+def test_gold_keeps_repeated_rows(spark):
+    from dateloom.operators.gold import with_gold
+
+    rows = [(1, "Launch of May 5, 2025"), (1, "Launch of May 5, 2025"), (2, None), (3, "Cost rose to $2025-03-04 in 2024")]
+    df = spark.createDataFrame(rows, "id int, title string").withColumns({"standard_timestamp": F.lit(BASE).cast("timestamp_ntz"), "lang": F.lit("en"), "gold": F.lit(1)})
+    out = sorted(((r.id, r.gold.pattern if r.gold else None) for r in with_gold(df).collect()), key=str)
+    assert out == [(1, "en_mdy"), (1, "en_mdy"), (2, None), (3, "year_context")]
+
+
 def test_span_holds_anchor_and_width_does_not_matter(spark):
     titles = ["会议３月１８日举行", "会议3月18日举行", "Ｑ1 2025 results", "Plans in 2024 and 2025"]
     df = spark.createDataFrame(list(enumerate(titles)), "id int, title string").withColumn("standard_timestamp", F.lit(BASE).cast("timestamp_ntz"))
