@@ -30,7 +30,7 @@ DEPTH = 8
 #: Min-hashes, a byte each, by which nodes of crowded regions are told apart.
 SKETCH = 1024
 #: Bytes of these that rows of the deeper trees carry.
-CARRIED = 256
+CARRIED = 512
 #: Depths of the trees for crowded regions; rows of a region that are all compared, and rows of other components than the
 #: most frequent up to which a larger region is compared at once.
 DEEPER, CROWD = (8, 14, 20, 26), 256
@@ -40,6 +40,7 @@ HUB = 64
 FIRST_TREES = 4
 _HASHED = "doc_id long, n_shingles long, digest binary, signature binary, text_key long"
 _PAIRS = "a binary, b binary"
+_MAYBE = "a binary, b binary, root_a binary, root_b binary, alike double"
 
 
 @dataclass(frozen=True)
@@ -219,11 +220,11 @@ def _bound(forest: Forest, hashes: int) -> float:
 
 
 def _crossing(forest: Forest):
-    """Pairs (outsider, member) of a region's block, of different components, that the sketches call alike."""
+    """Pairs (outsider, member) of a region's block, of different components, that the sketches call alike, and how much."""
     bound = _bound(forest, SKETCH)
 
     def run(key, outside: pa.Table, inside: pa.Table) -> pa.Table:
-        a, b = [], []
+        found = []
         if outside.num_rows and inside.num_rows:
             matrix = lambda t: np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             many, size = matrix(inside), inside.column("n_shingles").to_numpy()
@@ -232,15 +233,25 @@ def _crossing(forest: Forest):
             rows = zip(matrix(outside), outside.column("n_shingles").to_pylist(), outside.column("node").to_pylist(), outside.column("root").to_pylist())
             for sketch, n, name, own in rows:
                 maybe = np.flatnonzero((100 * np.minimum(size, n) >= forest.percent * np.maximum(size, n)) & (root != own))
-                for i in maybe[(many[maybe] == sketch).mean(axis=1) >= bound]:
+                alike = (many[maybe] == sketch).mean(axis=1)
+                for i, x in zip(maybe[alike >= bound], alike[alike >= bound]):
                     if root[i] == majority or name < node[i]:
-                        a.append(min(name, node[i]))
-                        b.append(max(name, node[i]))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                        found.append(_maybe(name, node[i], own, root[i], x))
+        return pa.table(_columns_of(found))
 
     return run
 
 
+def _maybe(a: bytes, b: bytes, root_a: bytes, root_b: bytes, alike: float) -> tuple:
+    """A candidate with its nodes, and its components, in order."""
+    return (*((a, b) if a < b else (b, a)), *((root_a, root_b) if root_a < root_b else (root_b, root_a)), float(alike))
+
+
+def _columns_of(found) -> dict[str, pa.Array]:
+    columns = list(zip(*found)) or [()] * 5
+    return {name: pa.array(c, kind) for name, c, kind in zip(("a", "b", "root_a", "root_b", "alike"), columns, (pa.binary(),) * 4 + (pa.float64(),))}
+
+
 def _keyed(forest: Forest, depth: int, carried: bool):
     """(key, node, root) of each node in each tree of a depth, drawn from its sketch; with n_shingles and part of the sketch if carried."""
 
@@ -292,11 +303,11 @@ def _grouped(forest: Forest):
                     break
                 at = at[(at + lag >= known) & (root[at] != root[at + lag])]
                 at = at[100 * np.minimum(size[at], size[at + lag]) >= forest.percent * np.maximum(size[at], size[at + lag])]
-                at = at[(part[at] == part[at + lag]).mean(axis=1) >= bound] if len(at) else at
-                found |= {(min(x, y), max(x, y)) for x, y in zip(node[at], node[at + lag])}
+                alike = (part[at] == part[at + lag]).mean(axis=1) if len(at) else np.zeros(0)
+                at, alike = at[alike >= bound], alike[alike >= bound]
+                found |= {_maybe(*row) for row in zip(node[at], node[at + lag], root[at], root[at + lag], alike)}
             if found:
-                a, b = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_pydict(_columns_of(found))
             held = rows.slice(int(np.flatnonzero(key == key[-1])[0])).combine_chunks()
 
     return run
@@ -313,11 +324,11 @@ def _in_blocks(rows: DataFrame, sketches: DataFrame, forest: Forest) -> DataFram
     outside = rows.where("root <> majority").withColumn("k", split(F.col("others"))).withColumn("i", every(F.col("members")))
     columns = ["key", "i", "k", "node", "n_shingles", "sketch", "root", "majority"]
     inside = inside.select(*[F.col(c).alias(c) for c in columns])
-    return outside.select(columns).groupBy("key", "i", "k").cogroup(inside.groupBy("key", "i", "k")).applyInArrow(_crossing(forest), _PAIRS)
+    return outside.select(columns).groupBy("key", "i", "k").cogroup(inside.groupBy("key", "i", "k")).applyInArrow(_crossing(forest), _MAYBE)
 
 
 def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
-    """Candidates between components within regions of more rows than the window reaches.
+    """Links between components within regions of more rows than the window reaches.
 
     A region whose rows but CROWD are of one component is compared at once, at a cost in proportion to its rows. The nodes of
     others go to deeper trees, whose regions of up to CROWD rows are compared; larger ones are judged in the same way
@@ -330,7 +341,7 @@ def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFram
     groups = written(several(rows).where(F.col("n") > forest.window + 1), "crowded")
     rows = written(rows.join(small(groups), "key"), "crowd")
     if rows.isEmpty():
-        return documents.sparkSession.createDataFrame([], _PAIRS)
+        return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
     texts = _texts(rows.select("node").distinct(), nodes, documents)
     sketches = texts.mapInArrow(frugal(_sketched(forest)), "node binary, sketch binary").join(nodes.select("node", "n_shingles", "root"), "node")
     sketches = written(sketches, "sketches")
@@ -339,7 +350,7 @@ def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFram
         if depth:
             groups = written(several(sketches.mapInArrow(frugal(_keyed(forest, depth, False)), _KEYED)), "groups")
             thin = sketches.mapInArrow(frugal(_keyed(forest, depth, True)), _CARRIED).join(small(groups.where(F.col("n") <= CROWD).select("key")), "key")
-            found.append(written(thin.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(_grouped(forest)), _PAIRS).distinct(), "thin"))
+            found.append(written(thin.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(_grouped(forest)), _MAYBE), "thin"))
             rows = sketches.mapInArrow(frugal(_keyed(forest, depth, False)), _KEYED).join(small(groups.where(F.col("n") > CROWD)), "key")
             rows = written(rows, "crowd")
         shares = rows.groupBy("key", "root").agg(F.count("*").alias("share"))
@@ -351,10 +362,31 @@ def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFram
         if depth == DEEPER[-1] or left.isEmpty():
             break
         sketches = written(sketches.join(small(left), "node"), "sketches")
-    out = found[0]
+    every = found[0]
     for more in found[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+        every = every.unionByName(more)
+    return _between(every.groupBy("a", "b", "root_a", "root_b").agg(F.max("alike").alias("alike")), nodes, documents, forest)
+
+
+def _between(maybe: DataFrame, nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
+    """Enough of the links among candidates (a, b, root_a, root_b, alike) to join all components that any of them joins.
+
+    The most alike candidate of two components is confirmed first; the others only where the two are still apart then.
+    """
+    maybe = written(maybe, "maybe")
+    by = maybe.groupBy("root_a", "root_b").agg(F.max_by(F.struct("a", "b"), F.struct("alike", "a", "b")).alias("best"), F.count("*").alias("n"))
+    by = written(by, "best")
+    first = _links(by.select("best.*"), nodes, documents, forest)
+    several = by.where("n > 1").select("root_a", "root_b", "best")
+    if several.isEmpty():
+        return first
+    linked = by.join(first, (F.col("best.a") == F.col("a")) & (F.col("best.b") == F.col("b")), "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    top = written(connected_components(linked), "top")
+    named = lambda end: top.select(F.col("node").alias(f"root_{end}"), F.col("root").alias(f"top_{end}"))
+    apart = several.join(named("a"), "root_a", "left").join(named("b"), "root_b", "left").where(F.coalesce("top_a", "root_a") != F.coalesce("top_b", "root_b"))
+    apart = written(apart.select("root_a", "root_b"), "apart")
+    rest = maybe.join(small(apart), ["root_a", "root_b"], "left_semi").select("a", "b").join(by.select("best.*"), ["a", "b"], "left_anti")
+    return first.unionByName(_links(rest, nodes, documents, forest))
 
 
 def _texts(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
@@ -426,8 +458,7 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
     merged = lambda roots, links: connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
     roots = merged(roots, more)
     labelled = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
-    rest = _links(_crowded(labelled, documents, forest), nodes, documents, forest)
-    roots = written(merged(roots, rest), "roots")
+    roots = written(merged(roots, _crowded(labelled, documents, forest)), "roots")
 
     linked = nodes.select("node", "rep_id").join(roots, "node")
     named = linked.groupBy("root").agg(F.min("rep_id").alias("component_id"))
@@ -443,13 +474,13 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
 def without_near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """One row of documents (doc_id, text, ...) of each component, as it is: that with the smallest doc_id.
 
-    Of rows that repeat doc_id and text one stays; so it does of rows without doc_id that are copies of each other.
+    Of rows that repeat doc_id and text one stays; so it does of rows without doc_id that are copies of each other. Null
+    and blank texts are near nothing and stay; other columns, of whatever names, are passed on; an empty table has no rows.
     """
     judged = written(near_duplicates(documents, forest), "judged")
     gone = judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = documents.withColumn("_text_key", F.xxhash64(F.col("text").cast("string")))
-    out = keyed.join(small(gone), keyed.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti")
-    kept = judged.where("kept")
-    if kept.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
-        return out.drop("_text_key")
-    return out.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    out = rows.join(small(gone), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_anti")
+    if not judged.where("kept").groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["id", "key"])
+    return out.select("row.*")
