@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,8 @@ def sentences(text: str):
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """kept: buckets with a weight at most; sample: labelled documents that the noisy-or learns from at most, on average."""
+    """kept: buckets with a weight at most; sample: labelled documents that the noisy-or learns from at most, on average;
+    aim: score at which documents are called toxic; cut: the chance that is given this score."""
 
     kept: int = 4096
     sample: int = 40_000
@@ -55,13 +56,16 @@ class ToxicityModel:
     shrink: float = 1e-3
     base: float = 0.5
     bias: float = -7.0
+    aim: float = 0.7
+    cut: float = 0.7
     chosen: np.ndarray = field(default=None, repr=False, compare=False)
     weights: np.ndarray = field(default=None, repr=False, compare=False)
     knots: tuple = field(default=None, repr=False, compare=False)
 
     def calibrated(self, raw):
-        """The share of labels among documents that a model without them gave such a chance."""
-        return np.interp(raw, *self.knots)
+        """The share of labels among documents that a model without them gave such a chance, stretched so that cut is at aim."""
+        share = np.interp(raw, *self.knots)
+        return np.where(share < self.cut, share * self.aim / self.cut, self.aim + (share - self.cut) * (1 - self.aim) / (1 - self.cut))
 
 
 class _Reader:
@@ -165,8 +169,24 @@ def _taught(model: ToxicityModel, chosen: np.ndarray, bags: pa.Table) -> Toxicit
     steps = [x for x in np.array_split(order, min(len(order), 400)) if len(x)]
     fitted = isotonic(np.array([len(x) for x in steps], float), np.array([y[x].mean() for x in steps]))
     knots = np.array([raw[x].mean() for x in steps]), fitted
+    cut = _best_cut(fitted, np.array([y[x].sum() for x in steps]), np.array([len(x) for x in steps]), model.aim)
     weights, bias = data.climbed(model, np.ones(len(y), bool))
-    return ToxicityModel(**{**model.__dict__, "chosen": chosen, "weights": weights, "bias": float(bias), "knots": knots})
+    return ToxicityModel(**{**model.__dict__, "chosen": chosen, "weights": weights, "bias": float(bias), "knots": knots, "cut": cut})
+
+
+def _best_cut(shares: np.ndarray, toxic: np.ndarray, documents: np.ndarray, most: float) -> float:
+    """The share, `most` at most, from which calling documents toxic errs least by F1 on what was left out; the highest of equals.
+
+    Where labels are few the shares of left-out documents are spread out, and a fixed cut misses toxic ones that are told.
+    """
+    best, cut = -1.0, most
+    for t in sorted({most, *(float(s) for s in shares if 0.2 <= s <= most)}, reverse=True):
+        of = shares >= t
+        hit = toxic[of].sum()
+        f1 = 2 * hit / max(1.0, documents[of].sum() + toxic.sum())
+        if f1 > best + 1e-12:
+            best, cut = f1, t
+    return cut
 
 
 class _Bags:
@@ -248,6 +268,6 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, model: ToxicityMode
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
     marks = written(marks.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y")), "marks")
     known = written(rows.join(small(marks), "doc_id"), "labelled")
-    model = learnt(known, model)
+    model = learnt(known, replace(model, aim=threshold))
     out = rows.mapInArrow(frugal(_scores(model, threshold)), _SCORED)
     return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_sentences", "offending")
