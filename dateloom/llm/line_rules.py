@@ -19,11 +19,18 @@ SYMBOLS = "#*$%&|<>"
 SENTENCE_END = r"[.!?:;…][\"'”’»)]*([ \t-\r]|$)"
 #: Words that only separate links.
 SEPARATORS = "|•»>/·"
-#: Phrases of boilerplate, lower case.
+#: Patterns of boilerplate in lower case, in English, German, French and Spanish; and a notice of rights with its year.
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "cookie policy", "cookies to", "privacy policy", "terms of use", "terms of service",
     "enable javascript", "javascript is", "sign in to", "log in to", "subscribe to our", "newsletter", "read more", "click here",
     "share on", "back to top", "lorem ipsum",
+    "alle rechte vorbehalten", "cookies (zulassen|akzeptieren)", "cookie-richtlinie", "datenschutzerklärung", "nutzungsbedingungen", "impressum",
+    "weiterlesen", "hier klicken", "jetzt abonnieren", "nach oben",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "mentions légales", "conditions d.utilisation", "lire la suite",
+    "cliquez ici", "haut de page",
+    "todos los derechos reservados", "aceptar (las )?cookies", "política de privacidad", "aviso legal", "condiciones de uso", "leer más", "haga clic aquí",
+    "volver arriba",
+    "(©|[(]c[)]|copyright) ?(19|20)[0-9][0-9]",
 )
 
 

@@ -1,5 +1,7 @@
 """SQL of the queries that SQL can express, for DuckDB over the same tables."""
 
+from dateloom.llm.line_rules import BOILERPLATE
+
 #: The list of entries_of and the captures of captures_of in SQL.
 _URLS = r"""
     p AS (SELECT page_id, url, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 120 AS INT)) AS fetched,
@@ -48,7 +50,7 @@ SQL: dict[str, str] = {
                      OR (len(lw) >= 12 AND NOT regexp_matches(line, '[.!?:;…]["''”’»)]*([ \t-\r]|$)'))
                      OR len(list_filter(lw, lambda x: list_contains(['|', '•', '»', '>', '/', '·'], x))) > 0.2 * len(lw)
                      OR len(list_filter(range(1, len(lw)), lambda i: lw[i] = lw[i + 1])) > 0.5 * len(lw)
-                     OR (len(lw) <= 40 AND regexp_matches(lower(line), 'all rights reserved|accept cookies|cookie policy|cookies to|privacy policy|terms of use|terms of service|enable javascript|javascript is|sign in to|log in to|subscribe to our|newsletter|read more|click here|share on|back to top|lorem ipsum')) AS failed
+                     OR (len(lw) <= 40 AND regexp_matches(lower(line), '@')) AS failed
               FROM l),
         s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(chars) FILTER (failed), 0) AS gone FROM f GROUP BY doc_id),
         o AS (SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
@@ -59,7 +61,7 @@ SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
                NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND gone / greatest(1, word_chars) <= 0.3 AS kept, n_lines, n_failed_lines
         FROM o
-    """,
+    """.replace("'@'", "'" + "|".join(BOILERPLATE) + "'"),
     "op7_line_chunks": r"""
         WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
         w AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n,
