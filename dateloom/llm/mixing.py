@@ -50,16 +50,11 @@ def _told(text: Column, topics: int) -> Column:
 
 
 def labelled(documents: DataFrame, mixture: Mixture) -> DataFrame:
-    """documents (doc_id, text, source, lang) with topic and n_tokens; a null source or language is '' of its own."""
-    out = documents.withColumn("_told", _told(F.coalesce(F.col("text").cast("string"), F.lit("")), mixture.topics))
-    return out.withColumns(
-        {
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-            "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("")),
-            "_topic": F.col("_told.topic"),
-            "_tokens": F.col("_told.tokens"),
-        }
-    ).drop("_told")
+    """(row, doc_id, source, lang, topic, tokens) of documents (doc_id, text, source, lang, ...); row holds all their columns, a
+    null source or language is '' of its own."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    out = documents.select(F.struct(*documents.columns).alias("row"), "doc_id", text("source").alias("source"), text("lang").alias("lang"), _told(text("text"), mixture.topics).alias("told"))
+    return out.select("row", "doc_id", "source", "lang", F.col("told.topic").alias("topic"), F.col("told.tokens").alias("tokens"))
 
 
 class Infeasible(ValueError):
@@ -219,9 +214,8 @@ def mixed(documents: DataFrame, mixture: Mixture = Mixture(), targets: dict[str,
     added name are replaced, other columns are passed on.
     """
     rows = labelled(documents.drop("topic", "n_tokens", "probability", "sampled"), mixture)
-    cells = rows.groupBy(F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
+    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     told = written(raked(written(cells, "cells"), mixture, targets), "told")
-    told = told.select(*[F.col(d).alias("_" + d) for d in DIMENSIONS], F.col("probability"))
-    out = rows.join(small(told), ["_" + d for d in DIMENSIONS], "left")
-    out = out.withColumn("sampled", uniform(F.col("doc_id"), mixture.seed) < F.col("probability"))
-    return out.withColumnRenamed("_topic", "topic").withColumnRenamed("_tokens", "n_tokens").drop("_source", "_lang")
+    out = rows.join(small(told.select(*DIMENSIONS, "probability")), list(DIMENSIONS), "left")
+    sampled = uniform(F.col("doc_id"), mixture.seed) < F.col("probability")
+    return out.select("row.*", "topic", F.col("tokens").alias("n_tokens"), "probability", sampled.alias("sampled"))

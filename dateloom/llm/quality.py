@@ -255,11 +255,11 @@ def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = 0
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-
 def with_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of documents whose score reaches the threshold, as they are.
 
-    The model learns as in quality_scores; each text is then judged where it is read, so no text is shuffled.
+    The model learns as in quality_scores; each text is then judged where it is read, so no text is shuffled. Nulls, rows that
+    repeat and empty tables are treated as there; other columns, of whatever names, are passed on.
     """
     tune(documents.sparkSession, 512)
     marks = written(labels.where(~held_out(F.col("doc_id"), 5, 0)), "marks")

@@ -1,7 +1,5 @@
 import pytest
-from pyspark.sql import functions as F
 
-import corpus_pipeline
 from dateloom.llm.queries import QUERIES, SQL
 from oracle import rows_of, sql_rows
 
@@ -39,15 +37,3 @@ def test_contamination_equals_search(spark):
     exact = {(d, i) for d, t in docs.items() for i, x in items.items() if x in t}
     out = {(r.doc_id, r.item_id): r.distance for r in QUERIES["op1_decontaminate"](spark, FOLDER).collect()}
     assert exact <= set(out) and {k for k, d in out.items() if d == 0} == exact
-
-
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    counts, now = [docs.count()], docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        now = stage(spark, now, FOLDER)
-        assert now.columns == docs.columns
-        counts.append(now.count())
-    assert counts == sorted(counts, reverse=True) and counts[-1] > 0.5 * counts[0]
-    out = corpus_pipeline.run(spark, FOLDER)
-    assert out.count() == counts[-1] and out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == out.agg(F.sum("n_tokens")).first()[0]
