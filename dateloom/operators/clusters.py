@@ -174,10 +174,15 @@ def batches_of(rows: DataFrame, column: str, embed) -> DataFrame:
     """rows with `vector`, from a model that maps a list of texts to a list of vectors; the model is made once a worker."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema.fields)}, vector array<double>"
 
-    def run(parts: Iterator):
+    def run(batches: Iterator):
+        import numpy as np
+        import pyarrow as pa
+
         model = embed()
-        for part in parts:
-            part["vector"] = [list(map(float, v)) for v in model(part[column].fillna("").tolist())]
-            yield part
+        for batch in batches:
+            if batch.num_rows:
+                found = np.asarray(model([t or "" for t in batch.column(column).to_pylist()]), float)
+                ends = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+                yield batch.append_column("vector", pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel())))
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -30,17 +30,17 @@ GOLD_PATTERNS = (
     ("zh_month_only", r"(?:于|在|到|截至|本|上|下)?\s*\d{1,2}月(?!\d)", "month", "low"),
     ("en_month_only", rf"\b(?:in|during|for|by|this|last|next)\s+{M}\b", "month", "low"),
 )
+#: Patterns that strict mode knows.
 STRICT = 6
 SEARCH = "search_dates"
 CONFIDENCE, GRANULARITY = ("high", "medium", "low"), ("day", "month", "year")
-#: Patterns whose range the pattern alone decides.
+# --- fixed values: patterns whose range the pattern alone decides, cues, and what the whole-title search looks for -----
 _WITHOUT_GRAMMAR = ("zh_md", "zh_half", "en_half", "zh_quarter", "en_quarter", "year_context")
 AMOUNT_NEAR = rf"(?iU)[$¥￥€£₹]|USD|CNY|RMB|HKD|S\$|元|万元|亿元|万亿|美元|million|billion|trillion|\d+(?:\s*[.,]\s*\d+)?\s*%"
 DAY_CUE = rf"(?iU)\d{{1,2}}[/-]\d{{1,2}}|\d{{1,2}}月\d{{1,2}}[日号]?|\b{M}\s+\d{{1,2}}(?:,\s*\d{{4}})?\b|today|yesterday|tomorrow|今天|昨日|昨天|明天|后天|前天"
 MONTH_CUE = rf"(?iU)\d{{4}}年\d{{1,2}}月|\d{{1,2}}月|\b{M}\b|Q[1-4]|第?[一二三四1-4]季度|上半年|下半年|this month|last month|next month|本月|上月|下月"
 YEAR_CUE = r"(?iU)(?:19|20)\d{2}|this year|last year|next year|今年|去年|明年"
 YEAR_PAIR = rf"(?U){Y}\s*[-/~]\s*{Y}"
-#: What the whole-title search looks for, longest forms first.
 SEARCHED = rf"(?iU)\b\d{{1,2}}\s+{M}\s+\d{{4}}\b|\b{M}\s+\d{{4}}\b|\b\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}\b|\b{Y}\b"
 
 

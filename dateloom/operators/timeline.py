@@ -69,12 +69,14 @@ def timeline(items: DataFrame, model: Callable[[str], str] | None = None, by: li
         asked = ordered_text(items, by, "position", event_block(items))
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields if f.name in by), "reply string"])
 
-        def ask(parts):
-            for part in parts:
-                part["reply"] = [model(text) for text in part["context"]]
-                yield part.drop(columns="context")
+        def ask(batches):
+            import pyarrow as pa
 
-        return reply_rows(asked.mapInPandas(ask, schema)).drop("excluded")
+            for batch in batches:
+                replies = [model(text) for text in batch.column("context").to_pylist()]
+                yield batch.drop_columns(["context"]).append_column("reply", pa.array(replies, pa.string()))
+
+        return reply_rows(asked.mapInArrow(ask, schema)).drop("excluded")
     order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     order = order.orderBy(F.col("parsed_time").asc_nulls_last(), "id")
     kind = F.when(F.coalesce(F.col("system_is_noise"), F.lit(False)), NOISE_TYPE).otherwise("核心事件")

@@ -112,7 +112,7 @@ def domain_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", feeds.of_domains(F.col("url"), domains).alias("wanted"), feeds.source_label(F.col("url"), domains).alias("source"))
 
 
-@query("SELECT page_id, 'gdelt_' || substr(sha256(url), 1, 8) AS id FROM pages WHERE strlen(url) > 0")
+@query("SELECT page_id, 'gdelt_' || substr(sha256(url), 1, 32) AS id FROM pages WHERE strlen(url) > 0")
 def source_ids(spark, sf_dir):
     return feeds.with_required(table(spark, sf_dir, "pages"), "url").select("page_id", files.source_id("gdelt", F.col("url")).alias("id"))
 
@@ -473,27 +473,45 @@ def parse_counts(spark, sf_dir):
 
 # --- evaluation --------------------------------------------------------------------------------------------------------------------
 
-_GOLD_TITLES = {
-    "ymd_numeric": "concat('On ', date_format(d, 'yyyy-MM-dd'), ' it rained')",
-    "en_mdy": "concat('Launch of ', date_format(d, 'MMMM d, yyyy'), ' seen')",
-    "zh_md": "concat('会议', month(d), '月', day(d), '日举行')",
-    "zh_half": "concat(year(d), '年', if(month(d) < 7, '上半年', '下半年'), '增长')",
-    "en_quarter": "concat('Results Q', quarter(d), ' ', year(d), ' out')",
-    "year_context": "concat('Plans in ', year(d), ' made')",
-    "none": "'Nothing stated here'",
-    "amount": "concat('Cost rose to $', date_format(d, 'yyyy-MM-dd'))",
-}
-_GOLD_NAMES = list(_GOLD_TITLES)
+_MONTH, _YEAR = ("date_trunc('month', d)", "last_day(d)", "month"), ("make_date(year(d), 1, 1)", "make_date(year(d), 12, 31)", "year")
+_QUARTER = ("date_trunc('quarter', d)", "last_day(date_trunc('quarter', d) + INTERVAL 2 MONTH)", "month")
+_HALF = ("make_date(year(d), CASE WHEN month(d) < 7 THEN 1 ELSE 7 END, 1)", "CASE WHEN month(d) < 7 THEN make_date(year(d), 6, 30) ELSE make_date(year(d), 12, 31) END", "month")
+_DAY, _NONE = ("d", "d", "day"), None
+#: name of the pattern: (language, title in Spark SQL over d, (start, end, granularity) in DuckDB over d or None for no gold).
+_GOLD = {
+    "ymd_numeric": ("en", "concat('On ', date_format(d, 'yyyy-MM-dd'), ' it rained')", _DAY),
+    "en_mdy": ("en", "concat('Launch of ', date_format(d, 'MMMM d, yyyy'), ' seen')", _DAY),
+    "zh_md": ("zh-cn", "concat('会议', month(d), '月', day(d), '日举行')", _DAY),
+    "zh_half": ("zh-cn", "concat(year(d), '年', if(month(d) < 7, '上半年', '下半年'), '增长')", _HALF),
+    "en_quarter": ("en", "concat('Results Q', quarter(d), ' ', year(d), ' out')", _QUARTER),
+    "year_context": ("en", "concat('Plans in ', year(d), ' made')", _YEAR),
+    "none": ("en", "'Nothing stated here'", _NONE),
+    "amount": ("en", "concat('Cost rose to $', date_format(d, 'yyyy-MM-dd'))", _NONE),
+    "zh_ymd": ("zh-cn", "concat('会议', year(d), '年', month(d), '月', day(d), '日举行')", _DAY),
+    "en_my": ("en", "concat('Report of ', date_format(d, 'MMMM yyyy'), ' out')", _MONTH),
+    "zh_ym": ("zh-cn", "concat(year(d), '年', month(d), '月数据')", _MONTH),
+    "relative_day": ("en", "'Rain today in town'", _DAY),
+    "relative_month": ("en", "'The fair of this month'", _MONTH),
+    "relative_year": ("en", "'The plans of this year'", _YEAR),
+    "en_half": ("en", "concat('Review H', if(month(d) < 7, 1, 2), ' ', year(d), ' done')", _HALF),
+    "zh_quarter": ("zh-cn", "concat(year(d), '年第', substring('一二三四', quarter(d), 1), '季度增长')", _QUARTER),
+    "zh_month_only": ("zh-cn", "concat('会议', month(d), '月举行')", _MONTH),
+    "en_month_only": ("en", "concat('Talks in ', date_format(d, 'MMMM'))", _MONTH),
+    "search_dates": ("en", "concat('Census ', year(d), ' done')", _YEAR),
+    "band": ("en", "'The band The 1975 plays'", _NONE),
+    "pair": ("en", "concat('Season ', year(d), '/', year(d) + 1, ' ends')", _NONE),
+}
+_GOLD_NAMES = list(_GOLD)
 
 
 def _gold_records(spark, sf_dir) -> DataFrame:
     """Orders as news with a stated date; v1 events are the date plus key % 4 days, v2 events the date plus key % 3."""
     o = spread(_orders(spark, sf_dir)).select("o_orderkey", F.col("o_orderdate").alias("d"))
     turn = F.col("o_orderkey") % len(_GOLD_NAMES)
-    title = F.coalesce(*[F.when(turn == k, F.expr(t)) for k, t in enumerate(_GOLD_TITLES.values())])
+    title = F.coalesce(*[F.when(turn == k, F.expr(t)) for k, (_, t, _) in enumerate(_GOLD.values())])
     later = lambda n: F.col("d") + F.expr(f"make_dt_interval(cast(o_orderkey % {n} as int))")
     mode = F.when(F.col("o_orderkey") % 5 == 0, "fallback").otherwise("tier1")
-    lang = F.when(turn.isin(2, 3), "zh-cn").otherwise("en")
+    lang = F.when(turn.isin([k for k, (lang, _, _) in enumerate(_GOLD.values()) if lang != "en"]), "zh-cn").otherwise("en")
     rows = o.select(F.col("o_orderkey").alias("id"), title.alias("title"), F.col("d").alias("standard_timestamp"), lang.alias("lang"), mode.alias("parse_mode"), later(4).alias("e1"), later(3).alias("e2"))
     return rows
 
@@ -503,19 +521,25 @@ def _records(rows: DataFrame, event: str) -> DataFrame:
     return shared.withColumns({"event_time_start": F.col("event_timestamp"), "event_time_end": F.col("event_timestamp"), "time_granularity": F.lit("day")})
 
 
+def _told(part: int, name: str) -> str:
+    """What each kind of title says, by its number k, in DuckDB."""
+    quoted = (lambda x: f"'{x}'") if part == 2 else (lambda x: f"CAST({x} AS DATE)")
+    return "CASE k " + " ".join(f"WHEN {k} THEN {quoted(told[part])}" for k, (_, _, told) in enumerate(_GOLD.values()) if told) + f" END AS {name}"
+
+
+_ABROAD = ", ".join(str(k) for k, (lang, _, _) in enumerate(_GOLD.values()) if lang != "en")
 _G = f"""
-    g AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderkey % {len(_GOLD_NAMES)} AS k, CASE WHEN o_orderkey % {len(_GOLD_NAMES)} IN (2, 3) THEN 'zh-cn' ELSE 'en' END AS lang,
+    g AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, o_orderkey % {len(_GOLD)} AS k, CASE WHEN o_orderkey % {len(_GOLD)} IN ({_ABROAD}) THEN 'zh-cn' ELSE 'en' END AS lang,
                  CAST(o_orderdate AS DATE) + CAST(o_orderkey % 4 AS INT) AS e1, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 3 AS INT) AS e2 FROM orders),
-    v AS (SELECT *, k < 6 AS has, CASE WHEN k < 3 THEN d WHEN k = 3 THEN make_date(year(d), CASE WHEN month(d) < 7 THEN 1 ELSE 7 END, 1) WHEN k = 4 THEN CAST(date_trunc('quarter', d) AS DATE) ELSE make_date(year(d), 1, 1) END AS s,
-                 CASE WHEN k < 3 THEN d WHEN k = 3 THEN CASE WHEN month(d) < 7 THEN make_date(year(d), 6, 30) ELSE make_date(year(d), 12, 31) END WHEN k = 4 THEN CAST(last_day(date_trunc('quarter', d) + INTERVAL 2 MONTH) AS DATE) ELSE make_date(year(d), 12, 31) END AS e,
-                 CASE WHEN k < 3 THEN 'day' WHEN k < 5 THEN 'month' ELSE 'year' END AS gr FROM g)
+    v AS (SELECT *, k NOT IN ({", ".join(str(k) for k, (_, _, told) in enumerate(_GOLD.values()) if not told)}) AS has, {_told(0, "s")}, {_told(1, "e")}, {_told(2, "gr")} FROM g)
 """
 
 
 def _flags_sql(event: str) -> str:
     same = f"CASE gr WHEN 'day' THEN {event} = s WHEN 'month' THEN date_trunc('month', {event}) = date_trunc('month', s) ELSE year({event}) = year(s) END"
-    return f"""SELECT id, lang, CAST(has AS INT) AS ev, CAST(has AND {same} AS INT) AS ex, CAST(has AND CASE gr WHEN 'day' THEN abs({event} - s) <= 1 ELSE {same} END AS INT) AS re,
-               CAST(has AND {event} BETWEEN s AND e AS INT) AS rh, CAST(has AND s <> e AS INT) AS iv FROM v"""
+    flag = lambda test: f"CASE WHEN has AND {test} THEN 1 ELSE 0 END"
+    near = f"CASE gr WHEN 'day' THEN abs({event} - s) <= 1 ELSE {same} END"
+    return f"SELECT id, lang, has::INT AS ev, {flag(same)} AS ex, {flag(near)} AS re, {flag(f'{event} BETWEEN s AND e')} AS rh, {flag('s <> e')} AS iv FROM v"
 
 
 _MEASURES = """count(*) AS sample_count, sum(ev)::BIGINT AS evaluable_count, round(sum(ev) / count(*), 4) AS evaluable_coverage, round(sum(ex) / nullif(sum(ev), 0), 4) AS exact_accuracy,
@@ -544,9 +568,20 @@ def pattern_distribution(spark, sf_dir):
     return evaluate.distribution(flagged, F.col("gold.pattern")).select(F.explode("distribution").alias("pattern", "n"))
 
 
-@query()
+_CONFIDENCE = ", ".join(f"('{name}', '{confidence}')" for name, _, _, confidence in gold.GOLD_PATTERNS) + f", ('{gold.SEARCH}', 'low')"
+
+
+@query(f"""
+    WITH {_G}, f AS ({_flags_sql('e2')}),
+         n AS (SELECT (['{"', '".join(_GOLD_NAMES)}'])[CAST(k + 1 AS INT)] AS pattern, count(*) AS n FROM v WHERE has GROUP BY 1),
+         c AS (SELECT confidence, sum(n)::BIGINT AS n FROM n JOIN (VALUES {_CONFIDENCE}) c(pattern, confidence) USING (pattern) GROUP BY 1),
+         one AS (SELECT {_MEASURES} FROM f)
+    SELECT *, 1 AS day_tolerance, 'balanced' AS gold_mode,
+           (SELECT '{{' || string_agg('"' || pattern || '":' || n, ',' ORDER BY n DESC, pattern) || '}}' FROM n) AS pseudo_pattern_distribution,
+           (SELECT '{{' || string_agg('"' || confidence || '":' || n, ',' ORDER BY n DESC, confidence) || '}}' FROM c) AS pseudo_confidence_distribution FROM one
+""")
 def evaluation_summary(spark, sf_dir):
-    """One row of measures with maps of patterns and confidences; the parts are checked by the queries before."""
+    """One row of measures with maps of patterns and confidences, most frequent first."""
     out = evaluate.summary(evaluate.evaluated(_records(_gold_records(spark, sf_dir), "e2")))
     return out.withColumns({c: F.to_json(c) for c in ("pseudo_pattern_distribution", "pseudo_confidence_distribution")})
 

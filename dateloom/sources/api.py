@@ -62,6 +62,35 @@ def page_url(base: str, query: str, begin: str, end: str, page: int, key: str =
     return f"{base}?{urllib.parse.urlencode(wanted | ({'api-key': key} if key else {}))}"
 
 
+def whole_window(url_of, start: int, end: int, read, most: int = 250, least: int = 60):
+    """The records of a window (seconds from start to end, both included) of an API that returns `most` at once.
+
+    url_of(start, end) names a request and read(url) gives its records, or None if it failed. A full reply may have lost
+    some, so its window is cut in two, down to `least` seconds. ValueError if a request fails, or if one so short is full:
+    nothing is lost without a word.
+    """
+    found = read(url_of(start, end))
+    if found is None:
+        raise ValueError(f"the window {start} to {end} could not be read")
+    if len(found) < most:
+        return list(found)
+    if end - start < least:
+        raise ValueError(f"over {most} records between {start} and {end}")
+    middle = (start + end) // 2
+    return whole_window(url_of, start, middle, read, most, least) + whole_window(url_of, middle + 1, end, read, most, least)
+
+
+def all_pages(url_of, read, most: int = 5) -> list:
+    """The records of the pages 0, 1, ... of a search, up to `most` pages or the first that is empty or fails."""
+    found: list = []
+    for page in range(most):
+        records = read(url_of(page))
+        if not records:
+            break
+        found += records
+    return found
+
+
 @dataclass
 class _Url(InputPartition):
     url: str

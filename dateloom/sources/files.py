@@ -48,13 +48,29 @@ def jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int
 
 def json_array(spark: SparkSession, path: str, ddl: str = STAGED_DDL, required: bool = False) -> DataFrame:
     """Rows of a file that holds one JSON array; an unreadable file gives none, or ValueError if rows are required."""
-    rows = spark.read.schema(f"{ddl}, _corrupt_record string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record").cache()
-    good = rows.where("_corrupt_record is null").drop("_corrupt_record")
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<struct<{_fields(ddl)}>>", {"mode": "PERMISSIVE"})).alias("r"))
+    good = rows.where("r is not null").select("r.*")
     if required and good.isEmpty():
         raise ValueError(f"no rows in {path}")
     return good
 
 
+def _fields(ddl: str) -> str:
+    """'a int, b string' as the fields of a struct."""
+    return ", ".join(":".join(c.split(None, 1)) for c in ddl.split(", "))
+
+
+def data_folder(spark: SparkSession, *paths: str) -> str:
+    """The first of the paths that is there; if none is, the last, which is made."""
+    conf = spark._jsc.hadoopConfiguration()
+    folders = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    for path, folder in zip(paths, folders):
+        if folder.getFileSystem(conf).exists(folder):
+            return path
+    folders[-1].getFileSystem(conf).mkdirs(folders[-1])
+    return paths[-1]
+
+
 def listed_exports(lines: DataFrame, first: str, last: str, column: str = "value") -> DataFrame:
     """(url, day) of the export files in lines 'size hash url' whose day, yyyyMMdd, is within first and last."""
     parts = F.split(strip(F.col(column)), r"\s+")
@@ -103,5 +119,6 @@ def feed_items(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def source_id(prefix: str, url: Column) -> Column:
-    """A key that is the same in every run, where a random one would change when a task is run again."""
-    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(url, 256), 1, 8))
+    """A key that is the same in every run, where a random one would change when a task is run again: 128 bits of a hash, so
+    that strangers never share it."""
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(url, 256), 1, 32))

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dateloom.functions.dates import mail_time, standard_time
 from dateloom.sinks import append_new
 from dateloom.sources.feeds import with_required
+from dateloom.tables import small
 
 
 def json_stream(spark: SparkSession, folder: str, ddl: str, files: int = 100) -> DataFrame:
@@ -29,12 +30,17 @@ def standardised_stream(rows: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def append_stream(rows: DataFrame, target: str, checkpoint: str, key: str = "url") -> StreamingQuery:
-    """Each batch's unknown keys appended to the Parquet table at target; a batch that is run again adds nothing twice."""
+    """Each batch's unknown keys appended to the Parquet table at target; a batch that is run again adds nothing twice.
+
+    Of the target only the key column is read, and of that only the keys of the batch go on, where those are few enough to
+    be broadcast.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         there = spark._jvm.org.apache.hadoop.fs.Path(target)
         known = spark.read.schema(batch.schema).parquet(target) if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there) else spark.createDataFrame([], batch.schema)
+        known = known.select(key).join(small(batch.select(key).distinct()), key, "left_semi")
         append_new(known, batch, key).write.mode("append").parquet(target)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,7 +12,7 @@ from dateloom.functions import dates as D
 from dateloom.operators import clusters, evaluate, sampling, timeline
 from dateloom.operators.components import connected_components
 from dateloom.schema import backfill_events, evolve, identifier
-from dateloom.sources import api, feeds, files
+from dateloom.sources import api, feeds, files, models
 from dateloom.streaming import ingest
 
 ANCHOR = "2026-03-20 13:19:34"
@@ -122,6 +122,73 @@ def test_retry():
     assert "fl=headline" in api.page_url("http://a", "q", "1", "2", 0)
 
 
+def test_full_windows_are_cut():
+    records = [*range(0, 1000, 10), *[500] * 3]
+    read = lambda w: [r for r in records if w[0] <= r <= w[1]][:20]
+    assert sorted(api.whole_window(lambda a, b: (a, b), 0, 999, read, 20)) == sorted(records)
+    with pytest.raises(ValueError):
+        api.whole_window(lambda a, b: (a, b), 0, 999, lambda w: [0] * 20, 20)
+    with pytest.raises(ValueError):
+        api.whole_window(lambda a, b: (a, b), 0, 999, lambda w: None, 20)
+
+
+def test_pages_end():
+    asked = []
+    read = lambda p: asked.append(p) or ([p] * 2 if p < 2 else [])
+    assert api.all_pages(lambda p: p, read) == [0, 0, 1, 1] and asked == [0, 1, 2]
+    assert len(api.all_pages(lambda p: p, lambda p: [p])) == 5
+
+
+def test_models(spark):
+    sent = []
+
+    def send(replies):
+        left = iter(replies)
+        return lambda url, payload: sent.append(payload) or next(left)
+
+    said = {"message": {"content": " yes "}, "eval_count": 10, "eval_duration": 2_000_000_000}
+    assert models.chatted("m", "s", "p", "u", send([{"message": {"content": ""}}, said]))[0] == "yes"
+    assert [x["messages"][1]["content"] for x in sent] == ["p", "/no_think\np"]
+    with pytest.raises(models.EmptyReply):
+        models.chatted("m", "s", "p", "u", send([{}, {}]))
+    with pytest.raises(RuntimeError):
+        models.chatted("m", "s", "p", "u", send([{"error": "no such model"}]))
+    assert models.generated("m", "p", "u", send([{"response": " r ", "done": True}])) == "r"
+    for bad in ({"response": "r", "done": False}, {"response": " "}):
+        with pytest.raises(models.EmptyReply):
+            models.generated("m", "p", "u", send([bad]))
+    text, cost = models.measured(lambda: models.chatted("m", "s", "p", "u", send([said])))
+    assert text == "yes" and cost.tokens_per_second == 5 and cost.seconds >= 0 and cost.peak_mb > 1
+    assert models.measured(lambda: ("x", {}))[1].tokens_per_second is None
+
+
+def test_data_folder(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    there, other = str(tmp_path / "b"), str(tmp_path / "c")
+    assert files.data_folder(spark, str(tmp_path / "a"), there, other) == there
+    assert files.data_folder(spark, str(tmp_path / "a"), other) == other and (tmp_path / "c").is_dir()
+
+
+def test_scans(spark):
+    df = spark.createDataFrame([("1", "t", None, datetime(2026, 1, 1)), ("2", "", "20250601", None), ("3", "u", "", None), ("4", "v", "x", datetime(2026, 1, 2))], "id string, title string, raw_time string, standard_timestamp timestamp_ntz")
+    assert files.raw_news(df).columns == ["id", "title", "raw_time", "standard_timestamp", "source", "url", "true_order", "is_noise"]
+    assert {r.id for r in files.standardised(df).collect()} == {"1", "4"} and {r.id for r in files.unstandardised(df).collect()} == {"2"}
+    assert {r.id for r in files.evaluable_news(df).collect()} == {"1", "4"} and files.evaluable_news(df, 1).count() == 1
+
+
+def test_batched_cursor(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(1, 41).withColumn("v", F.col("id") * 2).write.jdbc(url, "numbers", mode="overwrite")
+    assert spark.read.jdbc(url, "numbers").count() == 40
+    assert files.jdbc(spark, url, "numbers", "id", 1, 41, 4, 5).rdd.getNumPartitions() == 4
+
+
+def test_embedder(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, None), (3, "a")], "id int, title string")
+    out = {r.id: r.vector for r in clusters.batches_of(df, "title", lambda: lambda texts: [[len(t), 1] for t in texts]).collect()}
+    assert out == {1: [2.0, 1.0], 2: [0.0, 1.0], 3: [1.0, 1.0]}
+
+
 def test_checkpoints(spark):
     ts = lambda c: F.col(c).cast("timestamp_ntz")
     bounds = spark.createDataFrame([("a", "2025-06-01 00:00:00", "2025-06-20 00:00:00"), ("b", "2025-06-02 00:00:00", "2025-06-01 00:00:00")], "source string, s string, e string").select("source", ts("s").alias("start"), ts("e").alias("stop"))
