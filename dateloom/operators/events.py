@@ -27,6 +27,7 @@ from dateloom.functions.dates import (
 )
 from dateloom.functions.lang import language
 from dateloom.functions.text import ascii_width, group, has, matches, prefer_hint
+from dateloom.tables import Steps
 
 _CANDIDATE = "array<struct<text:string,start:int,ord:int>>"
 
@@ -154,7 +155,7 @@ def _two_digit_end(text: Column) -> tuple[Column, Column]:
     return first, F.when(F.char_length(last) == 2, F.when(short < first, short + 100).otherwise(short)).otherwise(integer(last)).cast("int")
 
 
-def with_span(rows: DataFrame, point: str, text: str, corrected: bool = False) -> DataFrame:
+def with_span(rows: Steps, point: str, text: str, corrected: bool = False) -> Steps:
     """Adds _span, struct<start, end, granularity>: what a candidate means around its point, by ordered rules; a day if
     none fits. rows have the columns of span_parts under their names with _p_ before.
 
@@ -183,7 +184,7 @@ def with_span(rows: DataFrame, point: str, text: str, corrected: bool = False) -
     if corrected:
         full = has(t, P.FULL_DATE) | has(t, P.NUMERIC_DMY) | has(t, P.EN_DMY)
         rules.insert(0, F.when(full, rules[-1]))
-    return rows.withColumn("_span", F.when(at.isNotNull(), F.coalesce(*rules))).drop("_named", "_r_named", "_r_years", "_r_month", "_r_year", "_r_day")
+    return rows.withColumn("_span", F.when(at.isNotNull(), F.coalesce(*rules)))
 
 
 def says_year(text: Column) -> Column:
@@ -280,14 +281,19 @@ def snap_span(point: Column, text: Column) -> Column:
     return F.when(kind.isNotNull(), range_by(point, kind))
 
 
-def parsed(rows: DataFrame, corrected: bool = False) -> DataFrame:
+def parsed(rows: DataFrame, corrected: bool = False, steps: Steps | None = None) -> DataFrame:
+    """Adds event (see parse_steps, which may be made before) to rows (text, base, lang, hint); an event that is there is replaced."""
+    return (steps or parse_steps(corrected)).added_to(rows, [*(c for c in rows.columns if c != "event"), "event"])
+
+
+def parse_steps(corrected: bool = False) -> Steps:
     """Adds event (struct<anchor, start, end, granularity, candidate_text>) to rows (text, base, lang, hint).
 
     The first reading of the text that is plausible gives its point; a Chinese month and day that is not plausible ends
     the search. The point is kept as anchor if it lies in the span that the text means, else the span's own anchor is.
     Each step adds flat columns that the next ones read, so that no expression is repeated.
     """
-    known = [c for c in rows.columns if c != "event"]
+    rows = Steps()
     text, base, hint, lang = (F.col(c) for c in ("_text", "base", "hint", "lang"))
     zh, latin = F.col("_zh"), F.col("_latin")
     rows = rows.withColumn("_text", ascii_width(F.col("text")))
@@ -344,8 +350,7 @@ def parsed(rows: DataFrame, corrected: bool = False) -> DataFrame:
     rows = with_span(rows, "_point", "_text", corrected)
     rows = rows.withColumn("_anchor", F.when(F.col("_point").between(F.col("_span.start"), F.col("_span.end")), F.col("_point")).otherwise(anchored(F.col("_span"))))
     event = F.struct(F.col("_anchor").alias("anchor"), F.col("_span.start").alias("start"), F.col("_span.end").alias("end"), F.col("_span.granularity").alias("granularity"), text.alias("candidate_text"))
-    rows = rows.withColumn("event", F.when(F.col("_point").isNotNull(), event))
-    return rows.select(*known, "event")
+    return rows.withColumn("event", F.when(F.col("_point").isNotNull(), event))
 
 
 # --- tiers --------------------------------------------------------------------------------------------------------------
@@ -385,10 +390,11 @@ def extract(titles: DataFrame, corrected: bool = False, tagged: str | None = Non
     kind = "array<struct<last:int,rank:int,start:int,ord:int,text:string>>"
     ranked = F.when(F.size("_found") > 1, F.array_sort(scored.cast(kind))).otherwise(F.coalesce(unscored.cast(kind), F.array().cast(kind)))
     rows = rows.withColumn("_all", F.when(usable, F.concat(ranked, F.array(whole).cast(kind)))).drop("_found", "_title")
-    rows = parsed(rows.withColumns({"_first": F.get("_all", 0), "text": F.get("_all", 0)["text"]}), corrected).withColumnRenamed("event", "_event")
+    steps = parse_steps(corrected)
+    rows = parsed(rows.withColumns({"_first": F.get("_all", 0), "text": F.get("_all", 0)["text"]}), steps=steps).withColumnRenamed("event", "_event")
     rest = F.when(F.col("_event").isNull() & (F.size("_all") > 1), F.slice("_all", 2, F.size("_all")))
     rows = rows.withColumn("_c", F.explode_outer(rest)).drop("_all").withColumn("text", F.col("_c.text"))
-    rows = parsed(rows, corrected)
+    rows = parsed(rows, steps=steps)
     event, chosen = F.coalesce("_event", "event"), F.when(F.col("_event").isNotNull(), F.col("_first")).otherwise(F.col("_c"))
     rank = F.when(event.isNotNull(), F.struct(chosen["last"], chosen["rank"], chosen["start"], chosen["ord"]))
     best = F.min_by(F.struct(event.alias("event"), chosen["last"].alias("last")), rank)

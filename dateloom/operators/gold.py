@@ -9,6 +9,7 @@ from dateloom.functions import patterns as P
 from dateloom.functions.dates import day, floor_by, half_span, integer, month_number, overlap, quarter_number, quarter_span, range_by, span, year_near, years_span, ymd
 from dateloom.functions.text import group, has, matches, prefer_hint
 from dateloom.operators.events import grammar_point
+from dateloom.tables import Steps
 
 # --- fixed values: pattern name, pattern, granularity, confidence; the first six are all that strict mode knows -------
 M, Y = P.MONTH, P.YEAR
@@ -93,9 +94,10 @@ def _searched(title: Column, mode: str) -> Column:
     return F.transform(F.slice(F.filter(matches(title, SEARCHED), fit), 1, 1), shaped)
 
 
-def gold_rows(rows: DataFrame) -> DataFrame:
+def gold_steps() -> Steps:
     """Adds gold (struct<value, range_start, range_end, granularity, source_text, pattern, confidence>) to rows (c, base, hint, lang);
     null where the candidate c does not parse."""
+    rows = Steps()
     text, pattern = F.col("c.text"), F.col("c.pattern")
     base, hint, lang = F.col("base"), F.col("hint"), F.col("lang")
     part = lambda p, k: integer(group(text, p, k))
@@ -128,7 +130,7 @@ def gold_rows(rows: DataFrame) -> DataFrame:
     value = F.coalesce(F.when(F.col("_fuzzy").isNotNull() & ~pattern.isin(*_WITHOUT_GRAMMAR), F.col("_fuzzy")), F.col("_range.start"))
     stamp = lambda c: c.cast("timestamp_ntz")
     gold = F.struct(stamp(value).alias("value"), stamp(F.col("_range.start")).alias("range_start"), stamp(F.col("_range.end")).alias("range_end"), F.col("c.granularity").alias("granularity"), text.alias("source_text"), pattern.alias("pattern"), F.col("c.confidence").alias("confidence"))
-    return rows.withColumn("gold", F.when(F.col("_range").isNotNull(), gold)).drop("_md_year", "_stated", "_grammar", "_fuzzy", "_range")
+    return rows.withColumn("gold", F.when(F.col("_range").isNotNull(), gold))
 
 
 def with_gold(records: DataFrame, mode: str = "balanced") -> DataFrame:
@@ -140,9 +142,10 @@ def with_gold(records: DataFrame, mode: str = "balanced") -> DataFrame:
     base = F.col("standard_timestamp").cast("timestamp_ntz")
     title = F.coalesce("title", F.lit(""))
     rows = records.select(F.monotonically_increasing_id().alias("_row"), F.struct(*keep).alias("_kept"), base.alias("base"), prefer_hint(title).alias("hint"), "lang", F.when((title != "") & base.isNotNull() & title.rlike(P.MAY_HOLD), gold_candidates(title, mode)).alias("_all"))
-    rows = gold_rows(rows.withColumn("c", F.get("_all", 0))).withColumnRenamed("gold", "_gold")
+    steps = gold_steps()
+    rows = steps.added_to(rows.withColumn("c", F.get("_all", 0)), ["_row", "_kept", "base", "hint", "lang", "_all", F.col("gold").alias("_gold")])
     rest = F.when(F.col("_gold").isNull() & (F.size("_all") > 1), F.slice("_all", 2, F.size("_all")))
-    rows = gold_rows(rows.drop("c").withColumn("c", F.explode_outer(rest)).drop("_all"))
+    rows = steps.added_to(rows.withColumn("c", F.explode_outer(rest)).drop("_all"), ["_row", "_kept", "_gold", "c", "gold"])
     gold = F.coalesce("_gold", "gold")
     rank = F.struct(F.col("_gold").isNull(), *[F.col("c." + n) for n in ("confidence_rank", "granularity_rank", "pattern_rank", "start", "length", "ord")])
     return rows.groupBy("_row").agg(F.first("_kept").alias("_kept"), F.min_by(gold, F.when(gold.isNotNull(), rank)).alias("gold")).select("_kept.*", "gold")

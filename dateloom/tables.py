@@ -57,6 +57,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+class Steps(list):
+    """Columns to be added step by step, written like a DataFrame's own and made once for several DataFrames: making
+    thousands of expressions takes longer than planning them."""
+
+    def withColumn(self, name: str, column: Column) -> Steps:
+        return self.withColumns({name: column})
+
+    def withColumns(self, columns: dict[str, Column]) -> Steps:
+        self.append(columns)
+        return self
+
+    def added_to(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """rows with all columns added, of which those to keep stay."""
+        for columns in self:
+            rows = rows.withColumns(columns)
+        return rows.select(*keep)
+
+
 def first_n(rows: DataFrame, by: list[str], order: list, n: int | Column, salts: int = 64) -> DataFrame:
     """The first n rows of each group in an order that tells all rows of a group apart; n may be a column.
 
