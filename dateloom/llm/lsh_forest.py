@@ -398,13 +398,19 @@ def _texts(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFra
 
 
 def _with_text(pairs: DataFrame, texts: DataFrame, end: str) -> DataFrame:
-    """pairs with the text of one end. A node of many pairs is dealt by the other end, HUB pairs to a key; its text is sent to each."""
+    """pairs with the text of one end. A node of many pairs is dealt by the other end, HUB pairs to a key; its text is sent to each.
+
+    Bare pairs are gathered by key first, so that a text meets a key once and not each of its pairs.
+    """
     other = "b" if end == "a" else "a"
     hubs = written(pairs.groupBy(end).agg(F.ceil(F.count("*") / HUB).cast("int").alias("_deals")).where("_deals > 1"), "hubs")
     dealt = pairs.join(small(hubs), end, "left").withColumn("_deal", F.pmod(F.xxhash64(other), F.coalesce("_deals", F.lit(1))).cast("int")).drop("_deals")
     sent = texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")).join(small(hubs), end, "left")
     sent = sent.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
-    return dealt.join(sent, [end, "_deal"]).drop("_deal")
+    if set(pairs.columns) != {"a", "b"}:
+        return dealt.join(sent, [end, "_deal"]).drop("_deal")
+    gathered = dealt.groupBy(end, "_deal").agg(F.collect_list(other).alias("_others"))
+    return gathered.join(sent, [end, "_deal"]).select(end, F.explode("_others").alias(other), f"text_{end}")
 
 
 def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
