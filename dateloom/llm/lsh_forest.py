@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ CARRIED = 512
 DEEPER, CROWD = (8, 14, 20, 26), 256
 #: Pairs of a node from which its text is sent to several tasks.
 HUB = 64
+#: Nodes of a block in which the pairs of a crowd are confirmed; pairs of a node, on average, beyond which nodes are a crowd.
+BLOCK, DENSE = 128, 8
 #: Trees of the first pass, in which only direct neighbours are compared.
 FIRST_TREES = 4
 _HASHED = "doc_id long, n_shingles long, digest binary, signature binary, text_key long"
@@ -161,6 +164,31 @@ def _at_cut(forest: Forest, window: int):
     return run
 
 
+def _near_sets(x: np.ndarray, y: np.ndarray, forest: Forest) -> bool:
+    """Whether two sorted sets are as alike as asked."""
+    x, y = (x, y) if len(x) >= len(y) else (y, x)
+    if not len(y) or 100 * len(y) < forest.percent * len(x):
+        return False
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return common > 0 and 100 * common >= forest.percent * (len(x) + len(y) - common)
+
+
+class _Joined(dict):
+    """What links have joined so far: a name, or its first, leads to the one that stands for all."""
+
+    def top(self, x):
+        while (up := self.get(x, x)) != x:
+            self[x] = x = self.get(up, up)
+        return x
+
+    def join(self, x, y) -> None:
+        self[self.top(x)] = self.top(y)
+
+
+def _sets_of(rows: pa.Table, forest: Forest) -> list[np.ndarray]:
+    return [found for batch in rows.select(["text"]).combine_chunks().to_batches() for found in kernels.shingle_sets(*kernels.string_buffers(batch.column("text")), forest.shingle)]
+
+
 def _confirmed(forest: Forest):
     def run(batches):
         for batch in batches:
@@ -168,10 +196,7 @@ def _confirmed(forest: Forest):
                 continue
             left = kernels.shingle_sets(*kernels.string_buffers(batch.column("text_a")), forest.shingle)
             right = kernels.shingle_sets(*kernels.string_buffers(batch.column("text_b")), forest.shingle)
-            keep = []
-            for x, y in zip(left, right):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= forest.percent * (len(x) + len(y) - common))
+            keep = [_near_sets(x, y, forest) for x, y in zip(left, right)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -220,24 +245,29 @@ def _bound(forest: Forest, hashes: int) -> float:
 
 
 def _crossing(forest: Forest):
-    """Pairs (outsider, member) of a region's block, of different components, that the sketches call alike, and how much."""
+    """Links of a region's block that join the components of (outsider, member) pairs: those that the sketches call alike are
+    confirmed on full sets where nothing has joined their components yet, so there are fewer links than rows."""
     bound = _bound(forest, SKETCH)
 
     def run(key, outside: pa.Table, inside: pa.Table) -> pa.Table:
-        found = []
+        found, joined = [], _Joined()
         if outside.num_rows and inside.num_rows:
             matrix = lambda t: np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
             many, size = matrix(inside), inside.column("n_shingles").to_numpy()
             node, root = inside.column("node").to_pylist(), np.array(inside.column("root").to_pylist(), object)
             majority = inside.column("majority")[0].as_py()
-            rows = zip(matrix(outside), outside.column("n_shingles").to_pylist(), outside.column("node").to_pylist(), outside.column("root").to_pylist())
-            for sketch, n, name, own in rows:
+            sets = _sets_of(inside, forest)
+            rows = zip(matrix(outside), outside.column("n_shingles").to_pylist(), outside.column("node").to_pylist(), outside.column("root").to_pylist(), _sets_of(outside, forest))
+            for sketch, n, name, own, mine in rows:
                 maybe = np.flatnonzero((100 * np.minimum(size, n) >= forest.percent * np.maximum(size, n)) & (root != own))
                 alike = (many[maybe] == sketch).mean(axis=1)
-                for i, x in zip(maybe[alike >= bound], alike[alike >= bound]):
-                    if root[i] == majority or name < node[i]:
-                        found.append(_maybe(name, node[i], own, root[i], x))
-        return pa.table(_columns_of(found))
+                maybe, alike = maybe[alike >= bound], alike[alike >= bound]
+                for i in maybe[np.argsort(-alike, kind="stable")]:
+                    if (root[i] == majority or name < node[i]) and joined.top(own) != joined.top(root[i]) and _near_sets(mine, sets[i], forest):
+                        joined.join(own, root[i])
+                        found.append((name, node[i]) if name < node[i] else (node[i], name))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return run
 
@@ -313,18 +343,18 @@ def _grouped(forest: Forest):
     return run
 
 
-def _in_blocks(rows: DataFrame, sketches: DataFrame, forest: Forest) -> DataFrame:
-    """Candidates between components within regions (key, node, majority, n, outsiders): members times rows of other components
+def _in_blocks(rows: DataFrame, sketches: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
+    """Links between components within regions (key, node, majority, n, outsiders): members times rows of other components
     than the most frequent, in blocks of CROWD."""
     count = lambda c: F.ceil(F.col(c) / CROWD).cast("int")
-    rows = rows.withColumns({"members": count("n"), "others": count("outsiders")}).join(sketches, "node")
+    rows = rows.withColumns({"members": count("n"), "others": count("outsiders")}).join(sketches.join(texts, "node"), "node")
     split = lambda many: F.pmod(F.xxhash64("node"), many).cast("int")
     every = lambda many: F.explode(F.sequence(F.lit(0), many - 1))
     inside = rows.withColumn("i", split(F.col("members"))).withColumn("k", every(F.col("others")))
     outside = rows.where("root <> majority").withColumn("k", split(F.col("others"))).withColumn("i", every(F.col("members")))
-    columns = ["key", "i", "k", "node", "n_shingles", "sketch", "root", "majority"]
+    columns = ["key", "i", "k", "node", "n_shingles", "sketch", "text", "root", "majority"]
     inside = inside.select(*[F.col(c).alias(c) for c in columns])
-    return outside.select(columns).groupBy("key", "i", "k").cogroup(inside.groupBy("key", "i", "k")).applyInArrow(_crossing(forest), _MAYBE)
+    return outside.select(columns).groupBy("key", "i", "k").cogroup(inside.groupBy("key", "i", "k")).applyInArrow(_crossing(forest), _PAIRS)
 
 
 def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
@@ -342,10 +372,10 @@ def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFram
     rows = written(rows.join(small(groups), "key"), "crowd")
     if rows.isEmpty():
         return rows.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    texts = _texts(rows.select("node").distinct(), nodes, documents)
+    texts = written(_texts(rows.select("node").distinct(), nodes, documents), "texts")
     sketches = texts.mapInArrow(frugal(_sketched(forest)), "node binary, sketch binary").join(nodes.select("node", "n_shingles", "root"), "node")
     sketches = written(sketches, "sketches")
-    found = []
+    found, crossing = [], []
     for depth in (0, *DEEPER):
         if depth:
             groups = written(several(sketches.mapInArrow(frugal(_keyed(forest, depth, False)), _KEYED)), "groups")
@@ -357,15 +387,16 @@ def _crowded(nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFram
         majority = written(shares.groupBy("key").agg(F.max_by("root", F.struct("share", "root")).alias("majority"), (F.sum("share") - F.max("share")).alias("outsiders")), "majority")
         rows = rows.drop("root").join(small(majority), "key")
         now = rows if depth == DEEPER[-1] else rows.where(F.col("outsiders") <= CROWD)
-        found.append(written(_in_blocks(now, sketches, forest), "crossing"))
+        crossing.append(written(_in_blocks(now, sketches, texts, forest), "crossing"))
         left = written(rows.where(F.col("outsiders") > CROWD).select("node").distinct(), "left")
         if depth == DEEPER[-1] or left.isEmpty():
             break
         sketches = written(sketches.join(small(left), "node"), "sketches")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return _between(every.groupBy("a", "b", "root_a", "root_b").agg(F.max("alike").alias("alike")), nodes, documents, forest)
+    links = reduce(DataFrame.unionByName, crossing).distinct()
+    if not found:
+        return links
+    maybe = reduce(DataFrame.unionByName, found).groupBy("a", "b", "root_a", "root_b").agg(F.max("alike").alias("alike"))
+    return links.unionByName(_between(maybe, nodes, documents, forest))
 
 
 def _between(maybe: DataFrame, nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
@@ -413,11 +444,51 @@ def _with_text(pairs: DataFrame, texts: DataFrame, end: str) -> DataFrame:
     return gathered.join(sent, [end, "_deal"]).select(end, F.explode("_others").alias(other), f"text_{end}")
 
 
+def _gathered(forest: Forest):
+    """Links of a block that join its nodes: rows of one end with their others, and the texts of all of these."""
+
+    def run(key, ends: pa.Table, others: pa.Table) -> pa.Table:
+        found, joined = [], _Joined()
+        known = dict(zip(others.column("a").to_pylist(), _sets_of(others, forest)))
+        for b, near, mine in zip(ends.column("b").to_pylist(), ends.column("others").to_pylist(), _sets_of(ends, forest)):
+            for a in near:
+                if joined.top(a) != joined.top(b) and _near_sets(known[a], mine, forest):
+                    joined.join(a, b)
+                    found.append((a, b))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, forest: Forest) -> DataFrame:
-    """The pairs whose full sets are as alike as asked; each node's text is read again from the documents."""
-    pairs = written(pairs, "pairs")
-    texts = _texts(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), nodes, documents)
-    both = _with_text(_with_text(pairs, texts, "a"), texts, "b")
+    """Of the pairs whose full sets are as alike as asked enough to join all that they join; texts are read again from the documents.
+
+    Pairs are held as a node with its others. Nodes whose pairs lead to the same smallest node are a crowd; where it has many
+    pairs, it is cut into blocks of BLOCK nodes, and a text goes to a block once, not to each of its pairs.
+    """
+    near = written(pairs.groupBy("b").agg(F.collect_set("a").alias("others")).withColumn("key", F.array_min("others")), "pairs")
+    texts = written(_texts(near.select(F.col("b").alias("node")).union(near.select(F.explode(F.array_distinct("others")).alias("node"))).distinct(), nodes, documents), "texts")
+    if near.where(F.size("others") > DENSE).limit(BLOCK).count() < BLOCK:
+        return _pair_links(near.select(F.explode("others").alias("a"), "b"), texts, forest)
+    for _ in range(3):
+        step = small(near.select(F.col("b").alias("key"), F.col("key").alias("onward")))
+        near = written(near.join(step, "key", "left").withColumn("key", F.coalesce("onward", "key")).drop("onward"), "keys")
+    crowds = near.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.size("others")).alias("pairs")).where((F.col("n") >= BLOCK // 2) & (F.col("pairs") > DENSE * F.col("n")))
+    crowds = written(crowds.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowds")
+    few = near.join(small(crowds), "key", "left_anti").select(F.explode("others").alias("a"), "b")
+    ends = near.join(small(crowds), "key").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")).select("key", "block", "b", "others")
+    others = ends.groupBy("key", "block").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")).select("key", "block", F.explode("others").alias("a"))
+    others = others.join(texts.withColumnRenamed("node", "a"), "a")
+    others = others.select(*[F.col(c).alias(c) for c in ("key", "block", "a", "text")])
+    ends = ends.join(texts.withColumnRenamed("node", "b"), "b").select("key", "block", "b", "others", "text")
+    many = ends.groupBy("key", "block").cogroup(others.groupBy("key", "block")).applyInArrow(_gathered(forest), _PAIRS)
+    return written(many, "links").unionByName(_pair_links(few, texts, forest))
+
+
+def _pair_links(pairs: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
+    """The pairs whose full sets are as alike as asked."""
+    both = _with_text(_with_text(written(pairs, "few"), texts, "a"), texts, "b")
     return written(both.mapInArrow(frugal(_confirmed(forest)), _PAIRS), "links")
 
 

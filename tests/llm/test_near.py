@@ -163,3 +163,62 @@ def test_candidates_reach_their_recall():
     """Of random pairs at the threshold, nearly all share the least depth in some tree."""
     f = Forest(3, 85)
     assert (1 - 0.85**f.least_depth) ** f.trees < 1e-4
+
+
+def crowd(n, share, seed=33):
+    """Texts that straddle the threshold, with the pairs of all of them."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+    rows = [(i, " ".join(f"x{rng.randint(0, 10**9)}" if rng.random() < share else w for w in base)) for i in range(n)]
+    return rows, [(bytes([i // 256, i % 256]), bytes([j // 256, j % 256])) for j in range(n) for i in range(j)]
+
+
+def tops(links, names):
+    from dateloom.llm.lsh_forest import _Joined
+
+    joined = _Joined()
+    for a, b in links:
+        joined.join(a, b)
+    groups = {}
+    for x in names:
+        groups.setdefault(joined.top(x), set()).add(x)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_pairs_of_a_crowd_meet_in_blocks(spark, documents, monkeypatch):
+    """What a crowd is joined by has fewer rows than the crowd, and no join has a row for each pair."""
+    import dateloom.llm.lsh_forest as L
+
+    rows, pairs = crowd(150, 0.022)
+    f = Forest(3, 85)
+    docs = documents(rows).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    name = {i: bytes([i // 256, i % 256]) for i, _ in rows}
+    keys = {r.doc_id: r.text_key for r in docs.collect()}
+    nodes = spark.createDataFrame([(name[i], i, keys[i]) for i, _ in rows], "node binary, rep_id long, text_key long")
+    seen, inner = [], L._with_text
+    monkeypatch.setattr(L, "_with_text", lambda pairs, *more: seen.append(pairs.count()) or inner(pairs, *more))
+    out = [(r.a, r.b) for r in L._links(spark.createDataFrame([(bytes(a), bytes(b)) for a, b in pairs], "a binary, b binary"), nodes, docs, f).collect()]
+    sets = [shingles(t, 3) for _, t in rows]
+    every = [(name[i], name[j]) for j in range(150) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    out = [(bytes(a), bytes(b)) for a, b in out]
+    assert set(out) <= set(every) and tops(out, name.values()) == tops(every, name.values())
+    assert len(out) < 2 * len(rows) < len(every) and max(seen, default=0) < len(rows)
+
+
+def test_a_block_makes_fewer_links_than_rows():
+    import pyarrow as pa
+
+    from dateloom.llm import lsh_forest as L
+
+    rows, _ = crowd(60, 0.01)
+    f = Forest(3, 85)
+    nodes = [bytes([i]) for i, _ in rows]
+    table = pa.table({"node": pa.array(nodes, pa.binary()), "text": [t for _, t in rows]})
+    [sketches] = L._sketched(f)(iter(table.to_batches()))
+    table = table.append_column("sketch", sketches.column("sketch")).append_column("root", pa.array(nodes, pa.binary()))
+    sets = [shingles(t, 3) for _, t in rows]
+    table = table.append_column("n_shingles", pa.array([len(x) for x in sets], pa.int64())).append_column("majority", pa.array([nodes[0]] * 60, pa.binary()))
+    out = L._crossing(f)((1, 0, 0), table.slice(1), table)
+    found = list(zip(out.column("a").to_pylist(), out.column("b").to_pylist()))
+    every = [(nodes[i], nodes[j]) for j in range(60) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    assert set(found) <= set(every) and tops(found, nodes) == tops(every, nodes) and len(found) < 60 < len(every)
