@@ -43,9 +43,11 @@ def matches(text: Column, pattern: str) -> Column:
 
     Where the text between matches is known, offsets are sums of lengths, so no UDF is needed.
     """
-    found, between = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.char_length(x))
-    located = F.transform(found, lambda m, i: F.struct(strip(m).alias("text"), (total(F.slice(between, 1, i + 1)) + total(F.slice(found, 1, i))).alias("start")))
+    start = lambda x, i: total(F.slice(x["between"], 1, i + 1)) + total(F.slice(x["found"], 1, i))
+    # bound: a lambda's code reads again for each match what it names from outside
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("between"))
+    located = bound(both, lambda x: F.transform(x["found"], lambda m, i: F.struct(strip(m).alias("text"), start(x, i).alias("start"))))
     empty = F.array().cast("array<struct<text:string,start:int>>")
     return F.when(has(text, pattern), located).otherwise(empty)
 

@@ -26,7 +26,7 @@ from dateloom.functions.dates import (
     ymd,
 )
 from dateloom.functions.lang import language
-from dateloom.functions.text import ascii_width, group, has, matches, prefer_hint
+from dateloom.functions.text import ascii_width, bound, group, has, matches, prefer_hint
 from dateloom.tables import Steps
 
 _CANDIDATE = "array<struct<text:string,start:int,ord:int>>"
@@ -42,31 +42,39 @@ def _numbered(first: int):
 def candidates(title: Column, lang: Column, tagged: Column | None = None) -> Column:
     """array<struct<text, start, ord>>: what the patterns for the language find in the normalised title, after the spans
     of an entity tagger (array of text and start), if there is one; of equal text without spaces and start the first."""
-    norm = ascii_width(title)
     zh, en = F.coalesce(lang.startswith("zh"), F.lit(False)), F.coalesce(lang == "en", F.lit(False))
-    parts = []
-    for k, (marks, pattern) in enumerate(P.CANDIDATES, 1):
-        found = F.transform(matches(norm, "(?iU)" + pattern), _numbered(1000 * k))
-        empty = F.array().cast(_CANDIDATE)
-        wanted = ~(zh | en) | (zh if "z" in marks else F.lit(False)) | (en if "e" in marks else F.lit(False))
-        parts.append(F.when(wanted, found.cast(_CANDIDATE)).otherwise(empty))
-    if tagged is not None:
-        own = F.transform(tagged, lambda m, i: F.struct(ascii_width(m["text"]).alias("text"), m["start"].cast("int").alias("start"), i.alias("ord")))
-        parts.insert(0, F.coalesce(own.cast(_CANDIDATE), F.array().cast(_CANDIDATE)))
-    return F.concat(*parts)
+    empty = F.array().cast(_CANDIDATE)
+
+    def of(norm: Column) -> Column:
+        parts = []
+        for k, (marks, pattern) in enumerate(P.CANDIDATES, 1):
+            found = F.transform(matches(norm, "(?iU)" + pattern), _numbered(1000 * k))
+            wanted = ~(zh | en) | (zh if "z" in marks else F.lit(False)) | (en if "e" in marks else F.lit(False))
+            parts.append(F.when(wanted, found.cast(_CANDIDATE)).otherwise(empty))
+        if tagged is not None:
+            own = F.transform(tagged, lambda m, i: F.struct(ascii_width(m["text"]).alias("text"), m["start"].cast("int").alias("start"), i.alias("ord")))
+            parts.insert(0, F.coalesce(own.cast(_CANDIDATE), empty))
+        return F.concat(*parts)
+
+    return bound(ascii_width(title), of)
 
 
 def distinct_candidates(found: Column) -> Column:
     """The candidates without those that repeat the text, but for spaces, and start of an earlier one."""
     key = lambda c: F.concat_ws("@", F.regexp_replace(c["text"], r"(?U)\s+", ""), c["start"].cast("string"))
-    keys = F.transform(found, key)
-    return F.filter(found, lambda c, i: F.array_position(keys, key(c)) == i + 1)
+    first = lambda some: bound(F.transform(some, key), lambda keys: F.filter(some, lambda c, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    # both are bound: the search for candidates would else run again for each of them
+    return bound(found, first)
 
 
 def is_noise(text: Column) -> Column:
     """Whether a candidate is no date: empty, an ordinal of a session, an amount, or a number that is no year."""
     norm = ascii_width(text)
-    bare = F.regexp_replace(norm, r"(?U)\s+", "")
+    return _noise(norm, F.regexp_replace(norm, r"(?U)\s+", ""))
+
+
+def _noise(norm: Column, bare: Column) -> Column:
+    """is_noise of a normalised text, and the text without spaces."""
     full = has(norm, r"(?U)\b\d{4}\s*[-/.]\s*\d{1,2}\s*[-/.]\s*\d{1,2}\b") | has(norm, P.NUMERIC_DMY) | has(norm, P.SCORES[2][1])
     number = has(bare, r"(?U)^\d+(?:[.,]\d+)*$")
     value = F.regexp_replace(bare, ",", "").try_cast("double")
@@ -84,15 +92,19 @@ def is_source_tail(title: Column, start: Column) -> Column:
 
 def score(text: Column, start: Column, title: Column) -> Column:
     """The rank of a candidate: what it looks like, less what speaks against it, less its distance from the front."""
-    norm = ascii_width(text)
+    return bound(ascii_width(text), lambda norm: _score(norm, start, title))
+
+
+def _score(norm: Column, start: Column, title: Column) -> Column:
     looks = F.lit(None).cast("int")
     for points, pattern in reversed(P.SCORES):
         looks = F.when(has(norm, pattern), points).otherwise(looks)
     prior = (start > 0) & has(F.substring(title, F.lit(1), F.greatest(F.lit(0), start - 1)), P.PRIOR_SIGNAL)
+    noise = bound(F.regexp_replace(norm, r"(?U)\s+", ""), lambda bare: _noise(norm, bare))
     minus = (
         F.when(F.lower(norm) == "may", 40).otherwise(0)
         + F.when(has(norm, r"(?iU)\bthe\s+1975\b"), 40).otherwise(0)
-        + F.when(is_noise(norm), 100).otherwise(0)
+        + F.when(noise, 100).otherwise(0)
         + F.when(is_source_tail(title, start), F.when(prior, 45).otherwise(18)).otherwise(0)
         + F.floor(F.least(start, F.lit(100)) / 20).cast("int")
     )
@@ -296,7 +308,8 @@ def parse_steps(corrected: bool = False) -> Steps:
     rows = Steps()
     text, base, hint, lang = (F.col(c) for c in ("_text", "base", "hint", "lang"))
     zh, latin = F.col("_zh"), F.col("_latin")
-    rows = rows.withColumn("_text", ascii_width(F.col("text")))
+    # a null text stays null, so that no pattern is tried on rows that are settled
+    rows = rows.withColumn("_text", F.when(F.col("text").isNotNull(), ascii_width(F.col("text"))))
     # what every step asks of the text is asked once; patterns of a script are tried only where it occurs
     rows = rows.withColumns(
         {

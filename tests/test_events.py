@@ -124,3 +124,14 @@ def test_language(spark):
     texts = {"The talks of the leaders": "en", "伊朗 新闻": "zh-cn", "El presidente de la república": "es", "Le président de la France est dans les": "fr", "Новости дня": "ru", "Україна і світ": "uk", "뉴스 속보": "ko", "": "empty", "  ": "empty", "123 !!": "unknown"}
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", language(F.col("t")).alias("l"))
     assert {r.t: r.l for r in df.collect()} == texts
+
+
+def test_candidates_are_searched_once(spark):
+    """However many candidates a title has: a lambda runs again for each of them what it names from outside."""
+    from dateloom.functions import patterns as P
+    from dateloom.operators.events import candidates, distinct_candidates
+
+    df = spark.createDataFrame([("On 5 May 2025, 5 May 2025 and 2024, 2024",), (None,)], "t string").select(distinct_candidates(candidates(F.col("t"), F.lit("en"))).alias("c"))
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(") == len(P.CANDIDATES)
+    rows = [[(c.text, c.start) for c in r.c] for r in df.collect()]
+    assert sorted(rows, key=len) == [[], [("2025", 9), ("2025", 21), ("2024", 30), ("2024", 36), ("5 May 2025", 3), ("5 May 2025", 15), ("May 2025", 5), ("May 2025", 17)]]
