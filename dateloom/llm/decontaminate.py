@@ -9,8 +9,10 @@ items of a length class. Where REPETITIONS do not reach it, for items that lie b
 WALKED bytes, places that pass the count of grams are confirmed by edit distance without walks, which misses none.
 
 Which starts walk at all is decided without loss: a window within k edits of an item of m bytes holds at least
-m - GRAM + 1 - GRAM * k of the items' grams of GRAM bytes, which one vectorised pass counts; what passes is counted
-again by single items. Items under GRAM bytes allow no edit and are searched as they are.
+m - GRAM + 1 - GRAM * k of the items' grams of GRAM bytes, and of those at places divisible by s so many less
+(s - 1) * (k + 1), divided by s, as each of the k + 1 unedited pieces loses s - 1 at most by rounding. One vectorised
+pass counts the latter; around what passes all grams are counted, at last for single items, of which so many must also
+lie within k places of one diagonal. Items under GRAM bytes allow no edit and are searched as they are.
 """
 
 from __future__ import annotations
@@ -29,8 +31,11 @@ GRAM = 10
 #: Bits of the table of grams; a false hit only lets a start walk.
 _TABLE = 23
 #: Bytes of text searched at once, and bytes that walks write at once.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 22
 _WRITTEN = 1 << 26
+#: Grams hashed at once; strides of the first count and the grams it must ask for; places of a window's grams in an item
+#: beyond which diagonals are not counted.
+_HASHED, _STRIDES, _ASKED, _DIAGONALS = 1 << 15, (4, 2), 5, 1 << 18
 #: Most repetitions, items that a gram is counted for singly (one of more items counts for all), longest item that walks.
 REPETITIONS, _OWNERS, WALKED = 256, 64, 4096
 #: Edited copies of each item in a trial, and how far one item's share of found copies may lie below the target.
@@ -104,19 +109,39 @@ def _eights(raw: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.as_strided(np.ascontiguousarray(raw), (len(raw) - 7, 8), (1, 1))).view("<u8").ravel()
 
 
-def _grams(raw: np.ndarray) -> np.ndarray:
-    """A hash for each gram of GRAM bytes."""
-    n = len(raw) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    words = _eights(raw)
+def _grams(raw: np.ndarray, step: int = 1) -> np.ndarray:
+    """A hash for each gram of GRAM bytes at the places 0, step, 2 * step, ..."""
+    n = max(0, len(raw) - GRAM + step) // step
+    out = np.empty(n, np.uint64)
+    raw = np.ascontiguousarray(raw)
     with np.errstate(over="ignore"):
-        h = words[:n] * np.uint64(0x9E3779B97F4A7C15) + words[GRAM - 8 :][:n] * np.uint64(0xD6E8FEB86659FD93)
-        return (h ^ (h >> np.uint64(32))) * np.uint64(0x7FB5D329728EA185)
+        for i in range(0, n, _HASHED):
+            h = out[i : i + _HASHED]
+            first, last = (np.ndarray(len(h), "<u8", raw, i * step + k, step) for k in (0, GRAM - 8))
+            np.add(first * np.uint64(0x9E3779B97F4A7C15), last * np.uint64(0xD6E8FEB86659FD93), out=h)
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0x7FB5D329728EA185)
+    return out
 
 
 def _slots(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - _TABLE)).astype(np.int32)
+    return (grams >> np.uint64(64 - _TABLE)).view(np.int64)
+
+
+def _spans(at: np.ndarray, least: int, before: int, after: int, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of the runs of places x with at least `least` of the ascending places `at` from x - before to
+    x + after; runs not over gap apart are one."""
+    first, last = at[least - 1 :] - after, at[: max(0, len(at) - least + 1)] + before
+    some = first <= last
+    first, last = first[some], last[some]
+    apart = first[1:] > last[:-1] + gap + 1
+    ends = np.ones(min(1, len(first)), bool)
+    return first[np.concatenate((ends, apart))], last[np.concatenate((apart, ends))]
+
+
+def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each first on, so many as counted, one range after the other."""
+    return np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
 class _Walker:
@@ -166,18 +191,19 @@ class _Owners:
         often = self.counts[at] > _OWNERS
         rare = at[~often]
         n = self.counts[rare]
-        places = np.repeat(self.first[rare] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(rare) else np.zeros(0, np.int64)
-        return int(often.sum()), np.bincount(self.local[places], minlength=len(self.items))
+        return int(often.sum()), np.bincount(self.local[_ranges(self.first[rare], n)], minlength=len(self.items))
 
 
 @dataclass
 class _Class:
-    """Items of like length: low to high bytes; hits: grams that a window of any of them holds; edits: most of any;
+    """Items of like length: low to high bytes; hits: grams that a window of any of them holds, strided: those of them at
+    places divisible by the index's stride; edits: most of any;
     keys: [(walk, places, sorted keys, item numbers)]; sure: numbers of items that are confirmed without walks."""
 
     low: int
     high: int
     hits: int
+    strided: int
     edits: int
     keys: list
     sure: set
@@ -195,8 +221,9 @@ class Index:
         self.longest = int(sizes.max()) if len(sizes) else 0
         self.table = np.zeros(1 << _TABLE, bool)
         self.own = [np.unique(_grams(np.frombuffer(t, np.uint8))) for _, t in self.items]
-        for grams in self.own:
-            self.table[_slots(grams)] = True
+        self.every = np.unique(np.concatenate(self.own)) if self.items else np.zeros(0, np.uint64)
+        self.table[_slots(self.every)] = True
+        self.stride = next((s for s in _STRIDES if all(self._least(n, s) >= _ASKED for n in range(len(self.items)))), 1)
         self.walker = _Walker(search, 2 * int(sizes[sizes <= WALKED].max()) if (sizes <= WALKED).any() else 0)
         self.classes: list[_Class] = []
         rng = np.random.Generator(np.random.PCG64(search.seed + 1))
@@ -206,8 +233,8 @@ class Index:
             low = int(sizes[order[k]])
             here = order[k : int(np.searchsorted(sizes[order], min(low * 1.2, WALKED) if low <= WALKED else low * 1.2, side="right"))]
             k += len(here)
-            least = min(self._least(int(n)) for n in here)
-            found = _Class(low, int(sizes[here].max()), max(1, least), max(search.allowed(int(s)) for s in sizes[here]), [], set(here.tolist()), _Owners(here, [self.own[n] for n in here]))
+            hits, strided = (max(1, min(self._least(int(n), s) for n in here)) for s in (1, self.stride))
+            found = _Class(low, int(sizes[here].max()), hits, strided, max(search.allowed(int(s)) for s in sizes[here]), [], set(here.tolist()), _Owners(here, [self.own[n] for n in here]))
             self.classes.append(found)
             if low > WALKED:
                 continue
@@ -219,7 +246,7 @@ class Index:
             found.sure = set(here[weak].tolist())
             for r in range(repetitions):
                 places = np.sort(rng.choice(steps, search.sampled, replace=False))
-                key = self.key(embedded[r % search.walks], places)
+                key = self.key(embedded[r % search.walks][places])
                 by = np.argsort(key, kind="stable")
                 found.keys.append((r % search.walks, places, key[by], here[by]))
 
@@ -229,10 +256,52 @@ class Index:
         by = np.argsort(values, kind="stable")
         return values[by], [items[k] for k in by]
 
-    def _least(self, n: int) -> int:
-        """Grams of item n that any window within its edits holds."""
+    def _least(self, n: int, step: int = 1) -> int:
+        """Grams of item n that any window within its edits holds at places divisible by step."""
         size = len(self.items[n][1])
-        return size - GRAM + 1 - GRAM * self.search.allowed(size)
+        edits = self.search.allowed(size)
+        return -(((step - 1) * (edits + 1) - (size - GRAM + 1 - GRAM * edits)) // step)
+
+    def _held(self, raw: np.ndarray, begin: int, end: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(places, grams) of what raw holds of the items' grams at each step-th place from begin to end."""
+        grams = _grams(raw[begin : end + GRAM - 1], step)
+        at = np.flatnonzero(self.table[_slots(grams)])
+        grams = grams[at]
+        known = self.every[np.minimum(np.searchsorted(self.every, grams), len(self.every) - 1)] == grams
+        return at[known] * step + begin, grams[known]
+
+    def _near(self, raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, grams) of the items' grams, all of them wherever the places divisible by stride hold enough for any class."""
+        at, grams = self._held(raw, 0, size, self.stride)
+        if self.stride == 1:
+            return at, grams
+        areas = []
+        for of in self.classes:
+            # with the starts beside those that pass, which may walk as well
+            beside = 2 * of.edits + GRAM
+            first, last = _spans(at, of.strided, of.edits, of.high + of.edits - 1)
+            areas += zip((first - beside - of.edits).tolist(), (last + beside + of.high + 2 * of.edits).tolist())
+        found, done = [], 0
+        for first, last in sorted(areas):
+            begin, end = max(first, done), min(last + 1, len(raw) - GRAM + 1)
+            if begin < end:
+                found.append(self._held(raw, begin, end))
+                done = end
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (at[:0], grams[:0])
+
+    def _starts(self, n: int, at: np.ndarray, grams: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Places from first to last whose window may hold item n, by its grams `grams` at the places `at`."""
+        item = _grams(np.frombuffer(self.items[n][1], np.uint8))
+        order = np.argsort(item, kind="stable")
+        begin, end = (np.searchsorted(item[order], grams, side=side) for side in ("left", "right"))
+        if (end - begin).sum() > _DIAGONALS:
+            return np.arange(first, last + 1)
+        diagonals = np.sort(np.repeat(at, end - begin) - order[_ranges(begin, end - begin)])
+        # a copy begins within the edits of so many diagonals; the window of a start holds it from three times the edits
+        # before to the edits after
+        edits = self.search.allowed(len(self.items[n][1]))
+        spans = zip(*(x.tolist() for x in _spans(diagonals, max(1, self._least(n)), edits, edits, 4 * edits)))
+        return np.concatenate([at[:0], *(np.arange(max(first, a - 3 * edits), min(last, b + edits) + 1) for a, b in spans)])
 
     def _passing(self, of: _Class, grams: np.ndarray) -> list[int]:
         """Items of a class of which places with these grams hold enough."""
@@ -264,11 +333,11 @@ class Index:
         return r, np.flatnonzero(1 - miss.mean(axis=0) < self.search.recall - _BELOW)
 
     @staticmethod
-    def key(embedded: np.ndarray, places: np.ndarray) -> np.ndarray:
-        out = np.zeros(embedded.shape[1], np.uint64)
+    def key(sampled: np.ndarray) -> np.ndarray:
+        out = np.zeros(sampled.shape[1], np.uint64)
         with np.errstate(over="ignore"):
-            for p in places:
-                out = kernels.mix(out + embedded[p].astype(np.uint64) + np.uint64(1))
+            for written in sampled:
+                out = kernels.mix(out + written.astype(np.uint64) + np.uint64(1))
         return out
 
     def _short(self, texts: list[bytes], raw: np.ndarray, stops: np.ndarray):
@@ -295,57 +364,56 @@ class Index:
             yield from self._short(texts, raw, stops)
         if not self.classes:
             return
-        grams = _grams(raw)
-        hit = self.table[_slots(grams)]
-        if not hit.any():
-            return
-        hit_at = np.flatnonzero(hit)
-        hit_grams = grams[hit_at]
-        sums = np.concatenate(([0], np.cumsum(hit, dtype=np.int32)))
-        sums = np.concatenate((sums, np.full(max(0, len(raw) + 1 - len(sums)), sums[-1], np.int32)))
         size = int(stops[-1])
-        # any code point but a space may begin an item
-        first = ((raw[:size] & 0xC0) != 0x80) & (raw[:size] != 32) & (raw[:size] != 0)
-        need = np.zeros(size, np.int32)
-        masks, seen = [], set()
-        #: (text number, item number, first and end byte) to be confirmed without walks
-        direct = []
+        hit_at, hit_grams = self._near(raw, size)
+        #: by class: numbers that stand for a start and an item; (text number, item number, first and end byte) to be
+        #: confirmed without walks
+        walking, direct, many = [], [], len(self.items)
         for of in self.classes:
-            before = np.concatenate((np.zeros(of.edits, np.int32), sums[:size]))[:size]
-            at = np.flatnonzero((sums[of.high + of.edits : of.high + of.edits + size] - before >= of.hits) & first)
-            here = np.zeros(size, bool)
-            # runs of starts whose windows overlap, by text
-            text_of = np.searchsorted(stops, at)
-            for run in np.split(at, np.flatnonzero((np.diff(at) > GRAM) | (np.diff(text_of) > 0)) + 1) if len(at) else ():
-                t = int(np.searchsorted(stops, run[0]))
-                begin, end = max(int(run[0]) - of.edits, int(stops[t]) - len(texts[t])), min(int(run[-1]) + of.high + 2 * of.edits, int(stops[t]))
-                passing = self._passing(of, hit_grams[slice(*np.searchsorted(hit_at, (begin, end)))])
-                sure = [n for n in passing if n in of.sure]
-                direct += [(t, n, begin, end) for n in sure]
-                if len(sure) < len(passing):
-                    here[run] = True
-            masks.append(here)
-            need[here] = 2 * of.low
-        starts = np.flatnonzero(need)
-        starts = starts[np.argsort(-need[starts], kind="stable")]
-        i = 0
+            pairs = [hit_at[:0]]
+            for first, last in zip(*(x.tolist() for x in _spans(hit_at, of.hits, of.edits, of.high + of.edits - 1, GRAM))):
+                # runs of starts whose windows overlap, by text
+                for t in range(*(np.searchsorted(stops, (max(0, first), min(last, size - 1))) + (0, 1)).tolist()):
+                    stop = int(stops[t])
+                    start = stop - len(texts[t])
+                    a, b = max(first, start), min(last, stop - 1)
+                    if a > b:
+                        continue
+                    begin, end = max(a - of.edits, start), min(b + of.high + 2 * of.edits, stop)
+                    here = slice(*np.searchsorted(hit_at, (begin, end)))
+                    for n in self._passing(of, hit_grams[here]):
+                        if n in of.sure:
+                            direct.append((t, n, begin, end))
+                        else:
+                            pairs.append(self._starts(n, hit_at[here], hit_grams[here], a, b) * many + n)
+            pairs = np.unique(np.concatenate(pairs))
+            # any code point but a space may begin an item
+            byte = raw[pairs // many]
+            walking.append(pairs[((byte & 0xC0) != 0x80) & (byte != 32) & (byte != 0)])
+        starts = np.unique(np.concatenate(walking) // many)
+        need = np.zeros(len(starts), np.int64)
+        for of, pairs in zip(self.classes, walking):
+            need[np.searchsorted(starts, pairs // many)] = 2 * of.low
+        order = np.argsort(-need, kind="stable")
+        starts, need = starts[order], need[order]
+        i, seen = 0, [hit_at[:0]]
         while i < len(starts):
             # as many starts at once as write a bounded number of bytes
-            part = starts[i : i + max(1024, _WRITTEN // (self.search.walks * int(need[starts[i]])))]
+            part = starts[i : i + max(1024, _WRITTEN // (self.search.walks * int(need[i])))]
+            walks = [self.walker.walk(w, raw, part, need[i : i + len(part)]) for w in range(self.search.walks)]
             i += len(part)
-            walks = [self.walker.walk(w, raw, part, need[part]) for w in range(self.search.walks)]
-            for of, mask in zip(self.classes, masks):
-                at = np.flatnonzero(mask[part])
+            for of, pairs in zip(self.classes, walking):
+                at = np.flatnonzero(np.isin(part, pairs // many))
                 if not len(at):
                     continue
                 for which, places, known, items in of.keys:
-                    found = self.key(walks[which][:, at], places)
+                    found = self.key(walks[which][np.ix_(places, at)])
                     a, b = np.searchsorted(known, found, side="left"), np.searchsorted(known, found, side="right")
-                    for x in np.flatnonzero(b > a):
-                        for n in items[a[x] : b[x]]:
-                            seen.add((int(part[at[x]]), int(n)))
+                    x = np.flatnonzero(b > a)
+                    seen.append(np.repeat(part[at[x]], (b - a)[x]) * many + items[_ranges(a[x], (b - a)[x])])
+        seen = np.intersect1d(np.concatenate(seen), np.concatenate(walking))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for x, n in sorted(seen):
+        for x, n in zip((seen // many).tolist(), (seen % many).tolist()):
             item = self.items[n][1]
             edits = self.search.allowed(len(item))
             t = int(np.searchsorted(stops, x))
@@ -354,11 +422,7 @@ class Index:
             a = max(0, at - edits)
             if best.get((t, n), (1,))[0] == 0:
                 continue
-            window = texts[t][a : at + len(item) + 2 * edits]
-            # the same bound, by the item's own grams
-            if np.isin(grams[begin + a : begin + a + len(window) - GRAM + 1], self.own[n]).sum() < self._least(n):
-                continue
-            got = _place(item, window, edits)
+            got = _place(item, texts[t][a : at + len(item) + 2 * edits], edits)
             if got is not None and (got[0], a + got[1]) < best.get((t, n), (edits + 1, 0)):
                 best[t, n] = (got[0], a + got[1], got[2])
         for t, n, a, b in direct:

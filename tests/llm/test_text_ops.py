@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,6 +172,40 @@ def test_query_equals_the_plain_search(spark):
     assert set(found) <= set(want) and all(found[k] == want[k] for k in found) and len(found) >= 0.95 * len(want)
 
 
+def test_only_starts_near_a_copy_walk(monkeypatch):
+    """Starts far from where a copy can begin do not walk, and the copies are found wherever they lie against the stride."""
+    from dateloom.llm import decontaminate
+
+    rng = random.Random(15)
+    items = [prose(rng, n).encode() for n in (30, 40, 60)]
+    search = Search()
+    index = Index(list(enumerate(items)), search)
+    walked, walk = [], decontaminate._Walker.walk
+    monkeypatch.setattr(decontaminate._Walker, "walk", lambda self, which, raw, starts, steps: walked.extend(starts.tolist() if which == 0 else []) or walk(self, which, raw, starts, steps))
+    for shift in range(4):
+        texts = [prose(rng, 40).encode() + b"x" * shift + t + b" " + prose(rng, 40).encode() for t in items]
+        walked.clear()
+        assert {(t, n, d) for t, n, d, *_ in index.search_block(texts)} == {(i, i, 0) for i in range(3)}
+        assert 0 < len(walked) <= sum(6 * search.allowed(len(t)) + 1 for t in items)
+
+
+def test_counts_of_grams_lose_no_copy():
+    """Every copy with all edits passes the counts at all strides, however it lies, and its start is among those that walk."""
+    rng = random.Random(16)
+    items = [prose(rng, n).encode() for n in (20, 25, 30, 60, 90)]
+    index = Index(list(enumerate(items)), Search())
+    for n, item in list(enumerate(items)) * 8:
+        edits = index.search.allowed(len(item))
+        before = (prose(rng, 30) + "z" * rng.randrange(4)).encode()
+        copy = edited(rng, item.decode(), edits).encode()
+        raw = np.frombuffer(before + copy + prose(rng, 30).encode() + b"\0" * 1000, np.uint8)
+        for step in (1, 2, 4):
+            at, _ = index._held(raw, 0, len(raw) - 9, step)
+            assert ((at >= len(before)) & (at <= len(before) + len(copy) - 10)).sum() >= index._least(n, step)
+        at, grams = index._near(raw, len(raw) - 1000)
+        assert len(before) in index._starts(n, at, grams, 0, len(raw) - 1000)
+
+
 def test_repetitions_grow_with_recall():
     rng = random.Random(5)
     items = [(i, prose(rng, 40).encode()) for i in range(20)]
