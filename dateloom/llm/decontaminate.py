@@ -294,14 +294,17 @@ class Index:
         item = _grams(np.frombuffer(self.items[n][1], np.uint8))
         order = np.argsort(item, kind="stable")
         begin, end = (np.searchsorted(item[order], grams, side=side) for side in ("left", "right"))
+        size, least = len(item) + GRAM - 1, max(1, self._least(n))
+        edits = self.search.allowed(size)
         if (end - begin).sum() > _DIAGONALS:
-            return np.arange(first, last + 1)
-        diagonals = np.sort(np.repeat(at, end - begin) - order[_ranges(begin, end - begin)])
-        # a copy begins within the edits of so many diagonals; the window of a start holds it from three times the edits
-        # before to the edits after
-        edits = self.search.allowed(len(self.items[n][1]))
-        spans = zip(*(x.tolist() for x in _spans(diagonals, max(1, self._least(n)), edits, edits, 4 * edits)))
-        return np.concatenate([at[:0], *(np.arange(max(first, a - 3 * edits), min(last, b + edits) + 1) for a, b in spans)])
+            firsts, lasts = _spans(at[end > begin], least, edits, size + 2 * edits - GRAM)
+        else:
+            diagonals = np.sort(np.repeat(at, end - begin) - order[_ranges(begin, end - begin)])
+            # a copy begins within the edits of so many diagonals; the window of a start holds it from three times the
+            # edits before to the edits after
+            firsts, lasts = _spans(diagonals, least, edits, edits, 4 * edits)
+            firsts, lasts = firsts - 3 * edits, lasts + edits
+        return np.concatenate([at[:0], *(np.arange(max(first, a), min(last, b) + 1) for a, b in zip(firsts.tolist(), lasts.tolist()))])
 
     def _passing(self, of: _Class, grams: np.ndarray) -> list[int]:
         """Items of a class of which places with these grams hold enough."""
