@@ -412,7 +412,7 @@ def _between(maybe: DataFrame, nodes: DataFrame, documents: DataFrame, forest: F
     if several.isEmpty():
         return first
     linked = by.join(first, (F.col("best.a") == F.col("a")) & (F.col("best.b") == F.col("b")), "left_semi").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-    top = written(connected_components(linked), "top")
+    top = connected_components(linked)
     named = lambda end: top.select(F.col("node").alias(f"root_{end}"), F.col("root").alias(f"top_{end}"))
     apart = several.join(named("a"), "root_a", "left").join(named("b"), "root_b", "left").where(F.coalesce("top_a", "root_a") != F.coalesce("top_b", "root_b"))
     apart = written(apart.select("root_a", "root_b"), "apart")
@@ -428,13 +428,14 @@ def _texts(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFra
     return texts.dropDuplicates(["node"])
 
 
-def _with_text(pairs: DataFrame, texts: DataFrame, end: str) -> DataFrame:
+def _with_text(pairs: DataFrame, texts: DataFrame, end: str, bare: DataFrame | None = None) -> DataFrame:
     """pairs with the text of one end. A node of many pairs is dealt by the other end, HUB pairs to a key; its text is sent to each.
 
-    Bare pairs are gathered by key first, so that a text meets a key once and not each of its pairs.
+    Bare pairs are gathered by key first, so that a text meets a key once and not each of its pairs. bare: the same pairs
+    before a text was joined, which are counted without that join.
     """
     other = "b" if end == "a" else "a"
-    hubs = written(pairs.groupBy(end).agg(F.ceil(F.count("*") / HUB).cast("int").alias("_deals")).where("_deals > 1"), "hubs")
+    hubs = written((pairs if bare is None else bare).groupBy(end).agg(F.ceil(F.count("*") / HUB).cast("int").alias("_deals")).where("_deals > 1"), "hubs")
     dealt = pairs.join(small(hubs), end, "left").withColumn("_deal", F.pmod(F.xxhash64(other), F.coalesce("_deals", F.lit(1))).cast("int")).drop("_deals")
     sent = texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")).join(small(hubs), end, "left")
     sent = sent.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))).drop("_deals")
@@ -488,7 +489,7 @@ def _links(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, forest: For
 
 def _pair_links(pairs: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
     """The pairs whose full sets are as alike as asked."""
-    both = _with_text(_with_text(written(pairs, "few"), texts, "a"), texts, "b")
+    both = _with_text(_with_text(pairs, texts, "a"), texts, "b", pairs)
     return written(both.mapInArrow(frugal(_confirmed(forest)), _PAIRS), "links")
 
 
@@ -535,7 +536,7 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
     merged = lambda roots, links: connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(links))
     roots = merged(roots, more)
     labelled = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "labelled")
-    roots = written(merged(roots, _crowded(labelled, documents, forest)), "roots")
+    roots = merged(roots, _crowded(labelled, documents, forest))
 
     linked = nodes.select("node", "rep_id").join(roots, "node")
     named = linked.groupBy("root").agg(F.min("rep_id").alias("component_id"))

@@ -248,6 +248,23 @@ def test_components(spark, edges):
     assert all((roots[x] == roots[y]) == (top(x) == top(y)) for x in nodes for y in nodes)
 
 
+@pytest.mark.parametrize("kind", ["long", "string", "binary"])
+def test_few_edges_meet_in_one_task(spark, monkeypatch, kind):
+    """A long path among stars: one task names the components that rounds name, in two tables and not several a round."""
+    import dateloom.operators.components as C
+
+    seen, inner = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, tag: seen.append(tag) or inner(df, tag))
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 9)] + [(300 + i, 300) for i in range(1, 9)] + [(7, 7), (5, 4), (None, 3)]
+    edges = spark.createDataFrame(pairs, "a long, b long").select(*[F.col(c).cast("string" if kind != "long" else "long").cast(kind).alias(c) for c in "ab"])
+    groups = lambda rows: sorted(sorted(str(r.node) for r in rows if r.root == x) for x in {r.root for r in rows})
+    found = connected_components(edges)
+    assert seen == ["edges", "labels"] and found.schema["node"].dataType == edges.schema["a"].dataType
+    found = found.collect()
+    assert groups(found) == groups(connected_components(edges, few=len(pairs) - 4).collect()) and [61, 9, 9] == sorted((sum(r.root == x for r in found) for x in {r.root for r in found}), reverse=True)
+    assert len(seen) > 6 and connected_components(edges.where("a is null")).collect() == []
+
+
 def test_timeline(spark):
     items = spark.createDataFrame([("1", "2026-03-18", "A", False, 0, 0), ("2", "2026-03-17", "B", True, None, 1), ("3", None, "C", None, None, 2)], "id string, parsed_time string, title string, system_is_noise boolean, cluster_id int, position int")
     assert [r.id for r in timeline.timeline(items).orderBy("position").collect()] == ["2", "1", "3"]
